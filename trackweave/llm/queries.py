@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.llm.neardup import NearDup, near_duplicates
 from trackweave.llm.quality import DIGEST, quality_rules
 
 
@@ -18,7 +19,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("quality")[k].alias(k) for k in DIGEST])
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), rules=NearDup(shingle=4))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op9_near_duplicates)}
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": r"""
