@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.llm.chat import conversation_digests, formatted, linear_trees
+from trackweave.llm.common import saved
 from trackweave.llm.neardup import NearDup, near_duplicates
 from trackweave.llm.quality import DIGEST, quality_rules
 
+from trackweave.llm.secret_scan import secret_scan, written
+from trackweave.llm.topk import top_k
+from trackweave.llm.warc import archive_folder, read_archives, write_archives
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,11 +25,48 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("quality")[k].alias(k) for k in DIGEST])
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = archive_folder(spark)
+    manifest = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return read_archives(spark, manifest, folder)
+
+
+def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    say = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(say).alias("text")
+    )
+    return conversation_digests(saved(formatted(linear_trees(rows.unionByName(more))), "conversations"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = secret_scan(docs)
+    spans = F.col("secrets.spans")
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(written(spans), 256).alias("base_sha256"),
+        written(spans).alias("spans"),
+        F.col("secrets.n_live").alias("n_live"),
+        F.col("secrets.n_shared").alias("n_shared"),
+    )
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), rules=NearDup(shingle=4))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op9_near_duplicates)}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {
+    f.__name__: f for f in (op1_quality_rules, op2_warc, op6_reply_trees, op7_secret_scan, op9_near_duplicates, op10_top_k)
+}
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": r"""
@@ -58,5 +101,90 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed,
   NOT base_failed AND NOT host_failed AS kept
 FROM base LEFT JOIN verdicts ON base.source IS NOT DISTINCT FROM verdicts.source
+""",
+    "op2_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages
+), bits AS (
+  SELECT page_id, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111',
+    '1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', h[i])]), '') AS b FROM p
+), digests AS (
+  SELECT page_id, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(b[5 * i + 1] AS INTEGER)
+    + 8 * CAST(b[5 * i + 2] AS INTEGER) + 4 * CAST(b[5 * i + 3] AS INTEGER) + 2 * CAST(b[5 * i + 4] AS INTEGER)
+    + CAST(b[5 * i + 5] AS INTEGER)]), '') AS d FROM bits
+), firsts AS (
+  SELECT h, min(page_id) AS f FROM p GROUP BY h
+)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id > f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > f THEN f END AS refers_to
+FROM p JOIN digests USING (page_id) JOIN firsts USING (h)
+""",
+    "op6_reply_trees": r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '<s>', ''))) // 3
+    + (length(text) - length(replace(text, '</s>', ''))) // 4 + (length(text) - length(replace(text, '[INST]', ''))) // 6
+    + (length(text) - length(replace(text, '[/INST]', ''))) // 7 + length(role) AS n FROM rows_
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(n + 17) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+""",
+    "op7_secret_scan": r"""
+WITH kinds AS (
+  SELECT * FROM (VALUES (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8),
+    (1, 'access', '(())AKIA[A-Z0-9]+', 0, 16), (2, 'hex', '(())[0-9a-f]+', 0, 32)) AS k(o, kind, p, g, least_)
+), m AS (
+  SELECT doc_id, source, lang, o, kind, least_, regexp_split_to_array(t, p) AS ps,
+    regexp_extract_all(t, p, 0) AS ws, CASE WHEN g = 2 THEN regexp_extract_all(t, p, 2) ELSE regexp_extract_all(t, p, 0) END AS vs
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents), kinds
+), one AS (
+  SELECT doc_id, source, lang, o, kind, vs[i] AS v,
+    list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0) AS s, length(ws[i]) AS n
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM m) WHERE length(vs[i]) >= least_
+), shared AS (
+  SELECT v, count(DISTINCT coalesce(source, chr(0))) >= 3 OR len(list_distinct(string_split(v, ''))) < 6 AS shared FROM one GROUP BY v
+), spans AS (
+  SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+    string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, o) AS spans,
+    count(*) FILTER (NOT shared) AS n_live, count(*) FILTER (shared) AS n_shared
+  FROM one JOIN shared USING (v) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared
+FROM documents d LEFT JOIN spans USING (doc_id)
+""",
+    "op9_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common c JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c.n >= 80 * (a.n + b.n - c.n)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT r.x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id, r.x = min(y) AS kept
+FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.x GROUP BY r.x
+""",
+    "op10_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
