@@ -43,7 +43,15 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: its lineage ends, and lost executors lose nothing."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.trackweave_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that saved() returned; nothing may be left that reads them."""
+    for df in tables:
+        drop_saved(df.sparkSession, df.trackweave_path)
 
 
 def drop_saved(spark: SparkSession, path: str) -> None:

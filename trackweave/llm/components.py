@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import saved
+from trackweave.llm.common import forget, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,10 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a"))
         step = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
-        step = saved(step, "pointers")
+        first = step = saved(step, "pointers")
         jump = step.select(F.col("v").alias("v2"), F.col("p").alias("p2"))
         step = saved(step.join(jump, F.col("p") == F.col("v2"), "left").select("v", F.coalesce("p2", "p").alias("p")), "pointers")
+        forget(first)
         moved = step.where("v <> p")
+        before = labels, edges
         labels = saved(
             labels.join(moved, F.col("component") == F.col("v"), "left").select("id", F.coalesce("p", "component").alias("component")), "labels"
         )
@@ -34,5 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         right = step.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         edges = edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
         edges = saved(edges.distinct(), "edges")
+        forget(*before, step)
         if edges.isEmpty():
             return labels

@@ -15,10 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import c, lookup, new_folder, saved
+from trackweave.llm.common import c, forget, lookup, new_folder, saved
 
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
-FOUND = "path string, at long, next long, page_id long, type string, digest string, refers_to long, body long, length long, payload_bytes long"
+FOUND = "path string, split long, at long, next long, leaves long, page_id long, type string, digest string, refers_to long, body long, length long, payload_bytes long"
 
 
 @dataclass(frozen=True)
@@ -110,71 +110,88 @@ def parse_header(data: bytes, at: int) -> dict | None:
     return out | {"body": end + len(END)}
 
 
+def _number(s: str | None) -> int | None:
+    return int(m[1]) if (m := re.search(r"(\d+)>?$", s or "")) else None
+
+
+def candidates(data: bytes, start: int, end: int, path: str = "") -> list[tuple]:
+    """A row of FOUND for whatever looks like a record and starts in the first end - start bytes of data, which lies at offset
+    start of its file. `leaves` is where the chain from a candidate first lands outside of this range."""
+    rows, at = [], data.find(MAGIC)
+    while 0 <= at < end - start:
+        if x := parse_header(data, at):
+            length = int(x["content-length"])
+            then = start + x["body"] + length + len(END)
+            digest = x.get("warc-payload-digest", "").removeprefix("sha1:")
+            rows.append([path, start, start + at, then, then, _number(x.get("warc-record-id")), x.get("warc-type"), digest])
+            rows[-1] += [_number(x.get("warc-refers-to")), start + x["body"], length, _number(x.get("x-payload-length"))]
+        at = data.find(MAGIC, at + 1)
+    leaves: dict[int, int] = {}
+    for row in reversed(rows):
+        row[4] = leaves[row[2]] = leaves.get(row[3], row[3])
+    return [tuple(row) for row in rows]
+
+
 def _candidates(folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
-        number = lambda s: int(m[1]) if (m := re.search(r"(\d+)>?$", s or "")) else None
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in FOUND.split(", ")]
         for batch in batches:
-            rows = []
             for path, start, end, size in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 with store.open_input_file(path) as file:
                     file.seek(start)
-                    data = file.read(min(size, end + most) - start)
-                at = data.find(MAGIC)
-                while 0 <= at < end - start:
-                    if x := parse_header(data, at):
-                        length = int(x["content-length"])
-                        digest = x.get("warc-payload-digest", "").removeprefix("sha1:")
-                        row = (path, start + at, start + x["body"] + length + len(END), number(x.get("warc-record-id")), x.get("warc-type"), digest)
-                        rows.append((*row, number(x.get("warc-refers-to")), start + x["body"], length, number(x.get("x-payload-length"))))
-                    at = data.find(MAGIC, at + 1)
-            if rows:
-                names = [x.split()[0] for x in FOUND.split(", ")]
-                kinds = [pa.string() if x.endswith("string") else pa.int64() for x in FOUND.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = candidates(file.read(min(size, end + most) - start), start, end, path)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-def reachable(found: DataFrame) -> DataFrame:
-    """The rows of candidates (path, at, next, ...) on the chain that starts at offset 0 of their file.
+def entries(found: DataFrame) -> DataFrame:
+    """(path, split, at): the record by which the chain that starts at offset 0 of a file enters each range that it touches.
 
-    Pointer jumping: each round adds what the known records point to and then lets every pointer skip twice as far, so the
-    rounds grow with the logarithm of a file's records.
+    Pointer jumping over the candidates' `leaves`: each round adds what the known entries point to and then lets every pointer
+    skip twice as far, so the rounds grow with the logarithm of a file's ranges.
     """
-    jump = saved(found.select("path", "at", "next"), "jump")
-    known = saved(jump.where("at = 0").select("path", "at").distinct(), "known")
+    places = found.select("path", "split", "at")
+    jump = saved(found.select("path", "at", F.col("leaves").alias("next")), "jump")
+    known = saved(places.where("at = 0"), "known")
     while True:
         new = known.join(jump, ["path", "at"]).select("path", F.col("next").alias("at"))
-        new = saved(new.join(found.select("path", "at"), ["path", "at"], "left_semi"), "new")
-        if new.isEmpty():
-            return found.join(known.distinct(), ["path", "at"], "left_semi")
-        known = saved(known.union(new), "known")
+        more = saved(known.union(new.join(places, ["path", "at"]).select(*known.columns)).distinct(), "known")
+        grown = more.count() > known.count()
+        forget(known)
+        known = more
+        if not grown:
+            forget(jump)
+            return known
         then = jump.select("path", F.col("at").alias("next"), F.col("next").alias("then"))
-        jump = saved(jump.join(then, ["path", "next"]).select("path", "at", F.col("then").alias("next")), "jump")
+        further = saved(jump.join(then, ["path", "next"]).select("path", "at", F.col("then").alias("next")), "jump")
+        forget(jump)
+        jump = further
 
 
-def _payloads(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(folder: str):
+    """The records of a range on the chain from its entry, with sizes and digests of the payloads as read."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = {row["at"]: row for row in table.to_pylist()}
+        at = table.column("entry")[0].as_py()
         store, _ = fs.FileSystem.from_uri(folder)
-        name, file = None, None
-        for batch in batches:
-            sizes, digests = [], []
-            columns = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("path", "body", "length", "type", "digest", "payload_bytes")]
-            for path, body, length, kind, digest, n in zip(*columns, strict=True):
-                if kind == "response":
-                    if path != name:
-                        name, file = path, store.open_input_file(path)
-                    file.seek(body)
-                    data = file.read(length)
+        out = []
+        with store.open_input_file(key[0].as_py()) as file:
+            while row := rows.get(at):
+                n, digest = row["payload_bytes"], row["digest"]
+                if row["type"] == "response":
+                    file.seek(row["body"])
+                    data = file.read(row["length"])
                     n, digest = len(data), base64.b32encode(hashlib.sha1(data).digest()).decode()
-                sizes.append(n)
-                digests.append(digest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("page_id")), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())]
-                + [batch.column(batch.schema.get_field_index(x)) for x in ("type", "refers_to")],
-                names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-            )
+                out.append((row["page_id"], n, digest, row["type"], row["refers_to"]))
+                at = row["next"]
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
@@ -182,15 +199,18 @@ def _payloads(folder: str):
 def read_archives(spark, manifest: DataFrame, folder: str, rules: Archives = Archives()) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the files of the manifest.
 
-    Tasks read ranges of files and emit whatever looks like a record; reachable() keeps the true ones. Sizes and digests of
-    responses are worked out anew from the payload, those of revisits are those of their header.
+    Tasks read ranges of files and emit whatever looks like a record and where the next one would be; only what lies on the
+    chain from a file's start counts, so that a record's magic within a payload is none. Ranges bound what a task holds.
+    Sizes and digests of responses are worked out anew from the payload, those of revisits are those of their header.
     """
     ranges = manifest.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(rules.split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + rules.split_bytes, "size").alias("end"), "size")
     ranges = ranges.repartition(F.col("path"), F.col("start"))
     found = saved(ranges.mapInArrow(_candidates(folder, rules.header_bytes), FOUND), "candidates")
-    true = reachable(found).sortWithinPartitions("path", "at")
-    return true.mapInArrow(_payloads(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    start = entries(found).select("path", "split", F.col("at").alias("entry"))
+    whole = found.join(start, ["path", "split"])
+    out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return whole.groupBy("path", "split").applyInArrow(_records(folder), out)
 
 
 def archive_folder(spark) -> str:
