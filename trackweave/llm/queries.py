@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trackweave.llm.chat import conversation_digests, formatted, linear_trees
 from trackweave.llm.common import saved
+from trackweave.llm.linedup import line_dedup
+from trackweave.llm.mixing import Mixture, mix_sources
 from trackweave.llm.neardup import NearDup, near_duplicates
 from trackweave.llm.quality import DIGEST, quality_rules
 
@@ -31,6 +33,22 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, manifest, folder)
 
 
+#: Documents carry no domain; their source's number modulo 4 stands for it.
+DOMAIN = "concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint), 0) % 4)"
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mix = Mixture(weights={"language": {"en": 4, "de": 2}, "domain": {"d0": 2}}, percent=80, epochs=2)
+    out = mix_sources(docs, F.expr(DOMAIN), mix=mix)
+    return out.select("doc_id", "lang", "source", *[F.col("mix")[k].alias(k) for k in ("n_tokens", "epochs", "budget")])
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("lines.n_chunks").alias("n_chunks"), F.col("lines.n_removed").alias("n_removed"))
+
+
 def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     say = "</s>[INST] ok [/INST]"
@@ -65,7 +83,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_quality_rules, op2_warc, op6_reply_trees, op7_secret_scan, op9_near_duplicates, op10_top_k)
+    f.__name__: f for f in (op1_quality_rules, op2_warc, op4_mix_sources, op5_line_dedup, op6_reply_trees, op7_secret_scan, op9_near_duplicates, op10_top_k)
 }
 
 ORACLE: dict[str, str] = {
