@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.llm.bpe import encode_texts
 from trackweave.llm.chat import conversation_digests, formatted, linear_trees
 from trackweave.llm.common import saved
 from trackweave.llm.linedup import line_dedup
@@ -73,6 +75,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_texts(docs, public_tokenizers.path(ranks), public_tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), rules=NearDup(shingle=4))
 
@@ -83,7 +91,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_quality_rules, op2_warc, op4_mix_sources, op5_line_dedup, op6_reply_trees, op7_secret_scan, op9_near_duplicates, op10_top_k)
+    f.__name__: f for f in (op1_quality_rules, op2_warc, op4_mix_sources, op5_line_dedup, op6_reply_trees, op7_secret_scan, op8_byte_bpe, op9_near_duplicates, op10_top_k)
 }
 
 ORACLE: dict[str, str] = {
