@@ -23,14 +23,17 @@ class NearDup:
     """shingle: words of one. percent: similarity that links, in hundredths. rows, bands: of the sketch; a pair at
     0.8 shares no band with probability (1 - 0.8**rows)**bands, 5e-7 here. partners: pairs that a member of a bucket
     may bring outright; buckets with more are scanned in blocks. block: members of such a block.
+    hopeless: pairs beyond the first
+    comparison whose sketches agree in a smaller share are dropped; one at 0.8 does so with probability 3e-7.
     broadcast_ids: candidate ids broadcast at most. memo: words remembered by a worker at most."""
 
     shingle: int = 5
     percent: int = 80
     rows: int = 6
     bands: int = 48
-    partners: int = 32
+    partners: int = 16
     block: int = 1024
+    hopeless: float = 0.68
     broadcast_ids: int = 1_000_000
     memo: int = 300_000
 
@@ -117,18 +120,34 @@ def _sketched(size: int, rows: int, bands: int, most: int):
     return run
 
 
-def _sets(size: int, most: int):
+def _sets(size: int, coords: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
+        keys = mixed(np.arange(1, 2 * coords + 1, dtype=U))
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = [shingle_hashes(text.as_py(), size, memo).view(np.int64) for text in batch.column(1)]
+                found = [shingle_hashes(text.as_py(), size, memo) for text in batch.column(1)]
+                short = [mixed(sketch(h, coords, keys)).astype(np.uint8).tobytes() if len(h) else b"" for h in found]
+                found = [h.view(np.int64) for h in found]
                 if len(memo) > most:
                     memo.clear()
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), lists], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), lists, pa.array(short, pa.binary())], names=["id", "shingles", "short"])
+
+    return run
+
+
+def _hopeful(least: float):
+    """Of pairs with a byte of each coordinate of both sketches, those that agree in the share at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                keep = pa.array((x == y).mean(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
@@ -183,15 +202,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = saved(found, "sketches")
     classes = found.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
     classes = saved(classes, "classes")
-    reps = found.join(classes, (found["digest"] == classes["digest"]) & (found["id"] == classes["rep"]), "left_semi")
-    members = saved(reps.select(F.col("id").alias("rep"), "n", F.explode(F.array_distinct("keys")).alias("key")).distinct(), "buckets")
+    few = small(classes, rules.broadcast_ids)
+    reps = found.join(F.broadcast(classes) if few else classes, (found["digest"] == classes["digest"]) & (found["id"] == classes["rep"]), "left_semi")
+    members = reps.select(F.col("id").alias("rep"), "n", F.explode(F.array_distinct("keys")).alias("key")).repartition("key")
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("center")).where("m > 1")
-    held = saved(members.join(buckets.select("key", "center"), "key"), "held")
+    held = saved(members.join(buckets.select("key", "center"), "key").distinct(), "held")
     sizes = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * rules.percent
 
     candidates = saved(held.select(F.col("rep").alias("id")).distinct(), "candidates")
     near = source.join(F.broadcast(candidates) if small(candidates, rules.broadcast_ids) else candidates, "id", "left_semi")
-    sets = saved(near.mapInArrow(_sets(rules.shingle, rules.memo), "id long, shingles array<long>"), "sets")
+    sets = saved(near.mapInArrow(_sets(rules.shingle, rules.rows * rules.bands, rules.memo), "id long, shingles array<long>, short binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -223,6 +243,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = x.join(y, "key").where((F.col("xc") != F.col("yc")) & sizes(F.col("xn"), F.col("yn")))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = saved(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    drawn = pairs.join(sets.select(F.col("id").alias("a"), F.col("short").alias("short_a")), "a")
+    drawn = drawn.join(sets.select(F.col("id").alias("b"), F.col("short").alias("short_b")), "b").select("a", "b", "short_a", "short_b")
+    pairs = saved(drawn.mapInArrow(_hopeful(rules.hopeless), "a long, b long"), "hopeful")
     more = [confirmed(pairs)]
     many = parts.where(F.col("rest") > rules.partners)
     if not many.isEmpty():
