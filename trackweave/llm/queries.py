@@ -15,6 +15,7 @@ from trackweave.llm.neardup import NearDup, near_duplicates
 from trackweave.llm.quality import DIGEST, quality_rules
 
 from trackweave.llm.secret_scan import secret_scan, written
+from trackweave.llm.tokencodec import read_tokens, token_folder, write_tokens
 from trackweave.llm.topk import top_k
 from trackweave.llm.warc import archive_folder, read_archives, write_archives
 
@@ -35,6 +36,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, manifest, folder)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    folder = token_folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_tokens(write_tokens(docs, folder, public_tokenizers.path(tokenizer)), folder)
+
+
 #: Documents carry no domain; their source's number modulo 4 stands for it.
 DOMAIN = "concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint), 0) % 4)"
 
@@ -91,7 +98,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_quality_rules, op2_warc, op4_mix_sources, op5_line_dedup, op6_reply_trees, op7_secret_scan, op8_byte_bpe, op9_near_duplicates, op10_top_k)
+    f.__name__: f for f in (op1_quality_rules, op2_warc, op3_token_files, op4_mix_sources, op5_line_dedup, op6_reply_trees, op7_secret_scan, op8_byte_bpe, op9_near_duplicates, op10_top_k)
 }
 
 ORACLE: dict[str, str] = {
