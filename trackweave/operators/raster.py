@@ -48,15 +48,18 @@ def draw(parts: DataFrame, keys: tuple[str, ...] = ("contribution_id", "user_id"
     zero are dropped.
     """
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    long_side, short_side = F.greatest(F.abs(w), F.abs(h)), F.least(F.abs(w), F.abs(h))
-    sized = parts.select(
-        *keys, "x0", "y0", (F.abs(w) > F.abs(h)).alias("flat"), F.signum(w).cast("long").alias("sx"), F.signum(h).cast("long").alias("sy"),
-        long_side.alias("l"), short_side.alias("s"),
+    size = F.struct(
+        (F.abs(w) > F.abs(h)).alias("flat"), F.signum(w).cast("long").alias("sx"), F.signum(h).cast("long").alias("sy"),
+        F.greatest(F.abs(w), F.abs(h)).alias("l"), F.least(F.abs(w), F.abs(h)).alias("s"),
     )
+    names = ("flat", "sx", "sy", "l", "s")
+    sized = parts.select(*keys, F.col("x0").alias("_x"), F.col("y0").alias("_y"), size.alias("_size")).select(
+        *keys, "_x", "_y", *[F.col(f"_size.{k}").alias(f"_{k}") for k in names]
+    )
     if max_length is not None:
-        sized = sized.where(F.col("l") <= max_length)
-    steps = sized.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "l")))
-    k = F.expr("(shiftright(l, 1) + i * s) div greatest(l, 1)")
-    x = F.col("x0") + F.col("sx") * F.when(F.col("flat"), F.col("i")).otherwise(k)
-    y = F.col("y0") + F.col("sy") * F.when(F.col("flat"), k).otherwise(F.col("i"))
+        sized = sized.where(F.col("_l") <= max_length)
+    steps = sized.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), "_l")))
+    k = F.expr("(shiftright(_l, 1) + _i * _s) div greatest(_l, 1)")
+    x = F.col("_x") + F.col("_sx") * F.when(F.col("_flat"), F.col("_i")).otherwise(k)
+    y = F.col("_y") + F.col("_sy") * F.when(F.col("_flat"), k).otherwise(F.col("_i"))
     return steps.select(*keys, x.alias("px"), y.alias("py")).where("px >= 0 and py >= 0")
