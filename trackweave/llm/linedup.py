@@ -14,8 +14,8 @@ from trackweave.llm.common import c, fresh, let, lookup, saved
 class LineChunks:
     """window: line hashes that the rolling hash spans. divisor: a line ends a chunk if that is 0 modulo it. long_words: a line of
     so many words is a chunk of its own, and a repeated chunk of so many goes whatever its lines. least_lines, least_words: of
-    other repeated chunks that go. Words are counted as blanks and line feeds plus one. broadcast_rows, broadcast_bytes: of
-    repeated chunks broadcast at most."""
+    other repeated chunks that go. Words are counted as blanks and line feeds plus one. broadcast_rows: repeated
+    chunks broadcast at most."""
 
     window: int = 2
     divisor: int = 3
@@ -23,7 +23,6 @@ class LineChunks:
     least_lines: int = 2
     least_words: int = 10
     broadcast_rows: int = 500_000
-    broadcast_bytes: int = 32 << 20
 
 
 def blanks(x: Column) -> Column:
@@ -66,27 +65,27 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     hash proposes, the texts decide. Short chunks stay (LineChunks). A text that loses all chunks becomes empty; a null text
     stays null. Null ids come last. Repeated rows are repeats of each other, told apart by row. An empty table gives no rows.
     """
-    name, row, parts, there = fresh(docs, "lines", "l_row", "l_parts", "l_there")
+    (name,) = fresh(docs, "lines")
     others = [c(x) for x in docs.columns if x.lower() != text.lower()]
-    base = docs.select(*others, F.monotonically_increasing_id().alias(row), c(text).isNotNull().alias(there), chunks(c(text), rules).alias(parts))
-    base = saved(base, "chunks")
-    one = base.select(c(doc_id).cast("long").alias("id"), c(row).alias("row"), F.posexplode(c(parts)).alias("place", "chunk"))
+    own = (F.struct(*others).alias("doc"), F.monotonically_increasing_id().alias("row"), c(text).isNotNull().alias("there"))
+    base = saved(docs.select(*own, chunks(c(text), rules).alias("parts")), "chunks")
+    one = base.select(F.col("doc")[doc_id].cast("long").alias("id"), "row", F.posexplode("parts").alias("place", "chunk"))
     n, lines = blanks(F.col("chunk")) + 1, F.col("chunk").contains("\n") if rules.least_lines == 2 else F.size(F.split("chunk", "\n", -1)) >= rules.least_lines
     one = one.where((n >= rules.long_words) | ((n >= rules.least_words) & lines)).withColumn("hash", F.xxhash64("chunk"))
     groups = one.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     groups = saved(groups, "repeated")
-    again = saved(lookup(one, groups, "hash", "left_semi", rules.broadcast_rows), "again")
-    # Within a hash the texts decide; the first place of each is found per task before anything meets.
+    again = lookup(one, groups, "hash", "left_semi", rules.broadcast_rows)
+    # Within a hash the texts decide; the first place of each is found per task before anything meets. Only then does a digest
+    # stand for the text.
     place = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "row", "place")
     firsts = again.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = saved(firsts.select(F.col("hash").alias("h"), F.col("chunk").alias("same"), "first"), "firsts")
-    few = (firsts.agg(F.sum(F.octet_length("same"))).first()[0] or 0) <= rules.broadcast_bytes
-    found = again.join(F.broadcast(firsts) if few else firsts, (F.col("hash") == F.col("h")) & (F.col("chunk") == F.col("same")))
+    firsts = saved(firsts.select(F.sha2("chunk", 256).alias("same"), "first"), "firsts")
+    found = lookup(again.select("row", "place", F.sha2("chunk", 256).alias("same")), firsts, "same", "inner", rules.broadcast_rows)
     gone = found.where(~((F.col("row") == F.col("first.row")) & (F.col("place") == F.col("first.place")))).select("row", "place")
     gone = saved(gone.groupBy("row").agg(F.collect_list("place").alias("gone")).withColumnRenamed("row", "g_row"), "gone")
     few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= rules.broadcast_rows
-    out = base.join(F.broadcast(gone) if few else gone, c(row) == F.col("g_row"), "left")
-    rest = F.when(F.col("gone").isNull(), c(parts)).otherwise(F.filter(c(parts), lambda x, i: ~F.array_contains("gone", i)))
-    clean = F.when(c(there), F.array_join(rest, "\n"))
-    digest = F.struct(F.size(c(parts)).cast("long").alias("n_chunks"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return out.select(*[clean.alias(x) if x.lower() == text.lower() else c(x) for x in docs.columns], digest.alias(name))
+    out = base.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("g_row"), "left")
+    rest = F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains("gone", i)))
+    clean = F.when(F.col("there"), F.array_join(rest, "\n"))
+    digest = F.struct(F.size("parts").cast("long").alias("n_chunks"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*[(clean if x.lower() == text.lower() else F.col("doc")[x]).alias(x) for x in docs.columns], digest.alias(name))

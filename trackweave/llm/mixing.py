@@ -99,13 +99,13 @@ def mix_sources(
     prefix ends, and only that range is sorted, so that no leaf is gathered. Nulls are names of their own; rows
     without words have no tokens and come with whatever prefix reaches them; repeated rows keep their own places. No rows, no rows.
     """
-    name, row, tokens, at, dom = fresh(docs, "mix", "m_row", "m_tokens", "m_at", "m_domain")
+    (name,) = fresh(docs, "mix")
+    row, tokens, at = "m_row", "m_tokens", "m_at"
     order = F.xxhash64(F.lit(mix.seed), c(doc_id).cast("string"), c(text))
-    marked = docs.select(
-        "*", F.monotonically_increasing_id().alias(row), F.size(words(c(text))).cast("long").alias(tokens), order.alias(at), domain.alias(dom)
-    )
+    own = (F.struct(*[c(x) for x in docs.columns]).alias("doc"), domain.alias("m_domain"), c(language).alias("m_language"), c(source).alias("m_source"))
+    marked = docs.select(*own, F.monotonically_increasing_id().alias(row), F.size(words(c(text))).cast("long").alias(tokens), order.alias(at))
     marked = saved(marked, "mix")
-    leaf = (c(dom).alias("domain"), c(language).alias("language"), c(source).alias("source"))
+    leaf = (F.col("m_domain").alias("domain"), F.col("m_language").alias("language"), F.col("m_source").alias("source"))
     leaves = saved(marked.groupBy(*leaf).agg(F.sum(c(tokens)).alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaves")
     plan = leaf_budgets(leaves, mix)
     passes = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
@@ -122,7 +122,7 @@ def mix_sources(
         out = out.withColumn("p_place", F.xxhash64(c(at), F.col("p_passes") + F.lit(mix.seed)))
         return out.withColumn("p_range", F.when(F.col("p_bits") == 0, 0).otherwise(F.expr("shiftrightunsigned(p_place, 64 - p_bits)")).cast("long"))
 
-    key = placed(marked.select(row, tokens, at, *dict.fromkeys([dom, language, source])))
+    key = placed(marked.drop("doc"))
     by = ["p_domain", "p_language", "p_source"]
     sums = key.groupBy(*by, "p_range").agg(F.sum(c(tokens)).alias("n"), F.first("p_rest").alias("rest"))
     upto = F.sum("n").over(Window.partitionBy(*by).orderBy("p_range"))
@@ -139,4 +139,4 @@ def mix_sources(
     out = lookup(out, edge.select("e_row"), c(row) == F.col("e_row"), "left", mix.broadcast_rows)
     more = F.when((F.col("part") == "all") | F.col("e_row").isNotNull(), 1).otherwise(0)
     digest = F.struct(c(tokens).alias("n_tokens"), (F.col("p_passes") + more).cast("long").alias("epochs"), F.col("p_budget").alias("budget"))
-    return out.select(*[c(x) for x in docs.columns], digest.alias(name))
+    return out.select(*[F.col("doc")[x].alias(x) for x in docs.columns], digest.alias(name))

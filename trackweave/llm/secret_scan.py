@@ -76,15 +76,14 @@ def secret_scan(
     on or if it looks like a placeholder, else `live`. Null owners and repositories count as one each. A null or empty text has
     no spans. Repeated rows are judged alike. A value that very many documents hold is counted per owner and task first.
     """
-    name, row, spans = fresh(docs, "secrets", "s_row", "s_spans")
+    (name,) = fresh(docs, "secrets")
     other = [x for x in docs.columns if x.lower() != text.lower()]
     whole = F.coalesce(c(text), F.lit(""))
     found = in_order(F.concat(*[spans_of(whole, *k) for k in KINDS]))
-    base = saved(docs.select(*[c(x) for x in other], F.monotonically_increasing_id().alias(row), found.alias(spans)), "spans")
     repo = F.to_json(F.struct(*[c(x).cast("string").alias(f"r{i}") for i, x in enumerate(repository)]))
-    one = base.where(F.size(c(spans)) > 0).select(
-        c(row).alias("row"), c(owner).cast("string").alias("owner"), repo.alias("repo"), F.posexplode(c(spans)).alias("i", "x")
-    )
+    own = (F.struct(*[c(x) for x in other]).alias("doc"), c(owner).cast("string").alias("owner"), repo.alias("repo"), F.monotonically_increasing_id().alias("row"))
+    base = saved(docs.select(*own, found.alias("spans")), "spans")
+    one = base.where(F.size("spans") > 0).select("row", "owner", "repo", F.posexplode("spans").alias("i", "x"))
     one = one.select("row", "owner", "repo", "i", "x", F.sha2(F.col("x.value"), 256).alias("hash"))
     chars = F.size(F.array_distinct(F.split(F.first("value"), "")))
     held = one.groupBy("hash", "owner", "repo").agg(F.first("x.value").alias("value"))
@@ -93,13 +92,14 @@ def secret_scan(
     shared = (F.col("owners") >= rules.shared_owners) | (F.col("chars") < rules.distinct_chars)
     verdicts = saved(held.select("hash", "owners", "repos", F.when(shared, "shared").otherwise("live").alias("verdict")), "verdicts")
     judged = one.join(verdicts, "hash").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "verdict", "owners", "repos"))).alias("v"))
-    out = base.join(judged, c(row) == F.col("row"), "left")
+    judged = judged.withColumnRenamed("row", "j_row")
+    out = base.join(judged, F.col("row") == F.col("j_row"), "left")
     all_spans = F.transform(
-        c(spans),
+        "spans",
         lambda x, i: F.struct(
             x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.get(F.col("v"), i)["verdict"].alias("verdict")
         ),
     )
     count = lambda verdict: F.size(F.filter(F.coalesce("v", F.array()), lambda x: x["verdict"] == verdict)).cast("long")
     digest = F.struct(all_spans.alias("spans"), count("live").alias("n_live"), count("shared").alias("n_shared"))
-    return out.select(*[c(x) for x in other], digest.alias(name))
+    return out.select(*[F.col("doc")[x].alias(x) for x in other], digest.alias(name))
