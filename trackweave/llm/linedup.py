@@ -88,4 +88,6 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     rest = F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains("gone", i)))
     clean = F.when(F.col("there"), F.array_join(rest, "\n"))
     digest = F.struct(F.size("parts").cast("long").alias("n_chunks"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return out.select(*[(clean if x.lower() == text.lower() else F.col("doc")[x]).alias(x) for x in docs.columns], digest.alias(name))
+    out = out.select("doc", clean.alias("clean"), digest.alias("digest"))
+    column = lambda x: F.col("clean") if x.lower() == text.lower() else F.col("doc")[x]
+    return out.select(*[column(x).alias(x) for x in docs.columns], F.col("digest").alias(name))

@@ -139,4 +139,4 @@ def mix_sources(
     out = lookup(out, edge.select("e_row"), c(row) == F.col("e_row"), "left", mix.broadcast_rows)
     more = F.when((F.col("part") == "all") | F.col("e_row").isNotNull(), 1).otherwise(0)
     digest = F.struct(c(tokens).alias("n_tokens"), (F.col("p_passes") + more).cast("long").alias("epochs"), F.col("p_budget").alias("budget"))
-    return out.select(*[F.col("doc")[x].alias(x) for x in docs.columns], digest.alias(name))
+    return out.select("doc", digest.alias("digest")).select(*[F.col("doc")[x].alias(x) for x in docs.columns], F.col("digest").alias(name))

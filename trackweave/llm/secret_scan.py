@@ -102,4 +102,4 @@ def secret_scan(
     )
     count = lambda verdict: F.size(F.filter(F.coalesce("v", F.array()), lambda x: x["verdict"] == verdict)).cast("long")
     digest = F.struct(all_spans.alias("spans"), count("live").alias("n_live"), count("shared").alias("n_shared"))
-    return out.select(*[F.col("doc")[x].alias(x) for x in other], digest.alias(name))
+    return out.select("doc", digest.alias("digest")).select(*[F.col("doc")[x].alias(x) for x in other], F.col("digest").alias(name))
