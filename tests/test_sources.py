@@ -93,3 +93,16 @@ def test_polling_advances_over_gaps(spark, tmp_path):
     taken = [job.run_once(store, contributions, links, users, config) for _ in range(3)]
     assert taken == [1, 2, 0] and store.last_contribution() == 41
     assert {r.users for r in store.cells(14).collect()} == {2}
+
+
+def test_stream_merges_each_batch_once(spark, tmp_path):
+    point = [{"lon": 4.35, "lat": 50.85}, {"lon": 4.3502, "lat": 50.85}]
+    kinds = "contribution_id long, user_id string, points array<struct<lon:double,lat:double>>"
+    store, config = Store(spark, f"file://{tmp_path}/store"), JobConfig(min_users=1, refresh_ms=0)
+    for i, user in enumerate("ab"):
+        spark.createDataFrame([(i, user, point)], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        tracks = spark.readStream.schema(kinds).parquet(f"{tmp_path}/in")
+        query = job.start_stream(store, tracks, f"{tmp_path}/checkpoint", config)
+        query.awaitTermination(180)
+        assert query.exception() is None
+    assert {r.users for r in store.cells(14).collect()} == {2} and {r.users for r in store.cells(0).collect()} != set()
