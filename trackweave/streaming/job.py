@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trackweave.config import JobConfig, Raster
-from trackweave.operators.cells import in_tiles
+from trackweave.operators.cells import BROADCAST_TILES, in_tiles
 from trackweave.operators.density import global_cells, user_cells
 from trackweave.operators.pyramid import rebuilt
 from trackweave.functions.tilemath import quotient, shift_right
@@ -31,19 +31,23 @@ def apply_batch(store: Store, tracks: DataFrame, batch_id: int, config: JobConfi
     tracks = tracks.dropDuplicates(["contribution_id", "user_id"]).withColumn("user_id", F.col("user_id").cast("string"))
     store.put_user_cells(user_cells(tracks, raster), batch_id)
     delta = spark.read.parquet(f"{store.root}/user_cells/batch_id={int(batch_id)}")
-    tiles = delta.select(F.lit(raster.zoom).alias("z"), quotient(F.col("px"), r).alias("x"), quotient(F.col("py"), r).alias("y")).distinct()
-    tiles.write.mode("overwrite").parquet(f"{store.root}/touched/z={raster.zoom}")
-    tiles = spark.read.schema("z int, x long, y long").parquet(f"{store.root}/touched/z={raster.zoom}").withColumn("z", F.lit(raster.zoom))
-    updated = tiles
-    store.replace(raster.zoom, tiles, global_cells(store.user_cells_of(tiles), config.min_users))
+    base = delta.select(quotient(F.col("px"), r).alias("x"), quotient(F.col("py"), r).alias("y")).distinct()
+    base.write.mode("overwrite").parquet(f"{store.root}/touched")
+    base = spark.read.parquet(f"{store.root}/touched")
+    mark = F.broadcast if base.count() <= BROADCAST_TILES else lambda df: df  # an ancestor's level has no more tiles
+    touched = {
+        z: base.select(shift_right(F.col("x"), raster.zoom - z).alias("x"), shift_right(F.col("y"), raster.zoom - z).alias("y")).distinct()
+        for z in range(raster.zoom + 1)
+    }
+    fresh = store.stage(raster.zoom, global_cells(store.user_cells_of(mark(base)), config.min_users))
     for z in range(raster.zoom - 1, -1, -1):
-        up = tiles.select(F.lit(z).alias("z"), shift_right(F.col("x"), 1).alias("x"), shift_right(F.col("y"), 1).alias("y")).distinct()
-        up.write.mode("overwrite").parquet(f"{store.root}/touched/z={z}")
-        tiles = spark.read.schema("z int, x long, y long").parquet(f"{store.root}/touched/z={z}").withColumn("z", F.lit(z))
-        below = tiles.select(F.lit(z + 1).alias("z"), F.explode(F.array(*[F.struct((F.col("x") * 2 + i).alias("x"), (F.col("y") * 2 + j).alias("y")) for i in (0, 1) for j in (0, 1)])).alias("t"))
-        children = in_tiles(store.cells(z + 1), below.select("z", "t.x", "t.y"), r)
-        store.replace(z, tiles, rebuilt(children))
-        updated = updated.unionByName(tiles)
+        children = store.siblings(z + 1, mark(touched[z]), mark(touched[z + 1])).unionByName(fresh)
+        fresh = store.stage(z, rebuilt(children))
+    updated = None
+    for z, tiles in touched.items():
+        tiles = tiles.select(F.lit(z).alias("z"), "x", "y")
+        updated = tiles if updated is None else updated.unionByName(tiles)
+    store.replace(updated)
     return updated
 
 

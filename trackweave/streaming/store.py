@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.functions.tilemath import quotient, shift_right
-from trackweave.operators.cells import few_tiles, in_tiles
 
 USER_CELLS = "user_id string, px long, py long, hits long"
 CELLS = "z int, px long, py long, users long, trips long"
@@ -39,8 +38,23 @@ class Store:
     def user_cells_of(self, tiles: DataFrame) -> DataFrame:
         """The same for base tiles (x, y) only, filtered before anything is summed."""
         rows = self.spark.read.schema(USER_CELLS + ", batch_id long").parquet(f"{self.root}/user_cells")
-        rows = rows.withColumns({"x": quotient(F.col("px"), self.resolution), "y": quotient(F.col("py"), self.resolution)})
-        return rows.join(few_tiles(tiles.select("x", "y")), ["x", "y"], "left_semi").groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
+        return self._tiled(rows).join(tiles.select("x", "y"), ["x", "y"], "left_semi").groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
+
+    def _tiled(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"x": quotient(F.col("px"), self.resolution), "y": quotient(F.col("py"), self.resolution)})
+
+    def siblings(self, zoom: int, parents: DataFrame, touched: DataFrame) -> DataFrame:
+        """px, py, users, trips of a zoom's stored cells below parents (x, y) but not in the touched tiles (x, y)."""
+        rows = self._tiled(self.cells(zoom)).withColumns({"ux": shift_right(F.col("x"), 1), "uy": shift_right(F.col("y"), 1)})
+        up = parents.select(F.col("x").alias("ux"), F.col("y").alias("uy"))
+        rows = rows.join(up, ["ux", "uy"], "left_semi").join(touched.select("x", "y"), ["x", "y"], "left_anti")
+        return rows.select("px", "py", "users", "trips")
+
+    def stage(self, zoom: int, fresh: DataFrame) -> DataFrame:
+        """Fresh cells of a zoom, written aside."""
+        path = f"{self.root}/fresh/z={zoom}"
+        fresh.select("px", "py", "users", "trips").write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     def compact(self, batch_id: int) -> None:
         """All user cells as one batch; earlier ones go. For a moment when no batch runs."""
@@ -57,25 +71,22 @@ class Store:
         rows = self.spark.read.schema(CELLS.replace("z int, ", "") + ", z int, bucket string").parquet(f"{self.root}/cells")
         return (rows if zoom is None else rows.where(F.col("z") == zoom)).select("z", "px", "py", "users", "trips")
 
-    def _bucket(self):
-        n = lambda c: shift_right(quotient(F.col(c), self.resolution), BUCKET).cast("string")
-        return F.concat_ws("-", n("px"), n("py"))
-
-    def replace(self, zoom: int, tiles: DataFrame, fresh: DataFrame) -> None:
-        """The tiles (z, x, y) of a zoom get the fresh cells for what they held; only their buckets are written."""
-        touched = tiles.select(F.concat_ws("-", shift_right(F.col("x"), BUCKET).cast("string"), shift_right(F.col("y"), BUCKET).cast("string")).alias("bucket")).distinct()
-        old = self.cells(zoom).withColumn("bucket", self._bucket()).join(few_tiles(touched), "bucket", "left_semi")
-        old = old.select("z", "px", "py", "users", "trips")
-        old = old.withColumns({"x": quotient(F.col("px"), self.resolution), "y": quotient(F.col("py"), self.resolution)})
-        old = old.join(few_tiles(tiles.select("x", "y")), ["x", "y"], "left_anti").select("z", "px", "py", "users", "trips")
-        now = old.unionByName(in_tiles(fresh.withColumn("z", F.lit(zoom)).select("z", "px", "py", "users", "trips"), tiles, self.resolution))
+    def replace(self, tiles: DataFrame) -> None:
+        """The tiles (z, x, y) get the staged fresh cells for what they held; only their buckets are written."""
+        n = lambda c: shift_right(F.col(c), BUCKET).cast("string")
+        bucket = F.concat_ws("-", n("x"), n("y"))
+        touched = tiles.select("z", bucket.alias("bucket")).distinct()
+        old = self._tiled(self.cells()).withColumn("bucket", bucket).join(touched, ["z", "bucket"], "left_semi")
+        old = old.join(tiles.select("z", "x", "y"), ["z", "x", "y"], "left_anti")
+        fresh = self.spark.read.schema(CELLS.replace("z int, ", "") + ", z int").parquet(f"{self.root}/fresh")
+        fresh = self._tiled(fresh).withColumn("bucket", bucket)
+        columns = ["z", "px", "py", "users", "trips", "bucket"]
         staged = f"{self.root}/staged"
-        now.withColumn("bucket", self._bucket()).write.mode("overwrite").parquet(staged)
+        old.select(columns).unionByName(fresh.select(columns)).repartition("z", "bucket").write.mode("overwrite").parquet(staged)
         ready = self.spark.read.parquet(staged)
-        emptied = few_tiles(touched).join(ready.select("bucket").distinct(), "bucket", "left_anti")
         ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("z", "bucket").parquet(f"{self.root}/cells")
-        for (bucket,) in emptied.collect():  # buckets of one batch's tiles that lost everything
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/cells/z={zoom}/bucket={bucket}")
+        for z, name in touched.join(ready.select("z", "bucket").distinct(), ["z", "bucket"], "left_anti").collect():  # of one batch
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/cells/z={z}/bucket={name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def last_contribution(self) -> int:
