@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm.bpe import encode_texts
-from trackweave.llm.common import c, lookup, saved
+from trackweave.llm.common import c, drop_saved, lookup, recorded, saved
 from trackweave.llm.linedup import line_dedup
 from trackweave.llm.mixing import Mixture, mix_sources
 from trackweave.llm.neardup import near_duplicates
@@ -21,24 +23,45 @@ MIX = Mixture(percent=90, epochs=1)
 BROADCAST_IDS = 1_000_000
 
 
+#: Tables that the stage before has left in the shared folder.
+_left: list[str] = []
+
+
+def stage(f):
+    """A stage drops what the one before has left behind, which its result needed until it was written."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            drop_saved(spark, _left.pop())
+        with recorded(_left):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does."""
     judged = quality_rules(docs)
     return judged.where(c(judged.columns[-1])["kept"]).select(*[c(x) for x in docs.columns])
 
 
+@stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without repeated chunks of lines; n_chars follows the text."""
     clean = line_dedup(docs).select(*[c(x) for x in docs.columns])
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     gone = saved(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     return lookup(docs, gone, "doc_id", "left_anti", BROADCAST_IDS).select(*[c(x) for x in docs.columns])
 
 
+@stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture reads it."""
     mixed = mix_sources(docs, F.expr(DOMAIN), mix=MIX)
@@ -47,6 +70,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.where(times > 0).select(*[c(x) for x in docs.columns], copies.alias("m_copy")).drop("m_copy")
 
 
+@stage
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes decoded from them."""
     out = encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -68,6 +92,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for name, run_stage in STAGES:
+        docs = saved(run_stage(spark, docs, sf_dir), name)
     return docs

@@ -269,7 +269,8 @@ def test_pipeline_catches_copies_and_keeps_clean_documents(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "mix_sources", "byte_bpe"]
     kept, seen = docs, {}
     for name, stage in corpus_pipeline.STAGES:
-        kept = stage(spark, kept, str(tmp_path))
+        stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
         seen[name] = {r.doc_id: r for r in kept.collect()}
         if name != "byte_bpe":
             assert kept.columns == docs.columns

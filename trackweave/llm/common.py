@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
 
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Adds the paths that new_folder() gives out meanwhile."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.remove(paths)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
@@ -36,7 +49,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/trackweave/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/trackweave/{label}-{uuid.uuid4().hex[:12]}"
+    for paths in _recorders:
+        paths.append(path)
+    return path
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
