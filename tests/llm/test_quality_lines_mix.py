@@ -96,6 +96,49 @@ def test_line_dedup_equals_brute_force(spark):
     assert {x for t in texts for x in t.split("\n") if len(x.split()) >= 50} == set(words)
 
 
+def brute_line_dedup(texts, rules=LineChunks()):
+    """Every passage of lines that the rules let go, of any length, against the first copy of its bytes."""
+    split, first, gone = [t.split("\n") for t in texts], {}, [set() for _ in texts]
+    for d, lines in enumerate(split):
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = "\n".join(lines[i:j])
+                n = run.count(" ") + run.count("\n") + 1
+                if n >= rules.long_words or (j - i >= rules.least_lines and n >= rules.least_words):
+                    at = first.setdefault(run, (d, i))
+                    if at[0] != d or i >= at[1] + j - i:
+                        gone[d] |= set(range(i, j))
+    return ["\n".join(x for k, x in enumerate(lines) if k not in gone[d]) for d, lines in enumerate(split)]
+
+
+def test_passages_between_other_neighbours_go(spark):
+    random.seed(11)
+    passages, texts, own = [], [], []
+    for n in range(2, 7):
+        for size in (3, 12, 30, 49):
+            passages.append("\n".join(" ".join(f"p{n}x{size}y{i}z{k}" for k in range(size)) for i in range(n)))
+    for copy in range(3):
+        for p, passage in enumerate(passages):
+            mine = [" ".join(f"u{copy}p{p}l{i}k{k}" for k in range(random.randrange(1, 15))) for i in range(4)]
+            own.append("\n".join(mine))
+            texts.append("\n".join([*mine[:2], passage, *mine[2:]]))
+    got = {r.doc_id: r.text for r in line_dedup(frame(spark, texts)).collect()}
+    least = lambda p: passages[p].count(" ") + passages[p].count("\n") + 1 >= 10
+    for i, t in enumerate(texts):
+        p = i % len(passages)
+        assert got[i] == (own[i] if i >= len(passages) and least(p) else t), (i, p)
+    assert [got[i] for i in range(len(texts))] == brute_line_dedup(texts)
+
+
+def test_line_dedup_equals_all_passages(spark):
+    random.seed(12)
+    pool = [" ".join(random.choice("ab") + str(k) for k in range(n)) for n in (1, 1, 2, 4, 5, 9, 30, 55)] + ["", " "]
+    texts = ["\n".join(random.choice(pool) for _ in range(random.randrange(1, 14))) for _ in range(150)] + ["a b c d e f\n" * 5, "x\ny\n" * 12]
+    for rules in (LineChunks(), LineChunks(least_lines=3, least_words=7, long_words=20), LineChunks(least_lines=1), LineChunks(broadcast_rows=3)):
+        out = {r.doc_id: r for r in line_dedup(frame(spark, texts).repartition(5), rules=rules).collect()}
+        assert [out[i].text for i in range(len(texts))] == brute_line_dedup(texts, rules)
+
+
 def brute_budgets(leaves, weights, budget, epochs):
     """Fills a tree step by step: what full children cannot take goes to their siblings."""
 
