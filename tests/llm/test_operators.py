@@ -111,6 +111,18 @@ def test_archives_read_back(spark, tmp_path):
     assert warc.read_archives(spark, none, folder + "0").count() == 0
 
 
+def test_headers_beyond_what_a_task_reads_at_first(spark, tmp_path):
+    rows = [(i, "http://x/" + "é " * (40000 if i % 7 == 3 else 5) + str(i), f"page {i} WARC/1.1\r\n") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    rules = warc.Archives(file_bytes=400000, split_bytes=1000, header_bytes=500)
+    folder = f"file://{tmp_path}/warc"
+    manifest = warc.write_archives(pages, folder, rules=rules)
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.read_archives(spark, manifest, folder, rules).collect()}
+    assert got == {i: (len(html), "response") for i, _, html in rows}
+    with pytest.raises(ValueError, match="in the manifest"):
+        warc.read_archives(spark, manifest.withColumn("records", F.col("records") + 1), folder, rules)
+
+
 def test_damaged_headers_are_no_records():
     assert warc.parse_header(b"WARC/1.1\r\nContent-Length: x\r\n\r\n", 0) is None
     assert warc.parse_header(b"WARC/1.1\r\nno colon\r\n\r\n", 0) is None

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import c, forget, lookup, new_folder, saved
 
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
-FOUND = "path string, split long, at long, next long, leaves long, page_id long, type string, digest string, refers_to long, body long, length long, payload_bytes long"
+FOUND = "path string, split long, at long, next long, leaves long, page_id long, type string, digest string, refers_to long, body long, length long, payload_bytes long, steps long"
 
 
 @dataclass(frozen=True)
 class Archives:
-    """file_bytes: a file takes no further record beyond it. split_bytes: range of one reading task. header_bytes: most of a header.
+    """file_bytes: a file takes no further record beyond it. split_bytes: range of one reading task. header_bytes: what it reads beyond
+    at first; longer headers are read on.
     revisit_bytes: least payload that is worth a revisit. broadcast_groups: groups of copies broadcast at most."""
 
     file_bytes: int = 16 << 20
@@ -114,21 +115,26 @@ def _number(s: str | None) -> int | None:
     return int(m[1]) if (m := re.search(r"(\d+)>?$", s or "")) else None
 
 
-def candidates(data: bytes, start: int, end: int, path: str = "") -> list[tuple]:
+def candidates(data: bytes, start: int, end: int, path: str = "", more: Callable[[int], bytes] = lambda at: b"") -> list[tuple]:
     """A row of FOUND for whatever looks like a record and starts in the first end - start bytes of data, which lies at offset
-    start of its file. `leaves` is where the chain from a candidate first lands outside of this range."""
+    start of its file. `leaves` is where the chain from a candidate first lands outside of this range, after `steps` records.
+    more(at) gives further bytes of the file from offset at on, none at its end; it is asked where data ends within a header."""
     rows, at = [], data.find(MAGIC)
     while 0 <= at < end - start:
+        while data.find(END, at) < 0 and (further := more(start + len(data))):
+            data += further
         if x := parse_header(data, at):
             length = int(x["content-length"])
             then = start + x["body"] + length + len(END)
             digest = x.get("warc-payload-digest", "").removeprefix("sha1:")
             rows.append([path, start, start + at, then, then, _number(x.get("warc-record-id")), x.get("warc-type"), digest])
-            rows[-1] += [_number(x.get("warc-refers-to")), start + x["body"], length, _number(x.get("x-payload-length"))]
+            rows[-1] += [_number(x.get("warc-refers-to")), start + x["body"], length, _number(x.get("x-payload-length")), 1]
         at = data.find(MAGIC, at + 1)
     leaves: dict[int, int] = {}
+    steps: dict[int, int] = {}
     for row in reversed(rows):
         row[4] = leaves[row[2]] = leaves.get(row[3], row[3])
+        row[-1] = steps[row[2]] = 1 + steps.get(row[3], 0)
     return [tuple(row) for row in rows]
 
 
@@ -141,7 +147,13 @@ def _candidates(folder: str, most: int):
             for path, start, end, size in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 with store.open_input_file(path) as file:
                     file.seek(start)
-                    rows = candidates(file.read(min(size, end + most) - start), start, end, path)
+                    data = file.read(min(size, end + max(most, len(MAGIC))) - start)
+
+                    def more(at: int, file=file, start=start, size=size) -> bytes:
+                        file.seek(at)
+                        return file.read(min(size - at, max(most, at - start)))
+
+                    rows = candidates(data, start, end, path, more)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -202,12 +214,17 @@ def read_archives(spark, manifest: DataFrame, folder: str, rules: Archives = Arc
     Tasks read ranges of files and emit whatever looks like a record and where the next one would be; only what lies on the
     chain from a file's start counts, so that a record's magic within a payload is none. Ranges bound what a task holds.
     Sizes and digests of responses are worked out anew from the payload, those of revisits are those of their header.
+    Raises ValueError if the chain of a file has another number of records than its row of the manifest says.
     """
     ranges = manifest.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(rules.split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + rules.split_bytes, "size").alias("end"), "size")
     ranges = ranges.repartition(F.col("path"), F.col("start"))
     found = saved(ranges.mapInArrow(_candidates(folder, rules.header_bytes), FOUND), "candidates")
     start = entries(found).select("path", "split", F.col("at").alias("entry"))
+    steps = found.select("path", F.col("at").alias("entry"), "steps").join(start, ["path", "entry"]).groupBy("path").agg(F.sum("steps").alias("read"))
+    other = manifest.join(steps, "path", "left").where(F.coalesce("read", F.lit(0)) != F.col("records")).first()
+    if other:
+        raise ValueError(f"{other.path}: {other.read or 0} records on the chain from its start, {other.records} in the manifest")
     whole = found.join(start, ["path", "split"])
     out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return whole.groupBy("path", "split").applyInArrow(_records(folder), out)
