@@ -53,6 +53,13 @@ def test_values_of_many_owners_are_shared(spark):
     assert [rows[i].n_shared for i in range(9)] == [1] * 6 + [0, 1, 0] and rows[6].n_live == 1 and rows[6].spans[0].verdict == "live"
 
 
+def test_spans_carry_owners_and_repositories(spark):
+    rows = [(i, "token=commonvalue123 secret: onlyonehere99" if i == 4 else "token=commonvalue123", f"l{i}", f"s{i % 2}") for i in range(6)]
+    out = secret_scan.secret_scan(spark.createDataFrame(rows, DOCS))
+    got = {r.doc_id: [(x.verdict, x.owners, x.repos) for x in r.secrets.spans] for r in out.collect()}
+    assert got == {i: [("live", 2, 6)] + [("live", 1, 1)] * (i == 4) for i in range(6)}
+
+
 # Chat
 
 

@@ -70,10 +70,10 @@ def secret_scan(
     docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), rules: Ownership = Ownership()
 ) -> DataFrame:
     """docs without the text, each row with one struct column `secrets` (by another name if taken): spans, an array of
-    {kind, start, end, value, verdict} in order, and n_live, n_shared.
+    {kind, start, end, value, verdict, owners, repos} in order, and n_live, n_shared.
 
-    A value's verdict counts the distinct owners and repositories that hold it anywhere: `shared` from shared_owners owners
-    on or if it looks like a placeholder, else `live`. Null owners and repositories count as one each. A null or empty text has
+    owners and repos are how many distinct ones hold the value anywhere. Of them only the owners decide: a value is `shared` from
+    shared_owners owners on or if it looks like a placeholder, else `live`, in however many repositories of fewer owners. Null owners and repositories count as one each. A null or empty text has
     no spans. Repeated rows are judged alike. A value that very many documents hold is counted per owner and task first.
     """
     (name,) = fresh(docs, "secrets")
@@ -97,7 +97,7 @@ def secret_scan(
     all_spans = F.transform(
         "spans",
         lambda x, i: F.struct(
-            x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.get(F.col("v"), i)["verdict"].alias("verdict")
+            *[x[k].alias(k) for k in ("kind", "start", "end", "value")], *[F.get(F.col("v"), i)[k].alias(k) for k in ("verdict", "owners", "repos")]
         ),
     )
     count = lambda verdict: F.size(F.filter(F.coalesce("v", F.array()), lambda x: x["verdict"] == verdict)).cast("long")
