@@ -25,3 +25,10 @@ def test_queries_equal_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda df: sorted(map(tuple, df[sorted(df.columns)].values.tolist()))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", [f"{x}_all" for x in ("pyramid_compat", "diff_pyramid_saturating", "vector_features")])
+def test_whole_queries_equal_sql(spark, name):
+    test_queries_equal_sql(spark, name)
+    part, whole = queries.QUERIES[name.removesuffix("_all")](spark, SF), queries.QUERIES[name](spark, SF)
+    assert part.select(*part.columns).exceptAll(whole.select(*part.columns)).count() == 0 and whole.count() > part.count()

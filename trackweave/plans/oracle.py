@@ -148,3 +148,10 @@ ORACLE = {
       b AS (SELECT *, degrees(atan(sinh(pi() - 2.0e0 * pi() * y / n))) AS t, degrees(atan(sinh(pi() - 2.0e0 * pi() * (y + 1) / n))) AS b FROM q)
       SELECT z, x, y, cx, cy, round((x + cx / 512.0e0) / n * 360 - 180, 6) AS lon, round(t - (t - b) / 512 * cy, 6) AS lat, users, trips FROM b""",
 }
+
+# The same over all zooms.
+ORACLE |= {
+    "pyramid_compat_all": ORACLE["pyramid_compat"].replace(" WHERE z >= 11", ""),
+    "diff_pyramid_saturating_all": ORACLE["diff_pyramid_saturating"].replace("range(7)", "range(15)"),
+    "vector_features_all": ORACLE["vector_features"].replace(" WHERE z >= 12", ""),
+}

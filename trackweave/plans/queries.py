@@ -328,6 +328,20 @@ def vector_features(spark, d):
     return out.select("z", "x", "y", "cx", "cy", *_rounded({"lon": F.col("lon"), "lat": F.col("lat")}), "users", "trips")
 
 
+def pyramid_compat_all(spark, d):
+    return pyramid.pyramid(kept(spark, d), semantics=COMPAT)
+
+
+def diff_pyramid_saturating_all(spark, d):
+    diff = cells(spark, d).select("px", "py", (F.col("value") * 100_000_000).alias("value"))
+    return pyramid.diff_pyramid(diff, Z, 0)
+
+
+def vector_features_all(spark, d):
+    out = features(pyramid.pyramid(kept(spark, d)))
+    return out.select("z", "x", "y", "cx", "cy", *_rounded({"lon": F.col("lon"), "lat": F.col("lat")}), "users", "trips")
+
+
 def vector_tiles_mvt(spark, d):
     return vector_tiles(pyramid.pyramid(kept(spark, d)))
 
@@ -341,5 +355,6 @@ QUERIES = {
         diff_pyramid_saturating, apply_diff, apply_diff_compat, encode_decode, sign_magnitude, varint_bytes, copy_tiles, add_tiles, add_tiles_fold,
         update_values, remove_tiles, cell_lookup, list_tiles, tile_values, contribution_window, latest_contribution, admission_prefix, per_user_last,
         modified_tiles, incremental_equals_batch, top_cells, vector_features, vector_tiles_mvt,
+        pyramid_compat_all, diff_pyramid_saturating_all, vector_features_all,
     )
 }
