@@ -27,7 +27,7 @@ def test_queries_equal_sql(spark, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", [f"{x}_all" for x in ("pyramid_compat", "diff_pyramid_saturating", "vector_features")])
+@pytest.mark.parametrize("name", [f"{x}_all" for x in ("pyramid_compat", "diff_pyramid_saturating", "vector_features", "modified_tiles", "tile_values")])
 def test_whole_queries_equal_sql(spark, name):
     test_queries_equal_sql(spark, name)
     part, whole = queries.QUERIES[name.removesuffix("_all")](spark, SF), queries.QUERIES[name](spark, SF)

@@ -149,9 +149,11 @@ ORACLE = {
       SELECT z, x, y, cx, cy, round((x + cx / 512.0e0) / n * 360 - 180, 6) AS lon, round(t - (t - b) / 512 * cy, 6) AS lat, users, trips FROM b""",
 }
 
-# The same over all zooms.
+# The same over all zooms, batches and tiles.
 ORACLE |= {
     "pyramid_compat_all": ORACLE["pyramid_compat"].replace(" WHERE z >= 11", ""),
     "diff_pyramid_saturating_all": ORACLE["diff_pyramid_saturating"].replace("range(7)", "range(15)"),
     "vector_features_all": ORACLE["vector_features"].replace(" WHERE z >= 12", ""),
+    "modified_tiles_all": f"WITH {seg()} SELECT DISTINCT contribution_id % 7 AS batch, 14 AS z, px // 512 AS x, py // 512 AS y FROM p",
+    "tile_values_all": f"WITH {seg()} SELECT z, px // 512 AS x, py // 512 AS y, CAST(px % 512 AS INTEGER) AS cx, CAST(py % 512 AS INTEGER) AS cy, value FROM v",
 }

@@ -342,6 +342,18 @@ def vector_features_all(spark, d):
     return out.select("z", "x", "y", "cx", "cy", *_rounded({"lon": F.col("lon"), "lat": F.col("lat")}), "users", "trips")
 
 
+def modified_tiles_all(spark, d):
+    """Tiles that each batch touches, the contributions' remainder modulo 7 being the batch."""
+    drawn = raster.draw(raster.segments(event_tracks(spark, d)))
+    x, y = (tm.quotient(F.col(v), R).alias(k) for v, k in (("px", "x"), ("py", "y")))
+    return drawn.select((F.col("contribution_id") % 7).alias("batch"), F.lit(Z).alias("z"), x, y).distinct()
+
+
+def tile_values_all(spark, d):
+    hits = cells(spark, d)
+    return ct.offsets(ct.in_tiles(hits, ct.list_tiles(hits)))
+
+
 def vector_tiles_mvt(spark, d):
     return vector_tiles(pyramid.pyramid(kept(spark, d)))
 
@@ -355,6 +367,6 @@ QUERIES = {
         diff_pyramid_saturating, apply_diff, apply_diff_compat, encode_decode, sign_magnitude, varint_bytes, copy_tiles, add_tiles, add_tiles_fold,
         update_values, remove_tiles, cell_lookup, list_tiles, tile_values, contribution_window, latest_contribution, admission_prefix, per_user_last,
         modified_tiles, incremental_equals_batch, top_cells, vector_features, vector_tiles_mvt,
-        pyramid_compat_all, diff_pyramid_saturating_all, vector_features_all,
+        pyramid_compat_all, diff_pyramid_saturating_all, vector_features_all, modified_tiles_all, tile_values_all,
     )
 }
