@@ -2,8 +2,6 @@ import base64
 import hashlib
 import random
 import re
-import struct
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from trackweave.llm import bpe, chat, neardup, secret_scan, tokencodec, topk, warc
+from trackweave.llm import bpe, chat, neardup, secret_scan, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -136,42 +134,6 @@ def test_damaged_headers_are_no_records():
     assert warc.parse_header(b"WARC/1.1\r\nContent-Length: 3", 0) is None
 
 
-# Token files
-
-
-def test_blocks_round_trip_and_notice_damage():
-    rng = np.random.default_rng(2)
-    blocks = [rng.integers(0, 65536, 300), np.zeros(500, np.int64), np.tile([7, 8, 9], 100), np.array([65535]), np.empty(0, np.int64)]
-    coded = tokencodec.encode_blocks(blocks)
-    assert all(np.array_equal(a, b) for a, b in zip(blocks, tokencodec.decode_blocks(coded), strict=True))
-    assert len(coded[1]) < 200 and len(coded[2]) < 250
-    assert tokencodec.encode_blocks([blocks[2]]) == [coded[2]]  # a block depends on nothing else
-    for at in (20, len(coded[0]) - 1, 8):
-        bad = bytearray(coded[0])
-        bad[at] ^= 1
-        with pytest.raises(ValueError):
-            tokencodec.decode_blocks([bytes(bad)])
-
-
-def test_token_files_equal_the_library(spark, tmp_path):
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = ["hello world", None, "", "<|endoftext|> x", "é😀 \n\n", "word " * 3000, "hello world"]
-    docs = frame(spark, texts).repartition(3)
-    folder = f"file://{tmp_path}/tok"
-    rules = tokencodec.TokenFiles(block=128, lanes=8, texts=2)
-    manifest = tokencodec.write_tokens(docs, folder, path, rules=rules)
-    got = {r.doc_id: tuple(r)[1:] for r in tokencodec.read_tokens(manifest, folder, rules).collect()}
-    start = 0
-    for i, text in enumerate(texts):
-        ids = t.encode(text or "", add_special_tokens=False).ids + [2]
-        assert got[i] == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
-        start += len(ids)
-
-
 # Byte-level BPE
 
 

@@ -47,10 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_trackweave"
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
+def new_folder(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A fresh path below the shared folder. keep: for as long as the session lives, whoever records."""
     path = f"{shared_folder(spark)}/trackweave/{label}-{uuid.uuid4().hex[:12]}"
-    for paths in _recorders:
+    for paths in [] if keep else _recorders:
         paths.append(path)
     return path
 

@@ -1,360 +1,328 @@
-"""Token ids in compressed binary files: an adaptive context-mixing range coder over independent blocks."""
+"""Token ids in compressed binary files: an adaptive context-mixing range coder over independent blocks.
+
+The coder itself is IdCoder.java beside this file, which the compiler that Spark ships turns into two UDFs when a session first
+asks for them: a range coder is a loop over single ids, for which neither Columns nor arrays of numpy have a fast form.
+"""
 
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.common import c, new_folder, saved
 
-# Fixed values of the format: magic, and the heads of a file and of a block.
-MAGIC = b"TWTOK1\n\0"
+# Fixed values of the format: magic, and the head of a block.
+MAGIC = b"TWTOK2\n\0"
 BLOCK, HEAD = "<IIII", 16  # ids, bytes, crc32 of the ids, crc32 of the bytes
 
-#: Probabilities have 12 bits, states of the coder 32; a probability moves by 1/2**RATE of its error.
-BITS, RATE = 12, 4
+#: Names of the UDFs.
+ENCODE, DECODE = "trackweave_encode_ids", "trackweave_decode_ids"
+
+# White space as the splitting pattern of byte-level BPE knows it (Unicode), for RE2.
+WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts that are not cut at their blanks: white space that is not one blank or one line feed between two words, or a mark below.
+ODD = rf"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$|[\t\x0b-\r\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x00-\x02]"
+#: Marks: before a text's first word, after its last word, and a text by its number.
+FIRST, LAST, WHOLE = "\x00", "\x01", "\x02"
 
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """block: ids that are coded together, from fresh statistics. lanes: blocks coded side by side at most. end_id: put after each
-    document. texts: given to the tokenizer at once. table: slots of a block's hashed statistics, a power of two."""
+    """block: ids that are coded together, from fresh statistics. end_id: put after each document. slice_bytes: texts that are put
+    through the tokenizer together, about. memo: words whose ids a worker remembers at most."""
 
-    block: int = 4096
-    lanes: int = 2048
+    block: int = 16384
     end_id: int = 2
-    texts: int = 200
-    table: int = 1024
+    slice_bytes: int = 4 << 20
+    memo: int = 500_000
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.end_id < 1 << 16 or not 0 < self.block <= 1 << 20:
+            raise ValueError("end_id must be below 65536 and block at most 2**20")
 
 
-class Model:
-    """What predicts the next id of every lane. All lanes take the same step, so that numpy works on all at once.
+def register_coder(spark: SparkSession) -> None:
+    """Defines ENCODE (ids as unsigned 16 bits, lowest byte first, to a block) and DECODE (back) in the session.
 
-    Orders 2 and 1 each remember, by a hash of the last ids, the id that came there last and how often it held; order 0 has
-    counts for a path through 16 binary decisions. An id is coded as: is it order 2's? else is it order 1's? else its
-    16 bits. The probability of each decision mixes those of two contexts, by weights that follow what either has said.
+    The classes go into a jar in the shared folder, which Spark hands to the executors that are there or come later.
+    """
+    if spark.catalog.functionExists(ENCODE):
+        return
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.cook((Path(__file__).parent / "IdCoder.java").read_text())
+    jar = io.BytesIO()
+    with zipfile.ZipFile(jar, "w") as z:
+        for name, code in compiler.getBytecodes().items():
+            z.writestr(name.replace(".", "/") + ".class", bytes(code))
+    folder = new_folder(spark, "coder", keep=True)
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/coder.jar") as out:
+        out.write(jar.getvalue())
+    spark.sql(f"ADD JAR '{folder}/coder.jar'")
+    loader = spark._jsparkSession.sharedState().jarClassLoader()
+    none = gateway.new_array(jvm.java.lang.Class, 0), gateway.new_array(jvm.java.lang.Object, 0)
+    for name, kind in ((ENCODE, "IdEncoder"), (DECODE, "IdDecoder")):
+        made = loader.loadClass(f"trackweave.llm.{kind}").getDeclaredConstructor(none[0]).newInstance(none[1])
+        spark._jsparkSession.udf().register(name, made, spark._jsparkSession.parseDataType('"binary"'))
+
+
+class Words:
+    """The ids of texts by the tokenizers library, each word once.
+
+    With byte-level BPE, white space that follows a word always starts a new piece, and no merge crosses the ends of a piece. So a
+    text may be cut before each blank and line feed between words, and the ids of the cuts concatenate to those of the text.
+    Every other text, and all texts of any other kind of tokenizer, go to the library whole.
     """
 
-    def __init__(self, lanes: int, table: int) -> None:
-        self.n, self.size = lanes, table
-        self.last = np.zeros((2, lanes), np.int64)
-        self.guess = [np.full(lanes * table, -1, np.int32) for _ in range(2)]
-        self.trust = [np.zeros(lanes * table, np.uint8) for _ in range(2)]
-        half = 1 << (BITS - 1)
-        # By lane: 2 flags x (16 trusts x 16 trusts), then by one trust alone.
-        self.flag_pair = np.full(lanes * 512, half, np.int16)
-        self.flag_one = np.full(lanes * 32, half, np.int16)
-        self.bit0 = np.full(lanes * table * 2, half, np.int16)
-        self.bit1 = np.full(lanes * table * 2, half, np.int16)
-        self.weight = np.full(lanes * 18, 1 << 15, np.int32)
-        self.base = np.arange(lanes, dtype=np.int64)
-
-    def slots(self) -> list[np.ndarray]:
-        a, b = self.last
-        two = ((a * 2654435761 + b * 40503 + 12345) >> 7) & (self.size - 1)
-        one = ((a * 2654435761 + 977) >> 9) & (self.size - 1)
-        return [self.base * self.size + two, self.base * self.size + one]
-
-    def mix(self, lane: np.ndarray, kind: int | np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        w = self.weight[lane * 18 + kind]
-        p, q = p.astype(np.int32), q.astype(np.int32)
-        return np.minimum(np.maximum(q + ((p - q) * (w >> 1) >> 15), 24), (1 << BITS) - 24)
-
-    def learn(self, lane: np.ndarray, kind, bit: np.ndarray, one: np.ndarray, i: np.ndarray, two: np.ndarray, j: np.ndarray) -> None:
-        """Moves both probabilities towards the bit, and the weight towards whichever was nearer."""
-        target = bit.astype(np.int32) << BITS
-        p, q = one[i].astype(np.int32), two[j].astype(np.int32)
-        at = lane * 18 + kind
-        w = self.weight[at]
-        self.weight[at] = np.minimum(np.maximum(w + (np.abs(target - q) - np.abs(target - p)) * 2, 2048), 65536 - 2048)
-        one[i] = p + ((target - p) >> RATE)
-        two[j] = q + ((target - q) >> (RATE + 1))
-
-    def flag(self, coder, lane: np.ndarray, which: int, own: np.ndarray, other: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        i = lane * 512 + which * 256 + own * 16 + other
-        j = lane * 32 + which * 16 + own
-        p = self.mix(lane, which, self.flag_pair[i], self.flag_one[j])
-        bit = coder(lane, p, bit)
-        self.learn(lane, which, bit, self.flag_pair, i, self.flag_one, j)
-        return bit
-
-    def plain(self, coder, lane: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """The 16 bits of an id, highest first: order 0 by the bits so far, order 1 by those and the last id."""
-        out = np.ones(len(lane), np.int64)
-        context = (self.last[0][lane] * 40503) & 0xFFFF
-        width = self.size * 2
-        for k in range(15, -1, -1):
-            near = out if 1 << (15 - k) < width >> 1 else (out * 2654435761 >> 5) & (width - 1)
-            i = lane * width + near
-            j = lane * width + (((out * 40503 + context * 977) * 2654435761 >> 11) & (width - 1))
-            p = self.mix(lane, 2 + 15 - k, self.bit0[i], self.bit1[j])
-            bit = coder(lane, p, None if ids is None else (ids >> k) & 1)
-            self.learn(lane, 2 + 15 - k, bit, self.bit0, i, self.bit1, j)
-            out = out << 1 | bit
-        return out & 0xFFFF
-
-    def step(self, coder, lane: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Codes one id of each of the lanes (all or a leading part of them); returns the ids."""
-        s2, s1 = (s[lane] for s in self.slots())
-        g2, g1 = self.guess[0][s2], self.guess[1][s1]
-        t2, t1 = self.trust[0][s2].astype(np.int64), self.trust[1][s1].astype(np.int64)
-        out = np.zeros(len(lane), np.int64)
-        known = np.flatnonzero(g2 >= 0)
-        hit = np.zeros(len(lane), bool)
-        if len(known):
-            bit = self.flag(coder, lane[known], 0, t2[known], t1[known], None if ids is None else (ids[known] == g2[known]).astype(np.int64))
-            hit[known] = bit == 1
-            out[hit] = g2[hit]
-        open_ = np.flatnonzero(~hit & (g1 >= 0) & (g1 != g2))
-        if len(open_):
-            bit = self.flag(coder, lane[open_], 1, t1[open_], t2[open_], None if ids is None else (ids[open_] == g1[open_]).astype(np.int64))
-            yes = open_[bit == 1]
-            hit[yes] = True
-            out[yes] = g1[yes]
-        rest = np.flatnonzero(~hit)
-        if len(rest):
-            out[rest] = self.plain(coder, lane[rest], None if ids is None else ids[rest])
-        for k, (s, g, t) in enumerate(((s2, g2, t2), (s1, g1, t1))):
-            right = g == out
-            self.guess[k][s] = np.where(right | (t > 1), g, out)
-            self.trust[k][s] = np.where(right, np.minimum(t + 1, 15), np.where(t > 1, t >> 1, 0))
-        self.last[1][lane] = self.last[0][lane]
-        self.last[0][lane] = out
-        return out
+    def __init__(self, path: str, end_id: int, most: int) -> None:
+        from tokenizers import Tokenizer
 
+        self.library, self.most, self.end = Tokenizer.from_file(path), most, np.array([end_id], "<u2").tobytes()
+        if self.library.get_vocab_size(True) > 1 << 16:
+            raise ValueError("needs ids below 65536")
+        made = json.loads(self.library.to_str())
+        split = made.get("pre_tokenizer") or {}
+        level = (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+        post = (made.get("post_processor") or {"type": "ByteLevel"})["type"] == "ByteLevel"
+        self.cuts = level and post and not made.get("normalizer") and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
+        added = [t["content"] for t in made.get("added_tokens", [])]
+        self.odd = "|".join([ODD, *[r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in added]])
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.cuts = self.cuts and len(feed) == 1
+        self.feed = feed[0] if self.cuts else -1
+        self.memo: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 200):
+            out += [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts[i : i + 200], add_special_tokens=False)]
+        return out
 
-class Encoder:
-    """A carry-less binary range coder for each lane. Bytes of all lanes go into one table of bounded width."""
-
-    def __init__(self, lanes: int, width: int) -> None:
-        self.low, self.high = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
-        self.out, self.at = np.zeros((lanes, width), np.uint8), np.zeros(lanes, np.int64)
-
-    def __call__(self, lane: np.ndarray, p: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        low, high = self.low[lane], self.high[lane]
-        mid = low + ((high - low) >> BITS) * p
-        yes = bit == 1
-        high, low = np.where(yes, mid, high), np.where(yes, low, mid + 1)
-        while True:
-            same = np.flatnonzero((low ^ high) < 1 << 24)
-            if not len(same):
-                break
-            own = lane[same]
-            self.out[own, self.at[own]] = high[same] >> 24
-            self.at[own] += 1
-            low[same] = low[same] << 8 & 0xFFFFFFFF
-            high[same] = high[same] << 8 & 0xFFFFFFFF | 255
-        self.low[lane], self.high[lane] = low, high
-        return bit
-
-    def finish(self) -> list[bytes]:
-        for k in (24, 16, 8, 0):
-            self.out[np.arange(len(self.at)), self.at] = self.high >> k & 255
-            self.at += 1
-        return [row[:n].tobytes() for row, n in zip(self.out, self.at, strict=True)]
-
-
-class Decoder:
-    def __init__(self, blocks: list[bytes]) -> None:
-        n = len(blocks)
-        self.low, self.high = np.zeros(n, np.int64), np.full(n, 0xFFFFFFFF, np.int64)
-        self.data = np.zeros((n, max(map(len, blocks)) + 8), np.uint8)
-        for i, b in enumerate(blocks):
-            self.data[i, : len(b)] = np.frombuffer(b, np.uint8)
-        self.code = self.data[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
-        self.at = np.full(n, 4)
-
-    def __call__(self, lane: np.ndarray, p: np.ndarray, bit: None) -> np.ndarray:
-        low, high, code = self.low[lane], self.high[lane], self.code[lane]
-        mid = low + ((high - low) >> BITS) * p
-        yes = code <= mid
-        high, low = np.where(yes, mid, high), np.where(yes, low, mid + 1)
-        while True:
-            same = np.flatnonzero((low ^ high) < 1 << 24)
-            if not len(same):
-                break
-            own = lane[same]
-            low[same] = low[same] << 8 & 0xFFFFFFFF
-            high[same] = high[same] << 8 & 0xFFFFFFFF | 255
-            code[same] = code[same] << 8 & 0xFFFFFFFF | self.data[own, self.at[own]]
-            self.at[own] += 1
-        self.low[lane], self.high[lane], self.code[lane] = low, high, code
-        return yes.astype(np.int64)
-
-
-def encode_blocks(blocks: list[np.ndarray], table: int = 1024) -> list[bytes]:
-    """Each block of ids below 65536, coded from fresh statistics, with its head."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))  # so that lanes end from the back
-    sizes = np.array([len(blocks[i]) for i in order])
-    width = int(sizes.max(initial=0))
-    ids = np.zeros((len(blocks), width), np.int64)
-    for row, i in enumerate(order):
-        ids[row, : len(blocks[i])] = blocks[i]
-    model, coder = Model(len(blocks), table), Encoder(len(blocks), 4 * width + 64)
-    for k in range(width):
-        lane = np.arange(int((sizes > k).sum()))
-        model.step(coder, lane, ids[lane, k])
-    out: list[bytes] = [b""] * len(blocks)
-    for i, data in zip(order, coder.finish(), strict=True):
-        out[i] = struct.pack(BLOCK, len(blocks[i]), len(data), zlib.crc32(blocks[i].astype("<u4").tobytes()), zlib.crc32(data)) + data
-    return out
-
-
-def decode_blocks(blocks: list[bytes], table: int = 1024) -> list[np.ndarray]:
-    """The ids of blocks with their heads; ValueError if a checksum does not hold."""
-    heads = [struct.unpack_from(BLOCK, b) for b in blocks]
-    data = [b[HEAD : HEAD + h[1]] for b, h in zip(blocks, heads, strict=True)]
-    if any(len(d) != h[1] or zlib.crc32(d) != h[3] for d, h in zip(data, heads, strict=True)):
-        raise ValueError("a block's bytes are damaged")
-    order = sorted(range(len(blocks)), key=lambda i: -heads[i][0])
-    sizes = np.array([heads[i][0] for i in order])
-    width = int(sizes.max(initial=0))
-    ids = np.zeros((len(blocks), width), np.int64)
-    if len(blocks):
-        model, coder = Model(len(blocks), table), Decoder([data[i] for i in order])
-        for k in range(width):
-            lane = np.arange(int((sizes > k).sum()))
-            ids[lane, k] = model.step(coder, lane, None)
-    out: list[np.ndarray] = [ids[0]] * len(blocks)
-    for row, i in enumerate(order):
-        out[i] = ids[row, : heads[i][0]]
-        if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][2]:
-            raise ValueError("a block's ids are damaged")
-    return out
-
-
-def _write(folder: str, tokenizer: str, rules: TokenFiles):
-    """Codes the documents of a partition into one file: documents' ids and lengths first, then the blocks of all their ids."""
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words into the memo: lines of words go to the library, whose line feeds part them again."""
+        if len(self.memo) + len(words) > self.most:
+            self.memo.clear()
+        plain = [w[1:] if w[0] in (FIRST, "\n") else " " + w for w in words]
+        lines = ["\n".join(plain[i : i + 50]) for i in range(0, len(plain), 50)]
+        feed = np.array([self.feed], "<u2")
+        ids = []
+        for i in range(0, len(lines), 200):
+            for e in self.library.encode_batch_fast(lines[i : i + 200], add_special_tokens=False):
+                ids += [np.array(e.ids, "<u2"), feed]
+        flat = np.concatenate(ids)
+        ends = (np.flatnonzero(flat == self.feed) * 2).tolist()
+        if len(ends) != len(words):
+            raise AssertionError("the library joined words across a line feed")
+        data, at, before = flat.tobytes(), 0, feed.tobytes()
+        for w, end in zip(words, ends, strict=True):
+            self.memo[w] = before + data[at:end] if w[0] == "\n" else data[at:end]
+            at = end + 2
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, end ids included, one text after the other, and how many are of each."""
+        if not self.cuts:
+            found = [x + self.end for x in self._whole([t or "" for t in texts.to_pylist()])]
+            return np.frombuffer(b"".join(found), "<u2"), np.array([len(x) // 2 for x in found], np.int64)
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.odd)
+        whole = dict(zip(map(str, np.flatnonzero(odd.to_numpy(zero_copy_only=False))), self._whole(texts.filter(odd).to_pylist()), strict=True))
+        if whole:
+            texts = pc.replace_with_mask(texts, odd, pa.array([WHOLE + k for k in whole]))
+        marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), " " + LAST, "")
+        lists = pc.split_pattern(marked, " ")
+        cuts = lists.flatten().dictionary_encode()
+        words = cuts.dictionary.to_pylist()
+        known = self.memo
+        new = [w for w in words if w not in known and w != FIRST and w[0] != LAST and not w.startswith(FIRST + WHOLE)]
+        fixed = {FIRST: b"", LAST: self.end} | {FIRST + WHOLE + k: x for k, x in whole.items()}
+        kept = {} if len(known) + len(new) <= self.most else {w: known[w] for w in words if w in known}
+        if new:
+            self._learn(new)
+        found = [fixed[w] if w in fixed else known[w] if w in known else kept[w] for w in words]
+        coded = pa.array(found, pa.large_binary())
+        out = coded.take(cuts.indices)
+        ends = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1, out.offset * 8)
+        at = ends[lists.offsets.to_numpy()]
+        data = np.frombuffer(out.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        return data.view("<u2"), np.diff(at) // 2
+
+
+@lru_cache(maxsize=2)
+def _words(path: str, end_id: int, most: int) -> Words:
+    """One for all tasks of a worker."""
+    return Words(path, end_id, most)
+
+
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with texts (column 1) of about so many bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _tokens(tokenizer: str, rules: TokenFiles):
+    """The ids of a partition's documents in blocks, and at its end one row with the index: documents' ids and lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+        words = _words(tokenizer, rules.end_id, rules.memo)
+        docs, lengths, left = [], [], np.empty(0, "<u2")
+        row = lambda ids, index: pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(index, pa.binary())], names=["ids", "index"])
+        for whole in batches:
+            for batch in _slices(whole, rules.slice_bytes):
+                ids, n = words.ids(batch.column(1))
+                docs.append(batch.column(0))
+                lengths.append(n)
+                left = np.concatenate((left, ids))
+                full = len(left) // rules.block
+                cut = left[: full * rules.block].reshape(full, rules.block)
+                if full:
+                    yield row([x.tobytes() for x in cut], [None] * full)
+                left = left[full * rules.block :]
+        if docs:
+            index = pa.table({"doc": pa.chunked_array(docs), "n": pa.array(np.concatenate(lengths))})
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, index.schema) as out:
+                out.write_table(index)
+            yield row([left.tobytes()] if len(left) else [], [None] * bool(len(left)))
+            yield row([None], [zlib.compress(sink.getvalue(), 1)])
+
+    return run
 
-        coder = Tokenizer.from_file(tokenizer)
-        coder.encode_special_tokens = True
-        coder.model._resize_cache(1_000_000)
+
+def _write(folder: str):
+    """Blocks (and the index at last) of a partition into one file, and its row of the manifest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
-        path = f"{root}/{part:06d}-{uuid.uuid4().hex[:8]}.tok"
-        docs, lengths, blocks, left, total = [], [], [], [], 0
-        index = io.BytesIO()
-        out = None
-
-        def flush(all_: bool) -> None:
-            nonlocal left
-            flat = np.concatenate(left) if left else np.empty(0, np.int64)
-            while len(flat) >= rules.block * (1 if not all_ else 0) and len(flat):
-                blocks.append(flat[: rules.block])
-                flat = flat[rules.block :]
-                if len(blocks) == rules.lanes:
-                    put()
-            left = [flat]
-            if all_:
-                put()
-
-        def put() -> None:
-            nonlocal out
-            if out is None:
-                out = store.open_output_stream(path)
-                out.write(MAGIC)
-            if blocks:
-                coded = encode_blocks(blocks, rules.table)
-                out.write(struct.pack("<I", len(coded)) + b"".join(coded))
-                blocks.clear()
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, rules.texts):
-                batch = whole.slice(at, rules.texts)
-                texts = [x or "" for x in batch.column(1).to_pylist()]
-                docs.extend(batch.column(0).to_pylist())
-                for e in coder.encode_batch_fast(texts, add_special_tokens=False):
-                    ids = np.array([*e.ids, rules.end_id], np.int64)
-                    lengths.append(len(ids))
-                    left.append(ids)
-                    total += len(ids)
-                flush(False)
-        if docs:
-            flush(True)
-            out.write(struct.pack("<I", 0))
-            np.savez(index, docs=np.array([-1 if d is None else d for d in docs], np.int64), lengths=np.array(lengths, np.int64), null=np.array([d is None for d in docs]))
-            tail = zlib.compress(index.getvalue(), 1)
-            out.write(tail + struct.pack("<I", len(tail)))
+        path, out, tokens = f"{root}/{part:06d}-{uuid.uuid4().hex[:8]}.tok", None, 0
+        for batch in batches:
+            for block, index in zip(batch.column(0), batch.column(1), strict=True):
+                if out is None:
+                    store.create_dir(root, recursive=True)
+                    out = store.open_output_stream(path)
+                    out.write(MAGIC)
+                if block.is_valid:
+                    data = block.as_buffer()
+                    tokens += struct.unpack_from("<I", data)[0]
+                    out.write(data)
+                else:
+                    out.write(bytes(HEAD) + index.as_py() + struct.pack("<I", len(index.as_py())))
+        if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([path]), pa.array([total], pa.int64()), pa.array([len(docs)], pa.int64())], names=["part", "path", "tokens", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([path]), pa.array([tokens], pa.int64())], names=["part", "path", "tokens"])
 
     return run
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", rules: TokenFiles = TokenFiles()) -> DataFrame:
-    """Writes the ids of all documents in ascending order of doc_id and returns the manifest (part, path, tokens, docs).
+    """Writes the ids of all documents in ascending order of doc_id and returns the manifest (part, path, tokens).
 
-    Each task holds a range of ids; its file's number is the range's. Null texts are empty, null ids come first; rows that
-    repeat an id follow each other in the order of their texts. Files of lost tasks are in no manifest.
+    Each task holds a range of ids; its file's number is the range's. The texts' ids are those of the library with
+    add_special_tokens=False. Null texts are empty; null ids come first; rows that repeat an id follow each other in the order
+    in which the table is read, and many of them are split between files. No rows, no files. Files of lost tasks are in no
+    manifest. Other columns play no part. Ids of 65536 and more are refused (ValueError) before anything is written.
     """
-    rows = docs.select(c(doc_id).cast("long").alias("id"), c(text).alias("text"))
+    register_coder(docs.sparkSession)
+    rows = docs.select(c(doc_id).cast("long").alias("id"), c(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     n = max(rows.rdd.getNumPartitions(), 1)
-    dealt = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
-    return saved(dealt.mapInArrow(_write(folder, tokenizer, rules), "part long, path string, tokens long, docs long"), "manifest")
+    dealt = rows.repartitionByRange(n, "id", "row").sortWithinPartitions("id", "row").select("id", "text")
+    blocks = dealt.mapInArrow(_tokens(tokenizer, rules), "ids binary, index binary").select(F.expr(f"{ENCODE}(ids)").alias("block"), "index")
+    return saved(blocks.mapInArrow(_write(folder), "part long, path string, tokens long"), "manifest")
 
 
-def _read(folder: str, table: int):
-    """Decodes files group by group and gives out each document when its last id is there."""
+def _blocks(folder: str, together: int):
+    """The blocks of each file, after a row with its index and where its ids start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
+        kinds = [pa.int64(), pa.binary(), pa.binary()]
+        out = lambda *rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["start", "index", "block"])
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 size = store.get_file_info(path).size
                 with store.open_input_file(path) as file:
+                    if file.read(len(MAGIC)) != MAGIC:
+                        raise ValueError(f"{path} is no token file")
                     file.seek(size - 4)
                     (n,) = struct.unpack("<I", file.read(4))
                     file.seek(size - 4 - n)
-                    index = np.load(io.BytesIO(zlib.decompress(file.read(n))))
-                    ends = np.cumsum(index["lengths"])
-                    file.seek(0)
-                    if file.read(len(MAGIC)) != MAGIC:
-                        raise ValueError(f"{path} is no token file")
-                    done, seen, crc = 0, 0, 0
-                    while (count := struct.unpack("<I", file.read(4))[0]) > 0:
-                        blocks = []
-                        for _ in range(count):
-                            head = file.read(HEAD)
-                            blocks.append(head + file.read(struct.unpack(BLOCK, head)[1]))
-                        data = np.concatenate(decode_blocks(blocks, table)).astype("<u4")
-                        begin, crcs, at = done, [], 0
-                        while done < len(ends) and ends[done] <= seen + len(data):
-                            crcs.append(zlib.crc32(data[at : ends[done] - seen].tobytes(), crc))
-                            at, crc, done = ends[done] - seen, 0, done + 1
-                        crc = zlib.crc32(data[at:].tobytes(), crc)
-                        seen += len(data)
-                        part = slice(begin, done)
-                        starts = start + ends[part] - index["lengths"][part]
-                        ids = pa.array(index["docs"][part], pa.int64(), mask=index["null"][part])
-                        yield pa.RecordBatch.from_arrays(
-                            [ids, pa.array(starts, pa.int64()), pa.array(index["lengths"][part], pa.int64()), pa.array(crcs, pa.int64())],
-                            names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                        )
+                    yield out((start, file.read(n), None))
+                    file.seek(len(MAGIC))
+                    found: list = []
+                    while (head := file.read(HEAD)) != bytes(HEAD):
+                        found.append((None, None, head + file.read(struct.unpack(BLOCK, head)[1])))
+                        if len(found) == together:
+                            yield out(*found)
+                            found = []
+                    if found:
+                        yield out(*found)
 
     return run
 
 
-def read_tokens(manifest: DataFrame, folder: str, rules: TokenFiles = TokenFiles()) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document, decoded from the files."""
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, start, n_tokens, ids_crc32 of each document, once its last id is there."""
+    docs, n, ends, start, seen, done, crc = pa.array([], pa.int64()), np.empty(0, np.int64), np.empty(0, np.int64), 0, 0, 0, 0
+    for batch in batches:
+        for k in range(batch.num_rows):
+            if batch.column(1)[k].is_valid:
+                if done != len(ends):
+                    raise ValueError("a file ends before its last document")
+                start, table = batch.column(0)[k].as_py(), pa.ipc.open_stream(zlib.decompress(batch.column(1)[k].as_py())).read_all()
+                docs, n = table.column("doc").combine_chunks(), table.column("n").to_numpy()
+                ends, seen, done, crc = np.cumsum(n), 0, 0, 0
+                continue
+            data = memoryview(np.frombuffer(batch.column(2)[k].as_buffer(), "<u2").astype("<u4")).cast("B")
+            size, first, at, crcs = len(data) // 4, done, 0, []
+            upto = int(np.searchsorted(ends, seen + size, "right"))
+            for end in ((ends[done:upto] - seen) * 4).tolist():
+                crcs.append(zlib.crc32(data[at:end], crc))
+                at, crc = end, 0
+            crc, seen, done = zlib.crc32(data[at:], crc), seen + size, upto
+            if crcs:
+                own = slice(first, done)
+                arrays = [docs[own], pa.array(start + ends[own] - n[own]), pa.array(n[own]), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    if done != len(ends):
+        raise ValueError("a file ends before its last document")
+
+
+def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document, decoded from the files.
+
+    Damaged blocks, by either checksum, and files that end early raise an error.
+    """
+    register_coder(manifest.sparkSession)
     # One row a file: a file's start is the sum of the tokens of the files before it.
     upto = F.sum("tokens").over(Window.orderBy("part"))
-    files = manifest.select("path", (upto - F.col("tokens")).alias("start"))
-    return files.repartition(F.col("path")).mapInArrow(_read(folder, rules.table), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.select("path", (upto - F.col("tokens")).alias("start"), "part")
+    files = files.repartitionByRange(max(1, manifest.count()), "part").select("path", "start")
+    blocks = files.mapInArrow(_blocks(folder, 64), "start long, index binary, block binary")
+    ids = blocks.select("start", "index", F.expr(f"{DECODE}(block)").alias("ids"))
+    return ids.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_folder(spark) -> str:
