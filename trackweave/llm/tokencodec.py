@@ -38,19 +38,21 @@ ENCODE, DECODE = "trackweave_encode_ids", "trackweave_decode_ids"
 WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts that are not cut at their blanks: white space that is not one blank or one line feed between two words, or a mark below.
 ODD = rf"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$|[\t\x0b-\r\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x00-\x02]"
-#: Marks: before a text's first word, after its last word, and a text by its number.
+#: A letter and a sign of these behind it, between which a piece always ends.
+SIGNS = r"(\pL)([.,%*#$&:;!?])"
+#: Marks: before what follows no blank, after a text's last word, and a text by its number.
 FIRST, LAST, WHOLE = "\x00", "\x01", "\x02"
 
 
 @dataclass(frozen=True)
 class TokenFiles:
     """block: ids that are coded together, from fresh statistics. end_id: put after each document. slice_bytes: texts that are put
-    through the tokenizer together, about. memo: words whose ids a worker remembers at most."""
+    through the tokenizer together, about. memo: words learnt last whose ids a worker remembers; up to as many older ones stay."""
 
     block: int = 16384
     end_id: int = 2
-    slice_bytes: int = 4 << 20
-    memo: int = 500_000
+    slice_bytes: int = 8 << 20
+    memo: int = 200_000
 
     def __post_init__(self) -> None:
         if not 0 <= self.end_id < 1 << 16 or not 0 < self.block <= 1 << 20:
@@ -87,8 +89,9 @@ def register_coder(spark: SparkSession) -> None:
 class Words:
     """The ids of texts by the tokenizers library, each word once.
 
-    With byte-level BPE, white space that follows a word always starts a new piece, and no merge crosses the ends of a piece. So a
-    text may be cut before each blank and line feed between words, and the ids of the cuts concatenate to those of the text.
+    With byte-level BPE, white space that follows a word always starts a new piece, as a sign behind a letter does, and no merge
+    crosses the ends of a piece. So a text may be cut before each blank and line feed between words and between letters and
+    signs, and the ids of the cuts concatenate to those of the text.
     Every other text, and all texts of any other kind of tokenizer, go to the library whole.
     """
 
@@ -109,6 +112,7 @@ class Words:
         self.cuts = self.cuts and len(feed) == 1
         self.feed = feed[0] if self.cuts else -1
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -116,10 +120,17 @@ class Words:
             out += [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts[i : i + 200], add_special_tokens=False)]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words into the memo: lines of words go to the library, whose line feeds part them again."""
-        if len(self.memo) + len(words) > self.most:
-            self.memo.clear()
+    def _known(self, words: list[str]) -> list[bytes | None]:
+        """What the memo has of words; what was older is young again."""
+        out = list(map(self.memo.get, words))
+        if self.older:
+            for i, x in enumerate(out):
+                if x is None and (x := self.older.get(words[i])) is not None:
+                    out[i] = self.memo[words[i]] = x
+        return out
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words, also into the memo: lines of words go to the library, whose line feeds part them again."""
         plain = [w[1:] if w[0] in (FIRST, "\n") else " " + w for w in words]
         lines = ["\n".join(plain[i : i + 50]) for i in range(0, len(plain), 50)]
         feed = np.array([self.feed], "<u2")
@@ -132,9 +143,15 @@ class Words:
         if len(ends) != len(words):
             raise AssertionError("the library joined words across a line feed")
         data, at, before = flat.tobytes(), 0, feed.tobytes()
+        out = []
         for w, end in zip(words, ends, strict=True):
-            self.memo[w] = before + data[at:end] if w[0] == "\n" else data[at:end]
+            out.append(before + data[at:end] if w[0] == "\n" else data[at:end])
             at = end + 2
+        if len(self.memo) + len(words) > self.most:
+            self.memo, self.older = {}, self.memo
+        if len(words) <= self.most:
+            self.memo.update(zip(words, out, strict=True))
+        return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end ids included, one text after the other, and how many are of each."""
@@ -146,17 +163,22 @@ class Words:
         whole = dict(zip(map(str, np.flatnonzero(odd.to_numpy(zero_copy_only=False))), self._whole(texts.filter(odd).to_pylist()), strict=True))
         if whole:
             texts = pc.replace_with_mask(texts, odd, pa.array([WHOLE + k for k in whole]))
+        texts = pc.replace_substring_regex(texts, SIGNS, rf"\1 {FIRST}\2")
         marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), " " + LAST, "")
         lists = pc.split_pattern(marked, " ")
         cuts = lists.flatten().dictionary_encode()
-        words = cuts.dictionary.to_pylist()
-        known = self.memo
-        new = [w for w in words if w not in known and w != FIRST and w[0] != LAST and not w.startswith(FIRST + WHOLE)]
+        words = cuts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self._known(words)
         fixed = {FIRST: b"", LAST: self.end} | {FIRST + WHOLE + k: x for k, x in whole.items()}
-        kept = {} if len(known) + len(new) <= self.most else {w: known[w] for w in words if w in known}
+        new = []
+        for i, x in enumerate(found):
+            if x is None and (x := fixed.get(words[i])) is not None:
+                found[i] = x
+            elif x is None:
+                new.append(i)
         if new:
-            self._learn(new)
-        found = [fixed[w] if w in fixed else known[w] if w in known else kept[w] for w in words]
+            for i, x in zip(new, self._learn([words[i] for i in new]), strict=True):
+                found[i] = x
         coded = pa.array(found, pa.large_binary())
         out = coded.take(cuts.indices)
         ends = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1, out.offset * 8)
@@ -200,6 +222,7 @@ def _tokens(tokenizer: str, rules: TokenFiles):
                 if full:
                     yield row([x.tobytes() for x in cut], [None] * full)
                 left = left[full * rules.block :]
+            pa.default_memory_pool().release_unused()
         if docs:
             index = pa.table({"doc": pa.chunked_array(docs), "n": pa.array(np.concatenate(lengths))})
             sink = io.BytesIO()
