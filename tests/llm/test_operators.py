@@ -84,12 +84,21 @@ def test_formatted_conversations_read_back(spark):
 def test_best_branches(spark):
     nodes = [(1, 1, None, 0.0), (1, 2, 1, 1.0), (1, 3, 1, 5.0), (1, 4, 2, 9.0), (1, 5, 3, 1.0), (1, 6, 3, 1.0), (2, 1, 99, None), (3, 1, 2, 1.0), (3, 2, 1, 1.0)]
     nodes += [(4, i, i - 1 if i else None, 1.0) for i in range(70)]
-    df = spark.createDataFrame(nodes, "tree long, node long, parent long, score double").where("tree <> 3")
+    nodes += [(5, 1, None, 1.0), (5, 2, 3, 1.0), (5, 3, 4, 1.0), (5, 4, 2, 1.0), (5, 5, 4, 1.0), (5, None, 1, 1.0), (6, 1, 1, 1.0)]
+    df = spark.createDataFrame(nodes, "tree long, node long, parent long, score double")
     paths = defaultdict(list)
     for r in chat.best_paths(df, best=2).orderBy("place").collect():
         paths[r.tree, r.path_rank].append(r.node)
     assert paths[1, 1] == [1, 2, 4] and paths[1, 2] == [1, 3, 5] and paths[2, 1] == [1]
-    assert paths[4, 1] == list(range(70))
+    assert paths[4, 1] == list(range(70)) and paths[5, 1] == [1]
+    assert {t for t, _ in paths} == {1, 2, 4, 5}  # trees 3 and 6 are cycles only
+
+
+def test_repeated_nodes_and_clashing_columns(spark):
+    nodes = [(1, 1, None, 0.0, "user", "q"), (1, 2, 1, 1.0, "assistant", "low"), (1, 2, 1, 3.0, "assistant", "high"), (1, 2, 1, 3.0, "assistant", "high"), (1, 3, 1, 2.0, None, None)]
+    df = spark.createDataFrame(nodes, "tree long, node long, parent long, score double, role string, text string").withColumns({x: F.lit(1) for x in ("place", "leaf", "mask", "t", "n")})
+    out = chat.formatted(df, chat.Branches(best=5)).orderBy("path_rank").collect()
+    assert [(r.leaf, r.formatted) for r in out] == [(2, "<s>[INST]user[/INST]q</s>[INST]assistant[/INST]high</s>"), (3, "<s>[INST]user[/INST]q</s>[INST][/INST]</s>")]
 
 
 # WARC
@@ -116,6 +125,15 @@ def test_archives_read_back(spark, tmp_path):
     assert warc.read_archives(spark, none, folder + "0").count() == 0
 
 
+def test_negative_repeated_and_null_page_ids(spark, tmp_path):
+    rows = [(-5, None, "a"), (-5, "u", "a"), (3, "u", "a"), (3, "u", "b"), (None, "u", "a"), (7, "u", None)]
+    pages = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "page_id long, url string, html string, page int, payload int, sha1 int, first int")
+    folder = f"file://{tmp_path}/warc"
+    got = warc.read_archives(spark, warc.write_archives(pages, folder), folder).collect()
+    want = [(-5, 1, "response", None)] * 2 + [(3, 1, "revisit", -5), (3, 1, "response", None), (None, 1, "response", None), (7, 0, "response", None)]
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_headers_beyond_what_a_task_reads_at_first(spark, tmp_path):
     rows = [(i, "http://x/" + "é " * (40000 if i % 7 == 3 else 5) + str(i), f"page {i} WARC/1.1\r\n") for i in range(40)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
@@ -193,6 +211,15 @@ def test_components_equal_brute_force(spark, partners):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(30000))
+    rows = [(5, "a b c d e"), (5, "a b c d e"), (5, "other words here now"), (3, "other words here now"), (None, "a b c d e"), (None, "x y"), (None, "x y"), (9, long), (8, long + " z"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(1) for x in ("id", "n", "digest", "keys", "rep")})
+    got = sorted((tuple(r) for r in neardup.near_duplicates(docs, rules=neardup.NearDup(shingle=4)).collect()), key=str)
+    want = [(5, 2, 5, True)] * 2 + [(5, 1, 3, False), (3, 1, 3, True), (None, 2, 5, False)] + [(None, 1, None, True)] * 2 + [(9, 29997, 8, False), (8, 29998, 8, True), (4, 0, 4, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_sketches_agree_with_the_probability_of_similarity():
     keys = neardup.mixed(np.arange(1, 2 * 288 + 1, dtype=np.uint64))
     rng = np.random.default_rng(1)

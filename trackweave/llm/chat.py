@@ -54,17 +54,17 @@ def best_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     nodes: (tree, node, parent, score). A path's score is the sum of its nodes'; ties go to the smaller leaf. Each round of
     self-joins doubles how far every node sees towards its root, so the rounds grow with the logarithm of the depth, and
     nodes that have seen their root are left out. A parent that is not there makes its child a root; null scores are 0;
-    nodes on a cycle reach no root and belong to no path.
+    nodes on a cycle or behind one reach no root and belong to no path: a path is no longer than its tree has nodes, so
+    what is open after as many doublings is left. A node comes once in its tree (unique_nodes); null nodes take no part.
     """
-    key = F.struct("tree", "node")
-    table = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    table = nodes.where("node is not null").select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = table.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     known = table.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
     level = known.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
     level = saved(level, "level")
     jumps, done = [], [level.where("up is null")]
-    count = level.where("up is not null").count()
-    while count:
+    most = level.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while (1 << len(jumps)) < most and not level.where("up is not null").isEmpty():
         jumps.append(level.where("up is not null").select("tree", "node", "up"))
         x = level.where("up is not null").alias("x")
         y = level.union(done_rows(done[:-1])).alias("y") if len(done) > 1 else level.alias("y")
@@ -74,10 +74,6 @@ def best_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
         )
         level = saved(level, "level")
         done.append(level.where("up is null"))
-        left = level.where("up is not null").count()
-        if left == count and len(jumps) > 62:
-            break
-        count = left
     scored = done_rows(done)
     parents = table.select(F.col("tree").alias("t"), F.col("parent").alias("p")).where("p is not null").distinct()
     leaves = scored.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
@@ -92,6 +88,13 @@ def best_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     return path
 
 
+def unique_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes (tree, node, parent, score, role, text) with one row a node: the one of the highest score, then by parent, role, text."""
+    rest = F.struct((-F.coalesce("score", F.lit(0.0))).alias("low"), "parent", "role", "text")
+    one = nodes.groupBy("tree", "node").agg(F.min(rest).alias("x"))
+    return one.select("tree", "node", "x.parent", (-F.col("x.low")).alias("score"), "x.role", "x.text")
+
+
 def done_rows(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
@@ -99,12 +102,15 @@ def done_rows(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def formatted(nodes: DataFrame, rules: Branches = Branches()) -> DataFrame:
+def formatted(nodes: DataFrame, rules: Branches = Branches(), unique: bool = False) -> DataFrame:
     """(tree, leaf, path_rank, formatted, mask): one row for each chosen path of the trees (tree, node, parent, score, role, text).
 
-    mask: the [start, end) in code points of the trained texts, in order. No nodes, no rows.
+    mask: the [start, end) in code points of the trained texts, in order. No nodes, no rows. unique: nodes are known to come once
+    in their tree, else unique_nodes() sees to it. Null roles and texts are empty.
     """
-    nodes = saved(nodes, "nodes")
+    filled = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    nodes = nodes.select("tree", "node", "parent", "score", *filled)
+    nodes = saved(nodes if unique else unique_nodes(nodes), "nodes")
     path = best_paths(nodes.select("tree", "node", "parent", "score"), rules.best)
     turns = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     on = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
