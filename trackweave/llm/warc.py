@@ -82,7 +82,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     """Writes a record per row of pages below folder and returns the manifest (path, size, records) of the files that count.
 
     Of records with equal payloads (the html in UTF-8; null: empty) of revisit_bytes at least, that with the smallest page_id
-    is a response, the others revisit it. Rows without a page_id are responses. A task writes files of its own names, so
+    is a response, the others revisit it. Rows without a page_id are responses, as are rows that repeat the smallest one with its
+    payload. A null url is empty; other columns play no part. No rows, no files. A task writes files of its own names, so
     that what a lost one leaves behind is in no manifest.
     """
     payload = F.coalesce(c(html), F.lit("")).cast("binary")
@@ -112,7 +113,7 @@ def parse_header(data: bytes, at: int) -> dict | None:
 
 
 def _number(s: str | None) -> int | None:
-    return int(m[1]) if (m := re.search(r"(\d+)>?$", s or "")) else None
+    return int(m[1]) if (m := re.search(r"(-?\d+)>?$", s or "")) else None
 
 
 def candidates(data: bytes, start: int, end: int, path: str = "", more: Callable[[int], bytes] = lambda at: b"") -> list[tuple]:
