@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A-Z count as a-z; words are [^\\x20\\x09-\\x0D]+. Documents whose sets have 100 * intersection >= percent * union are
     linked. Without words (null and empty texts) a document has an empty set and is linked with nothing. Rows that repeat an
-    id must repeat its text. Documents of one set form a class at once; only classes are compared. Each bucket of equal
+    id with its text are alike; with another text each row's component is that of its text. A row without id is linked with
+    rows of its set only: if one of them has an id, component_id is theirs and kept is false, else null and true. Documents of one set form a class at once; only classes are compared. Each bucket of equal
     band keys is compared with its smallest member first; only pairs that are then still in different components follow,
     outright where each member meets few, else by scanning blocks of members, so that no bucket needs all its pairs.
     """
@@ -267,5 +268,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = found.select("id", "n", "digest").join(named, "digest", "left")
     label = F.coalesce("comp", "id")
     return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), label.alias("component_id"), (F.col("id") == label).alias("kept")
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, label.isNull()).alias("kept")
     )
