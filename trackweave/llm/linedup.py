@@ -18,7 +18,7 @@ class LineChunks:
     long_words: int = 50
     least_lines: int = 2
     least_words: int = 10
-    broadcast_rows: int = 500_000
+    broadcast_rows: int = 100_000
 
     @property
     def most_lines(self) -> int:

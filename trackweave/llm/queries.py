@@ -64,7 +64,7 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(say).alias("text")
     )
-    return conversation_digests(saved(formatted(linear_trees(rows.unionByName(more))), "conversations"))
+    return conversation_digests(saved(formatted(linear_trees(rows.unionByName(more)), unique=True), "conversations"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +151,31 @@ WITH p AS (
 SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, d AS payload_digest,
   CASE WHEN page_id > f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > f THEN f END AS refers_to
 FROM p JOIN digests USING (page_id) JOIN firsts USING (h)
+""",
+    "op5_line_dedup": """
+WITH w AS (
+  SELECT doc_id, ls, list_transform(ls, lambda x: length(x) - length(replace(x, ' ', '')) + 1) AS ws
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), i AS (
+  SELECT doc_id, ls, ws, unnest(range(1, len(ls) + 1)) AS i FROM w
+), n AS (
+  SELECT doc_id, ls, i,
+    list_min(list_filter(range(1, 11), lambda n: i + n - 1 <= len(ls) AND list_sum(ws[i:i + n - 1]) >= CASE WHEN n = 1 THEN 50 ELSE 10 END)) AS a,
+    list_min(list_filter(range(1, 11), lambda n: i - n >= 0 AND list_sum(ws[i - n + 1:i]) >= CASE WHEN n = 1 THEN 50 ELSE 10 END)) AS b
+  FROM i
+), c AS (
+  SELECT DISTINCT doc_id, "at", n, s FROM (
+    SELECT doc_id, i AS "at", a AS n, array_to_string(ls[i:i + a - 1], chr(10)) AS s FROM n WHERE a IS NOT NULL
+    UNION ALL SELECT doc_id, i - b + 1, b, array_to_string(ls[i - b + 1:i], chr(10)) FROM n WHERE b IS NOT NULL)
+), firsts AS (
+  SELECT s, min(struct_pack(d := doc_id, a := "at")) AS f FROM c GROUP BY s HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range("at", "at" + n)) AS i FROM c JOIN firsts USING (s) WHERE doc_id <> f.d OR "at" >= f.a + n
+), kept AS (
+  SELECT doc_id, string_agg(ls[i], chr(10) ORDER BY i) AS t, count(*) AS n FROM i ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text, CAST(len(ls) AS BIGINT) AS n_chunks, CAST(len(ls) - coalesce(kept.n, 0) AS BIGINT) AS n_removed
+FROM documents JOIN w USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
     "op6_reply_trees": r"""
 WITH rows_ AS (
