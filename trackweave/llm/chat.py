@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import c, let, saved
+from trackweave.llm.common import c, let, saved, scratch
 
 # The control strings of the template. A turn is [INST]role[/INST]text</s>, a conversation <s> and its turns.
 OPEN, CLOSE, ROLE, TEXT = "<s>", "</s>", "[INST]", "[/INST]"
@@ -111,7 +111,9 @@ def formatted(nodes: DataFrame, rules: Branches = Branches(), unique: bool = Fal
     filled = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     nodes = nodes.select("tree", "node", "parent", "score", *filled)
     nodes = saved(nodes if unique else unique_nodes(nodes), "nodes")
-    path = best_paths(nodes.select("tree", "node", "parent", "score"), rules.best)
+    with scratch(nodes.sparkSession) as kept:
+        path = saved(best_paths(nodes.select("tree", "node", "parent", "score"), rules.best), "paths")
+        kept.append(path)
     turns = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     on = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
     one = path.join(turns, on).select(

@@ -27,7 +27,7 @@ def recorded(paths: list[str]):
     try:
         yield
     finally:
-        _recorders.remove(paths)
+        _recorders[:] = [x for x in _recorders if x is not paths]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,9 +47,32 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_trackweave"
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, *keep: DataFrame):
+    """Removes what is saved within, but for the tables appended to the list that it yields; nothing else may be read afterwards."""
+    paths: list[str] = []
+    kept: list[DataFrame] = list(keep)
+    with recorded(paths):
+        yield kept
+    stay = {df.trackweave_path for df in kept}
+    for path in paths:
+        if path not in stay:
+            drop_saved(spark, path)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """Where this application saves its tables."""
+    return f"{shared_folder(spark)}/trackweave/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that this application has saved. For its end: results that were not written are lost."""
+    drop_saved(spark, own_folder(spark))
+
+
 def new_folder(spark: SparkSession, label: str, keep: bool = False) -> str:
-    """A fresh path below the shared folder. keep: for as long as the session lives, whoever records."""
-    path = f"{shared_folder(spark)}/trackweave/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder. keep: for as long as the application lives, whoever records."""
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     for paths in [] if keep else _recorders:
         paths.append(path)
     return path

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import c, fresh, let, lookup, saved
+from trackweave.llm.common import c, forget, fresh, let, lookup, saved
 
 
 @dataclass(frozen=True)
@@ -93,6 +93,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     found = found.where((F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + F.col("n")))
     gone = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("line"))
     gone = saved(gone.groupBy("row").agg(F.collect_set("line").alias("gone")).withColumnRenamed("row", "g_row"), "gone")
+    forget(groups, firsts)
     few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= rules.broadcast_rows
     out = base.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("g_row"), "left")
     lines = F.col("made.lines")

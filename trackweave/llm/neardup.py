@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import c, saved, small
+from trackweave.llm.common import c, lookup, saved, scratch, small
 from trackweave.llm.components import components
 
 U = np.uint64
@@ -25,7 +25,7 @@ class NearDup:
     may bring outright; buckets with more are scanned in blocks. block: members of such a block.
     hopeless: pairs beyond the first
     comparison whose sketches agree in a smaller share are dropped; one at 0.8 does so with probability 3e-7.
-    broadcast_ids: candidate ids broadcast at most. memo: words remembered by a worker at most."""
+    broadcast_ids: candidate ids, and bucket keys, broadcast at most. memo: words remembered by a worker at most."""
 
     shingle: int = 5
     percent: int = 80
@@ -198,73 +198,76 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     band keys is compared with its smallest member first; only pairs that are then still in different components follow,
     outright where each member meets few, else by scanning blocks of members, so that no bucket needs all its pairs.
     """
-    source = docs.select(c(doc_id).alias("id"), c(text).alias("text"))
-    found = source.mapInArrow(_sketched(rules.shingle, rules.rows, rules.bands, rules.memo), "id long, n long, digest binary, keys array<long>")
-    found = saved(found, "sketches")
-    classes = found.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = saved(classes, "classes")
-    few = small(classes, rules.broadcast_ids)
-    reps = found.join(F.broadcast(classes) if few else classes, (found["digest"] == classes["digest"]) & (found["id"] == classes["rep"]), "left_semi")
-    members = reps.select(F.col("id").alias("rep"), "n", F.explode(F.array_distinct("keys")).alias("key")).repartition("key")
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("center")).where("m > 1")
-    held = saved(members.join(buckets.select("key", "center"), "key").distinct(), "held")
-    sizes = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * rules.percent
-
-    candidates = saved(held.select(F.col("rep").alias("id")).distinct(), "candidates")
-    near = source.join(F.broadcast(candidates) if small(candidates, rules.broadcast_ids) else candidates, "id", "left_semi")
-    sets = saved(near.mapInArrow(_sets(rules.shingle, rules.rows * rules.bands, rules.memo), "id long, shingles array<long>, short binary"), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = pairs.join(x, "a").where(F.size("sa") > 0).join(y, "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        both = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
-        return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * rules.percent).select("a", "b")
-
-    n_of = held.where("rep = center").select(F.col("rep").alias("center"), F.col("n").alias("cn")).distinct()
-    star = held.where("rep <> center").select(F.col("center"), F.col("rep"), "n").distinct().join(n_of, "center")
-    star = saved(star.where(sizes(F.col("n"), F.col("cn"))).select(F.col("center").alias("a"), F.col("rep").alias("b")), "star")
-    links = saved(confirmed(star), "links")
-    joined = components(links)
-
-    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        return rows.join(labels, rows["rep"] == labels["id"], "left").select(rows["*"], F.coalesce("component", "rep").alias("comp"))
-
-    parts = labelled(held.select("key", "rep", "n"), joined)
-    split = parts.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    split = split.groupBy("key").agg(
-        F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")
-    ).where("parts > 1")
-    split = saved(split.select("key", "m", F.col("most.comp").alias("main"), (F.col("m") - F.col("most.m")).alias("rest")), "split")
-    parts = saved(parts.join(split, "key"), "parts").withColumn("rare", F.col("comp") != F.col("main"))
-    few = parts.where(F.col("rest") <= rules.partners)
-    x = few.where("rare").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    y = few.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-    pairs = x.join(y, "key").where((F.col("xc") != F.col("yc")) & sizes(F.col("xn"), F.col("yn")))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = saved(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    drawn = pairs.join(sets.select(F.col("id").alias("a"), F.col("short").alias("short_a")), "a")
-    drawn = drawn.join(sets.select(F.col("id").alias("b"), F.col("short").alias("short_b")), "b").select("a", "b", "short_a", "short_b")
-    pairs = saved(drawn.mapInArrow(_hopeful(rules.hopeless), "a long, b long"), "hopeful")
-    more = [confirmed(pairs)]
-    many = parts.where(F.col("rest") > rules.partners)
-    if not many.isEmpty():
-        blocks = F.ceil(F.col("m") / rules.block).cast("int")
-        many = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-        sides = [
-            many.where("rare").select("key", "rep", "comp", "rare", F.lit(0).alias("side"), F.col("own").alias("i"), F.explode(all_blocks).alias("j")),
-            many.select("key", "rep", "comp", "rare", F.lit(1).alias("side"), F.explode(all_blocks).alias("i"), F.col("own").alias("j")),
-        ]
-        rows = sides[0].unionByName(sides[1]).join(sets, F.col("rep") == F.col("id"))
-        more.append(rows.groupBy("key", "i", "j").applyInArrow(_scan(rules.percent), "a long, b long"))
-    rest = saved(more[0] if len(more) == 1 else more[0].union(more[1]), "more-links")
-    if not rest.isEmpty():
-        final = components(links.union(rest))
-    else:
-        final = joined
-    named = saved(labelled(classes, final).select("digest", "comp"), "named")
+    with scratch(docs.sparkSession) as kept:
+        source = docs.select(c(doc_id).alias("id"), c(text).alias("text"))
+        found = source.mapInArrow(_sketched(rules.shingle, rules.rows, rules.bands, rules.memo), "id long, n long, digest binary, keys array<long>")
+        found = saved(found, "sketches")
+        classes = found.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
+        classes = saved(classes, "classes")
+        few = small(classes, rules.broadcast_ids)
+        reps = found.join(F.broadcast(classes) if few else classes, (found["digest"] == classes["digest"]) & (found["id"] == classes["rep"]), "left_semi")
+        members = reps.select(F.col("id").alias("rep"), "n", F.explode(F.array_distinct("keys")).alias("key"))
+        buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("center")).where("m > 1").select("key", "center")
+        buckets = saved(buckets, "buckets")
+        held = saved(lookup(members, buckets, "key", "inner", rules.broadcast_ids), "held")
+        sizes = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * rules.percent
+
+        candidates = saved(held.select(F.col("rep").alias("id")).distinct(), "candidates")
+        near = source.join(F.broadcast(candidates) if small(candidates, rules.broadcast_ids) else candidates, "id", "left_semi")
+        sets = saved(near.mapInArrow(_sets(rules.shingle, rules.rows * rules.bands, rules.memo), "id long, shingles array<long>, short binary"), "sets")
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+            y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+            both = pairs.join(x, "a").where(F.size("sa") > 0).join(y, "b")
+            common = F.size(F.array_intersect("sa", "sb"))
+            both = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
+            return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * rules.percent).select("a", "b")
+
+        n_of = held.where("rep = center").select(F.col("rep").alias("center"), F.col("n").alias("cn")).distinct()
+        star = held.where("rep <> center").select(F.col("center"), F.col("rep"), "n").distinct().join(n_of, "center")
+        star = saved(star.where(sizes(F.col("n"), F.col("cn"))).select(F.col("center").alias("a"), F.col("rep").alias("b")), "star")
+        links = saved(confirmed(star), "links")
+        joined = components(links)
+
+        def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+            return rows.join(labels, rows["rep"] == labels["id"], "left").select(rows["*"], F.coalesce("component", "rep").alias("comp"))
+
+        parts = labelled(held.select("key", "rep", "n"), joined)
+        split = parts.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+        split = split.groupBy("key").agg(
+            F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")
+        ).where("parts > 1")
+        split = saved(split.select("key", "m", F.col("most.comp").alias("main"), (F.col("m") - F.col("most.m")).alias("rest")), "split")
+        parts = saved(parts.join(split, "key"), "parts").withColumn("rare", F.col("comp") != F.col("main"))
+        few = parts.where(F.col("rest") <= rules.partners)
+        x = few.where("rare").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
+        y = few.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
+        pairs = x.join(y, "key").where((F.col("xc") != F.col("yc")) & sizes(F.col("xn"), F.col("yn")))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = saved(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+        drawn = pairs.join(sets.select(F.col("id").alias("a"), F.col("short").alias("short_a")), "a")
+        drawn = drawn.join(sets.select(F.col("id").alias("b"), F.col("short").alias("short_b")), "b").select("a", "b", "short_a", "short_b")
+        pairs = saved(drawn.mapInArrow(_hopeful(rules.hopeless), "a long, b long"), "hopeful")
+        more = [confirmed(pairs)]
+        many = parts.where(F.col("rest") > rules.partners)
+        if not many.isEmpty():
+            blocks = F.ceil(F.col("m") / rules.block).cast("int")
+            many = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+            sides = [
+                many.where("rare").select("key", "rep", "comp", "rare", F.lit(0).alias("side"), F.col("own").alias("i"), F.explode(all_blocks).alias("j")),
+                many.select("key", "rep", "comp", "rare", F.lit(1).alias("side"), F.explode(all_blocks).alias("i"), F.col("own").alias("j")),
+            ]
+            rows = sides[0].unionByName(sides[1]).join(sets, F.col("rep") == F.col("id"))
+            more.append(rows.groupBy("key", "i", "j").applyInArrow(_scan(rules.percent), "a long, b long"))
+        rest = saved(more[0] if len(more) == 1 else more[0].union(more[1]), "more-links")
+        if not rest.isEmpty():
+            final = components(links.union(rest))
+        else:
+            final = joined
+        named = saved(labelled(classes, final).select("digest", "comp"), "named")
+        kept += [found, named]
     out = found.select("id", "n", "digest").join(named, "digest", "left")
     label = F.coalesce("comp", "id")
     return out.select(
