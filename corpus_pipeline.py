@@ -23,45 +23,51 @@ MIX = Mixture(percent=90, epochs=1)
 BROADCAST_IDS = 1_000_000
 
 
-#: Tables that the stage before has left in the shared folder.
-_left: list[str] = []
+#: By session, folder and stage: the tables that its last results read.
+_left: dict[tuple, list[str]] = {}
 
 
-def stage(f):
-    """A stage drops what the one before has left behind, which its result needed until it was written."""
+def stage(number: int):
+    """Marks a stage. Once a later stage of the same session and folder begins, the results of the earlier ones have been written
+    (each is the next one's docs), so it drops the tables that they read. A stage never drops what its own calls have left."""
 
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _left:
-            drop_saved(spark, _left.pop())
-        with recorded(_left):
-            return f(spark, docs, sf_dir)
+    def mark(f):
+        @functools.wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            run = (str(spark._jsparkSession.sessionUUID()), sf_dir)
+            for k in range(number):
+                for path in _left.pop((*run, k), []):
+                    drop_saved(spark, path)
+            with recorded(_left.setdefault((*run, number), [])):
+                return f(spark, docs, sf_dir)
 
-    return run_stage
+        return run_stage
 
+    return mark
 
-@stage
+
+@stage(0)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does."""
     judged = quality_rules(docs)
     return judged.where(c(judged.columns[-1])["kept"]).select(*[c(x) for x in docs.columns])
 
 
-@stage
+@stage(1)
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without repeated chunks of lines; n_chars follows the text."""
     clean = line_dedup(docs).select(*[c(x) for x in docs.columns])
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
-@stage
+@stage(2)
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     gone = saved(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     return lookup(docs, gone, "doc_id", "left_anti", BROADCAST_IDS).select(*[c(x) for x in docs.columns])
 
 
-@stage
+@stage(3)
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture reads it."""
     mixed = mix_sources(docs, F.expr(DOMAIN), mix=MIX)
@@ -70,7 +76,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.where(times > 0).select(*[c(x) for x in docs.columns], copies.alias("m_copy")).drop("m_copy")
 
 
-@stage
+@stage(4)
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes decoded from them."""
     out = encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
