@@ -158,3 +158,22 @@ def test_settings(tmp_path):
     assert (got.min_users, got.refresh_ms, got.max_users, got.max_contributions) == (5, 0, 9, 10)
     (tmp_path / "db").write_text("host=x\n")
     assert JobConfig(db=str(tmp_path / "db")).connection_string() == "host=x"
+
+
+def test_pieces_draw_what_segments_do(spark):
+    rng = random.Random(5)
+    ends = [(0, 0, 0, 0), (5, 7, 5, 40), (40, 7, 5, 7), (15, 15, 16, 16), (16, 16, 15, 15), (-9, 3, 20, -4), (0, 31, 31, 0), (3, 0, 200, 1), (1, 200, 0, 3)]
+    ends += [tuple(rng.randrange(-20, 90) for _ in range(4)) for _ in range(300)]
+    df = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "i int, x0 long, y0 long, x1 long, y1 long")
+    for size in (2, 16, 48):
+        cut = raster.pieces(df, ("i",), size, 3)
+        assert cut.where(F.col("i1") - F.col("i0") >= size).count() == 0 and cut.rdd.getNumPartitions() == 3
+        tiled = raster.draw(cut, ("i", "tx", "ty"))
+        assert tiled.where((F.col("px") < F.col("tx") * size) | (F.col("px") >= (F.col("tx") + 1) * size) | (F.col("py") < F.col("ty") * size) | (F.col("py") >= (F.col("ty") + 1) * size)).count() == 0
+        assert sorted(map(tuple, tiled.select("i", "px", "py").collect())) == sorted(map(tuple, raster.draw(df, ("i",)).collect()))
+
+
+def test_pixels_are_summed_without_another_exchange(spark):
+    df = spark.createDataFrame([(1, 0, 0, 9, 9)], "user_id int, x0 long, y0 long, x1 long, y1 long")
+    plan = raster.pixel_hits(df, ("user_id",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

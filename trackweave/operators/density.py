@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from trackweave.config import UINT32, Raster, Semantics
 from trackweave.functions.codec import wrapped32
 from trackweave.functions.tilemath import quotient
-from trackweave.operators.raster import draw, segments
+from trackweave.operators.raster import pixel_hits, segments
 
 
 def user_cells(tracks: DataFrame, raster: Raster = Raster(), cost: int = 1, include=None, semantics: Semantics = Semantics()) -> DataFrame:
     """user_id, px, py, hits: what each user's tracks add to each pixel of the base zoom."""
-    pixels = draw(segments(tracks, raster, include, keys=("user_id",)), keys=("user_id",))
-    hits = F.sum(F.lit(cost).cast("long"))
-    return pixels.groupBy("user_id", "px", "py").agg((wrapped32(hits) if semantics.compat else hits).alias("hits"))
+    cells = pixel_hits(segments(tracks, raster, include, keys=("user_id",)), ("user_id",), raster.resolution, weight=cost)
+    return cells.withColumn("hits", wrapped32(F.col("hits"))) if semantics.compat else cells
 
 
 def global_cells(cells: DataFrame, min_users: int = 1, semantics: Semantics = Semantics()) -> DataFrame:

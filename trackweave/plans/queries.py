@@ -31,7 +31,8 @@ def cells(spark: SparkSession, d: str, batches: int = 0) -> DataFrame:
     tracks = event_tracks(spark, d)
     if batches:
         tracks = tracks.where(F.col("user_id") % 2 == batches - 1)
-    hits = raster.draw(raster.segments(tracks)).groupBy("px", "py").agg(F.count(F.lit(1)).alias("value"))
+    drawn = raster.draw(raster.pieces(raster.segments(tracks)))
+    hits = drawn.groupBy("px", "py").agg(F.count(F.lit(1)).alias("value"))
     return hits.select(F.lit(Z).alias("z"), "px", "py", "value")
 
 
@@ -140,14 +141,12 @@ def segments(spark, d):
 
 
 def raster_pixels(spark, d):
-    drawn = raster.draw(raster.segments(event_tracks(spark, d)))
-    return drawn.groupBy("contribution_id", "px", "py").agg(F.count(F.lit(1)).alias("hits"))
+    return raster.pixel_hits(raster.segments(event_tracks(spark, d)), ("contribution_id",))
 
 
 def raster_include_tile(spark, d):
     west = lambda i: F.pmod(i, F.lit(2)) == 1
-    drawn = raster.draw(raster.segments(event_tracks(spark, d), include=west))
-    return drawn.groupBy("contribution_id", "px", "py").agg(F.count(F.lit(1)).alias("hits"))
+    return raster.pixel_hits(raster.segments(event_tracks(spark, d), include=west), ("contribution_id",))
 
 
 def user_cells(spark, d):
@@ -207,7 +206,7 @@ def diff_pyramid_saturating(spark, d):
 
 
 def _diffs(spark, d):
-    drawn = raster.draw(raster.segments(event_tracks(spark, d)))
+    drawn = raster.draw(raster.pieces(raster.segments(event_tracks(spark, d))))
     return drawn.groupBy((F.col("contribution_id") % 4).alias("batch"), "px", "py").agg(F.count(F.lit(1)).alias("value"))
 
 
@@ -344,7 +343,7 @@ def vector_features_all(spark, d):
 
 def modified_tiles_all(spark, d):
     """Tiles that each batch touches, the contributions' remainder modulo 7 being the batch."""
-    drawn = raster.draw(raster.segments(event_tracks(spark, d)))
+    drawn = raster.draw(raster.pieces(raster.segments(event_tracks(spark, d))))
     x, y = (tm.quotient(F.col(v), R).alias(k) for v, k in (("px", "x"), ("py", "y")))
     return drawn.select((F.col("contribution_id") % 7).alias("batch"), F.lit(Z).alias("z"), x, y).distinct()
 
