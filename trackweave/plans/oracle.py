@@ -141,6 +141,12 @@ ORACLE = {
     "per_user_last": f"WITH {E} SELECT user_id, max(contribution_id) AS last_contribution_id FROM t GROUP BY user_id",
     "modified_tiles": f"WITH {seg()} SELECT DISTINCT 14 AS z, px // 512 AS x, py // 512 AS y FROM p WHERE contribution_id % 7 = 0",
     "incremental_equals_batch": f"WITH {seg()} SELECT * FROM g3",
+    "varint_bytes": f"""WITH {E}, n AS (SELECT event_id, px * event_id AS v, list_min(list_filter(range(1, 11), lambda n: n = 10 OR (px * event_id) >> (7 * n) = 0)) AS n FROM t)
+      SELECT event_id, array_to_string(list_transform(range(n), lambda i: printf('%02X', ((v >> (7 * i)) & 127) + CASE WHEN i + 1 < n THEN 128 ELSE 0 END)), '') AS bytes,
+        v AS back, printf('%02X', CASE WHEN v % 5 = 0 THEN 0 ELSE v % 5 + 1 END) AS nullable FROM n""",
+    "vector_tile_points": f"""WITH {seg()}{PYR} SELECT z, px // 512 AS x, py // 512 AS y, CAST(px % 512 * 8 AS INTEGER) AS cx, CAST(py % 512 * 8 AS INTEGER) AS cy,
+      users, trips FROM pyr""",
+    "incremental_job": f"WITH {seg()}{PYR} SELECT * FROM pyr",
     "top_cells": f"""WITH {seg()}, r AS (SELECT *, CAST(row_number() OVER (ORDER BY users DESC, trips DESC, px, py) AS INTEGER) AS rank FROM g3)
       SELECT * FROM r WHERE rank <= 100""",
     "vector_features": f"""WITH {seg()}{PYR}, q AS (SELECT *, px // 512 AS x, py // 512 AS y, CAST(px % 512 AS INTEGER) AS cx, CAST(py % 512 AS INTEGER) AS cy,

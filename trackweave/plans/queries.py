@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from trackweave.operators import cells as ct
 from trackweave.operators import density, pyramid, raster
 from trackweave.sources import tracks as ts
 from trackweave.sources.events import event_points, event_tracks
-from trackweave.sources.vector_tiles import features, vector_tiles
+from trackweave.sources.vector_tiles import features, tile_points, vector_tiles
+from trackweave.streaming.job import apply_batch
+from trackweave.streaming.store import Store
 
 Z, R = 14, 512
 COMPAT = Semantics("compat")
@@ -318,6 +322,16 @@ def incremental_equals_batch(spark, d):
     return ct.replaced(old, new, tiles).select("px", "py", "users", "trips")
 
 
+def incremental_job(spark, d):
+    """Cells of the job's store after three batches, each of which rebuilds only the tiles that it touches."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    store = Store(spark, f"{root.rstrip('/')}/trackweave-store-{uuid.uuid4().hex[:12]}")
+    t = event_tracks(spark, d)
+    for k in range(3):
+        apply_batch(store, t.where(F.col("contribution_id") % 3 == k), f"part-{k}")
+    return store.cells()
+
+
 def top_cells(spark, d):
     return density.cell_ranks(kept(spark, d), 100)
 
@@ -357,6 +371,11 @@ def vector_tiles_mvt(spark, d):
     return vector_tiles(pyramid.pyramid(kept(spark, d)))
 
 
+def vector_tile_points(spark, d):
+    """The points that a reader finds in the bytes of all tiles."""
+    return tile_points(vector_tiles(pyramid.pyramid(kept(spark, d))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -365,7 +384,7 @@ QUERIES = {
         tile_user_counts, tile_threshold, global_cells, global_cells_k3, pyramid_cells, pyramid_compat, pyramid_tile_totals, parent_tiles, tiles_at_zoom,
         diff_pyramid_saturating, apply_diff, apply_diff_compat, encode_decode, sign_magnitude, varint_bytes, copy_tiles, add_tiles, add_tiles_fold,
         update_values, remove_tiles, cell_lookup, list_tiles, tile_values, contribution_window, latest_contribution, admission_prefix, per_user_last,
-        modified_tiles, incremental_equals_batch, top_cells, vector_features, vector_tiles_mvt,
+        modified_tiles, incremental_equals_batch, incremental_job, top_cells, vector_features, vector_tiles_mvt, vector_tile_points,
         pyramid_compat_all, diff_pyramid_saturating_all, vector_features_all, modified_tiles_all, tile_values_all,
     )
 }

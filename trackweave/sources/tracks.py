@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +16,58 @@ TRACK = "contribution_id long, user_id string, geom_type string, points array<st
 TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
 
 
-def read_jdbc(spark: SparkSession, url: str, low: int, high: int, partitions: int = 8, **options: str) -> DataFrame:
-    """contribution_id, user_id, wkb of low < id <= high, joined by the database and read in id ranges."""
-    joined = (
-        'SELECT c."ContributionId" AS contribution_id, u."UserIdentifier" AS user_id, ST_AsBinary(c."PointsGeom") AS wkb FROM "Contributions" c '
-        'JOIN "UserContributions" uc ON uc."ContributionId" = c."ContributionId" JOIN "Users" u ON u."Id" = uc."UserId" '
-        f'WHERE c."ContributionId" > {int(low)} AND c."ContributionId" <= {int(high)}'
-    )
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"({joined}) AS t").options(**options)
-    reader = reader.option("partitionColumn", "contribution_id").option("lowerBound", low + 1).option("upperBound", high + 1)
-    return reader.option("numPartitions", partitions).load()
+@dataclass(frozen=True)
+class Relations:
+    """Contributions (ContributionId, PointsGeom: points, or well-known binary), UserContributions (ContributionId, UserId) and Users
+    (Id, UserIdentifier) as tables."""
+
+    contributions: DataFrame
+    user_contributions: DataFrame
+    users: DataFrame
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> Relations:
+        return Relations(*[spark.read.parquet(f"{folder}/{x}") for x in ("contributions", "user_contributions", "users")])
+
+    def latest_and_next(self, last: int) -> tuple[int | None, int | None]:
+        """The greatest id and the smallest one after last; nulls if there is none."""
+        newer = self.contributions.where(F.col("ContributionId") > last)
+        return tuple(newer.agg(F.max("ContributionId"), F.min("ContributionId")).first())
+
+    def tracks(self, low: int, high: int) -> DataFrame:
+        """contribution_id, user_id, points of low < id <= high."""
+        rows = contribution_window(self.contributions, self.user_contributions, self.users, low, high)
+        if dict(rows.dtypes)["geom"] == "binary":
+            return decode_tracks(rows, "geom").where("geom_type = 'LineString'").drop("geom_type")
+        return rows.select("contribution_id", "user_id", F.col("geom").alias("points"))
+
+
+@dataclass(frozen=True)
+class JdbcRelations:
+    """The same three relations in a database, which joins them and finds ids by itself. geometry: SQL for the bytes."""
+
+    spark: SparkSession
+    url: str
+    options: dict[str, str] = field(default_factory=dict)
+    partitions: int = 8
+    geometry: str = 'ST_AsBinary(c."PointsGeom")'
+
+    def _query(self, sql: str):
+        return self.spark.read.format("jdbc").option("url", self.url).option("dbtable", f"({sql}) t").options(**self.options)
+
+    def latest_and_next(self, last: int) -> tuple[int | None, int | None]:
+        ends = 'SELECT MAX("ContributionId") AS latest, MIN("ContributionId") AS earliest FROM "Contributions"'
+        return tuple(self._query(f'{ends} WHERE "ContributionId" > {int(last)}').load().first())
+
+    def tracks(self, low: int, high: int) -> DataFrame:
+        joined = (
+            f'SELECT c."ContributionId" AS contribution_id, u."UserIdentifier" AS user_id, {self.geometry} AS wkb FROM "Contributions" c '
+            'JOIN "UserContributions" uc ON uc."ContributionId" = c."ContributionId" JOIN "Users" u ON u."Id" = uc."UserId" '
+            f'WHERE c."ContributionId" > {int(low)} AND c."ContributionId" <= {int(high)}'
+        )
+        reader = self._query(joined).option("partitionColumn", "contribution_id").option("numPartitions", self.partitions)
+        rows = reader.option("lowerBound", low + 1).option("upperBound", high + 1).load().toDF("contribution_id", "user_id", "wkb")
+        return decode_tracks(rows).where("geom_type = 'LineString'").drop("geom_type")
 
 
 def contribution_window(contributions: DataFrame, user_contributions: DataFrame, users: DataFrame, low: int, high: int) -> DataFrame:
@@ -91,7 +134,7 @@ def admitted(rows: DataFrame, max_users: int) -> DataFrame:
     return rows.join(F.broadcast(bound), F.col("cut").isNull() | (F.col("contribution_id") < F.col("cut"))).drop("cut")
 
 
-def next_window(latest: int | None, last: int, max_contributions: int, next_id: int | None) -> tuple[int, int] | None:
+def next_window(latest: int | None, next_id: int | None, last: int, max_contributions: int) -> tuple[int, int] | None:
     """(low, high] of the next batch, None if nothing is new. A gap in the ids is skipped: the window ends max_contributions
     ids behind the next one that is there."""
     if latest is None or latest <= last or next_id is None:

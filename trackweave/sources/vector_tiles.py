@@ -98,22 +98,42 @@ def decode_tile(data: bytes) -> dict:
     return out
 
 
-def vector_tiles(cells: DataFrame, resolution: int = 512, extent: int = EXTENT) -> DataFrame:
-    """z, x, y, mvt, features: the bytes of each tile. A tile holds resolution**2 cells at most, so a group is bounded."""
+def vector_tiles(cells: DataFrame, resolution: int = 512, extent: int = EXTENT, attributes=None, names: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+    """z, x, y, mvt, features: the bytes of each tile. A tile holds resolution**2 cells at most, so a group is bounded.
+
+    attributes(users, trips), as for features(), gives a struct of unsigned integers called names; null drops the feature.
+    """
     x, y = quotient(F.col("px"), resolution), quotient(F.col("py"), resolution)
     scale = lambda c: F.expr(f"cast(pmod({c}, {resolution}) * {extent} div {resolution} as int)")
-    rows = cells.where("users <> 0").select("z", x.alias("x"), y.alias("y"), scale("px").alias("cx"), scale("py").alias("cy"), "users", "trips")
+    values = F.struct("users", "trips") if attributes is None else attributes(F.col("users"), F.col("trips"))
+    rows = cells.where("users <> 0").select("z", x.alias("x"), y.alias("y"), scale("px").alias("cx"), scale("py").alias("cy"), values.alias("a"))
+    rows = rows.where("a is not null").select("z", "x", "y", "cx", "cy", *[F.col("a")[k].cast("long").alias(k) for k in names])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("cx", "ascending"), ("cy", "ascending")])
-        points = list(zip(*[table.column(k).to_pylist() for k in ("cx", "cy", "users", "trips")], strict=True))
+        points = list(zip(*[table.column(k).to_pylist() for k in ("cx", "cy", *names)], strict=True))
         kinds = (pa.int32(), pa.int64(), pa.int64())
         head = [pa.array([k.as_py()], t) for k, t in zip(key, kinds, strict=True)]
-        return pa.Table.from_arrays([*head, pa.array([encode_tile(points, extent=extent)]), pa.array([len(points)], pa.int64())], names=["z", "x", "y", "mvt", "features"])
+        return pa.Table.from_arrays([*head, pa.array([encode_tile(points, names, extent=extent)]), pa.array([len(points)], pa.int64())], names=["z", "x", "y", "mvt", "features"])
 
     return rows.groupBy("z", "x", "y").applyInArrow(run, "z int, x long, y long, mvt binary, features long")
 
 
+def tile_points(tiles: DataFrame) -> DataFrame:
+    """z, x, y, cx, cy (in the tile's extent), users, trips: the points in the bytes of tiles (z, x, y, mvt)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for z, x, y, mvt in zip(*[batch.column(i) for i in range(4)], strict=True):
+                points = decode_tile(mvt.as_py())["points"]
+                n, of = len(points), lambda k, points=points: [p[k] for p in points]
+                head = [pa.array([v.as_py()] * n, t) for v, t in ((z, pa.int32()), (x, pa.int64()), (y, pa.int64()))]
+                rest = [pa.array(of("x"), pa.int32()), pa.array(of("y"), pa.int32()), *[pa.array(of(k), pa.int64()) for k in ATTRIBUTES]]
+                yield pa.RecordBatch.from_arrays([*head, *rest], names=["z", "x", "y", "cx", "cy", *ATTRIBUTES])
+
+    return tiles.select("z", "x", "y", "mvt").mapInArrow(run, "z int, x long, y long, cx int, cy int, users long, trips long")
+
+
 def write_tiles(tiles: DataFrame, folder: str) -> DataFrame:
     """Writes {folder}/{z}/{x}/{y}.mvt from the executors, over what is there, and returns z, x, y, bytes. folder: a URI they all reach."""
 
@@ -152,3 +172,11 @@ def tilejson(zoom: int = 14, url: str = "{z}/{x}/{y}.mvt") -> str:
     """The descriptor that goes beside the tiles."""
     layer = {"id": LAYER, "minzoom": 0, "maxzoom": zoom, "fields": {k: "Number" for k in ATTRIBUTES}}
     return json.dumps({"tilejson": "2.2.0", "name": LAYER, "format": "pbf", "scheme": "xyz", "minzoom": 0, "maxzoom": zoom, "tiles": [url], "vector_layers": [layer]}, indent=2)
+
+
+def write_tilejson(folder: str, zoom: int = 14, name: str = "mvt.json") -> None:
+    """The descriptor as a file in the folder of the tiles."""
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/{name}") as out:
+        out.write(tilejson(zoom).encode())

@@ -1,98 +1,100 @@
-"""The incremental job: polled id windows, or a stream of tracks, merged into the store tile by tile."""
+"""The incremental job: polled id windows, or a stream of tracks, merged into the store tile by tile and published."""
 
 from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trackweave.config import JobConfig, Raster
-from trackweave.operators.cells import BROADCAST_TILES, in_tiles
+from trackweave.functions.tilemath import quotient
 from trackweave.operators.density import global_cells, user_cells
 from trackweave.operators.pyramid import rebuilt
-from trackweave.functions.tilemath import quotient, shift_right
-from trackweave.sources.tracks import admitted, contribution_window, next_window
-from trackweave.sources.vector_tiles import remove_tile_files, vector_tiles, write_tiles
-from trackweave.streaming.store import Store
+from trackweave.sources.tracks import Relations, admitted, next_window
+from trackweave.sources.vector_tiles import remove_tile_files, vector_tiles, write_tilejson, write_tiles
+from trackweave.streaming.store import Store, Touched
 
 log = logging.getLogger(__name__)
 
 
-def apply_batch(store: Store, tracks: DataFrame, batch_id: int, config: JobConfig = JobConfig(), raster: Raster = Raster()) -> DataFrame:
-    """Merges tracks (contribution_id, user_id, points) into the store and returns the updated tiles (z, x, y).
+def apply_batch(store: Store, tracks: DataFrame, batch: str, config: JobConfig = JobConfig(), raster: Raster = Raster()) -> Touched:
+    """Merges tracks (contribution_id, user_id, points) into the store and returns the base tiles that they touch.
 
-    Only base tiles that the batch touches and their ancestors are worked out anew. A batch that runs again under its id
-    replaces itself.
+    Only base tiles that the batch touches and their ancestors are worked out anew, from their buckets. A batch that runs again
+    under its name replaces itself.
     """
     spark, r = store.spark, raster.resolution
     tracks = tracks.dropDuplicates(["contribution_id", "user_id"]).withColumn("user_id", F.col("user_id").cast("string"))
-    store.put_user_cells(user_cells(tracks, raster), batch_id)
-    delta = spark.read.parquet(f"{store.root}/user_cells/batch_id={int(batch_id)}")
-    base = delta.select(quotient(F.col("px"), r).alias("x"), quotient(F.col("py"), r).alias("y")).distinct()
-    base.write.mode("overwrite").parquet(f"{store.root}/touched")
-    base = spark.read.parquet(f"{store.root}/touched")
-    mark = F.broadcast if base.count() <= BROADCAST_TILES else lambda df: df  # an ancestor's level has no more tiles
-    touched = {
-        z: base.select(shift_right(F.col("x"), raster.zoom - z).alias("x"), shift_right(F.col("y"), raster.zoom - z).alias("y")).distinct()
-        for z in range(raster.zoom + 1)
-    }
-    fresh = store.stage(raster.zoom, global_cells(store.user_cells_of(mark(base)), config.min_users))
+    store.put_user_cells(user_cells(tracks, raster), batch)
+    base = store.batch_cells(batch).select(quotient(F.col("px"), r).alias("x"), quotient(F.col("py"), r).alias("y")).distinct()
+    store.put_aside(base, f"{store.root}/touched")
+    touched = store.touched(spark.read.parquet(f"{store.root}/touched"), raster.zoom)
+    fresh = store.stage(raster.zoom, global_cells(store.user_cells_of(touched), config.min_users))
     for z in range(raster.zoom - 1, -1, -1):
-        children = store.siblings(z + 1, mark(touched[z]), mark(touched[z + 1])).unionByName(fresh)
-        fresh = store.stage(z, rebuilt(children))
-    updated = None
-    for z, tiles in touched.items():
-        tiles = tiles.select(F.lit(z).alias("z"), "x", "y")
-        updated = tiles if updated is None else updated.unionByName(tiles)
-    store.replace(updated)
-    return updated
-
-
-def publish(store: Store, updated: DataFrame, folder: str) -> int:
-    """Writes the vector tiles of the updated tiles and deletes those that are empty now; returns how many were written."""
+        fresh = store.stage(z, rebuilt(store.siblings(z + 1, touched).unionByName(fresh)))
+    store.replace(touched)
+    return touched
+
+
+def publish(store: Store, touched: Touched, folder: str) -> int:
+    """Writes the vector tiles of the touched tiles and their ancestors and their descriptor, and deletes those that are empty now; returns how many were written."""
     r = store.resolution
-    cells = in_tiles(store.cells(), updated, r)
+    cells = store.cells_of(touched)
     written = write_tiles(vector_tiles(cells, r), folder).count()
     full = cells.select("z", quotient(F.col("px"), r).alias("x"), quotient(F.col("py"), r).alias("y")).distinct()
-    remove_tile_files(updated.join(full, ["z", "x", "y"], "left_anti"), folder).count()
+    remove_tile_files(touched.all().join(full, ["z", "x", "y"], "left_anti"), folder).count()
+    write_tilejson(folder, touched.zoom)
     return written
 
 
-def run_once(
-    store: Store, contributions: DataFrame, user_contributions: DataFrame, users: DataFrame, config: JobConfig = JobConfig(), raster: Raster = Raster()
-) -> int:
-    """One polled batch; returns the rows that it took. PointsGeom holds the points. The state advances only on success, to the
-    end of the window even if nothing usable lies in it."""
+def merge(store: Store, tracks: DataFrame, batch: str, config: JobConfig, raster: Raster, output: str | None) -> None:
+    """apply_batch, then publish if there is a folder to publish to."""
+    began = time.monotonic()
+    touched = apply_batch(store, tracks, batch, config, raster)
+    tiles = publish(store, touched, output) if output else 0
+    log.info("batch %s: %d tiles written in %.1f s", batch, tiles, time.monotonic() - began)
+
+
+def run_once(store: Store, source: Relations, config: JobConfig = JobConfig(), raster: Raster = Raster(), output: str | None = None) -> int:
+    """One polled batch; returns the rows that it took. The state advances only on success, after tiles were published, to the end
+    of the window even if nothing usable lies in it."""
     last = store.last_contribution()
-    newer = contributions.where(F.col("ContributionId") > last)
-    row = newer.agg(F.max("ContributionId").alias("latest"), F.min("ContributionId").alias("next")).first()
-    window = next_window(row["latest"], last, config.max_contributions, row["next"])
+    window = next_window(*source.latest_and_next(last), last, config.max_contributions)
     if window is None:
+        log.debug("nothing after %d", last)
         return 0
-    rows = contribution_window(contributions, user_contributions, users, *window)
-    taken = admitted(rows, config.max_users).withColumnRenamed("geom", "points")
-    taken.write.mode("overwrite").parquet(f"{store.root}/batch")
-    taken = store.spark.read.parquet(f"{store.root}/batch")
+    store.put_aside(source.tracks(*window), f"{store.root}/window")
+    rows = store.spark.read.parquet(f"{store.root}/window")
+    taken = admitted(rows, config.max_users)
     stats = taken.agg(F.count(F.lit(1)).alias("n"), F.max("contribution_id").alias("last")).first()
-    cut = admitted(rows, config.max_users).count() < rows.count()
+    cut = stats["n"] < rows.count()
+    log.info("window (%d, %d]: %d rows%s", *window, stats["n"], ", cut at the most users" if cut else "")
     if stats["n"]:
-        apply_batch(store, taken, window[0] + 1, config, raster)
+        merge(store, taken, f"poll-{window[0] + 1}", config, raster, output)
     store.put_last_contribution(stats["last"] if cut and stats["n"] else window[1])
     return stats["n"]
 
 
-def run(store: Store, read, config: JobConfig = JobConfig(), raster: Raster = Raster(), stop=lambda: False) -> None:
-    """Polls read() (the three relations) until stop(): at once again after a batch with rows, else after refresh_ms; 0 runs once.
+def run(
+    store: Store,
+    read: Callable[[], Relations],
+    config: JobConfig = JobConfig(),
+    raster: Raster = Raster(),
+    stop: Callable[[], bool] = lambda: False,
+    output: str | None = None,
+) -> None:
+    """Polls read() until stop(): at once again after a batch with rows, else after refresh_ms; 0 runs once.
 
     An error is logged and ends that batch only.
     """
     while not stop():
         n = 0
         try:
-            n = run_once(store, *read(), config, raster)
+            n = run_once(store, read(), config, raster, output)
         except Exception:
             log.exception("a batch failed and will be tried again")
         if config.refresh_ms == 0:
@@ -101,8 +103,11 @@ def run(store: Store, read, config: JobConfig = JobConfig(), raster: Raster = Ra
             time.sleep(config.refresh_ms / 1000)
 
 
-def start_stream(store: Store, tracks: DataFrame, checkpoint: str, config: JobConfig = JobConfig(), raster: Raster = Raster()) -> StreamingQuery:
-    """A streaming query over tracks (contribution_id, user_id, points) that merges each micro-batch. Replayed batches replace themselves."""
-    writer = tracks.writeStream.foreachBatch(lambda df, i: apply_batch(store, df, i, config, raster)).option("checkpointLocation", checkpoint)
+def start_stream(
+    store: Store, tracks: DataFrame, checkpoint: str, config: JobConfig = JobConfig(), raster: Raster = Raster(), output: str | None = None, name: str = "stream"
+) -> StreamingQuery:
+    """A streaming query over tracks (contribution_id, user_id, points) that merges and publishes each micro-batch. Replayed batches
+    replace themselves; name tells the batches of several streams apart."""
+    writer = tracks.writeStream.foreachBatch(lambda df, i: merge(store, df, f"{name}-{i}", config, raster, output)).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if config.refresh_ms == 0 else {"processingTime": f"{config.refresh_ms} milliseconds"}
     return writer.trigger(**trigger).start()

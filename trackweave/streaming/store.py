@@ -1,100 +1,230 @@
-"""Tables of the incremental job on plain Parquet: per-batch user cells, current cells by zoom, state."""
+"""Tables of the incremental job on plain Parquet: per-batch user cells, versions of the current cells, state."""
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.functions.tilemath import quotient, shift_right
+from trackweave.operators.cells import BROADCAST_TILES
 
 USER_CELLS = "user_id string, px long, py long, hits long"
 CELLS = "z int, px long, py long, users long, trips long"
-#: A bucket of cells is 2**BUCKET tiles wide; buckets are what a replacement rewrites.
+#: A bucket is 2**BUCKET tiles wide; reads are pruned to buckets, and a replacement rewrites them.
 BUCKET = 4
+#: So many buckets are named in a filter that prunes folders before anything is listed; more are joined.
+NAMED_BUCKETS = 1000
+
+
+@dataclass(frozen=True)
+class Touched:
+    """Base tiles (x, y) of a zoom, whether they are few enough to be broadcast, and their buckets if those can be named. No coarser
+    zoom has more tiles or buckets, and a shift takes both to it."""
+
+    base: DataFrame
+    zoom: int
+    few: bool
+    buckets: list[tuple[int, int]] | None
+
+    def at(self, zoom: int) -> DataFrame:
+        """x, y: the tiles at a coarser zoom."""
+        d = self.zoom - zoom
+        tiles = self.base.select(*[shift_right(F.col(c), d).alias(c) for c in ("x", "y")]).distinct()
+        return F.broadcast(tiles) if self.few else tiles
+
+    def all(self) -> DataFrame:
+        """z, x, y: the tiles of all zooms."""
+        d = F.explode(F.sequence(F.lit(0), F.lit(self.zoom))).alias("d")
+        tiles = self.base.select("x", "y", d).select((F.lit(self.zoom) - F.col("d")).alias("z"), *[shift_right(F.col(c), F.col("d")).alias(c) for c in ("x", "y")])
+        return F.broadcast(tiles.distinct()) if self.few else tiles.distinct()
+
+    def pruned(self, rows: DataFrame, zoom: int | None = None) -> DataFrame:
+        """The rows (with bucket; with z, if zoom is not given) in the tiles' buckets, whose names pass over all other folders."""
+        if self.buckets is None:
+            return rows
+        name = lambda z: sorted({f"{x >> self.zoom - z}-{y >> self.zoom - z}" for x, y in self.buckets})
+        if zoom is not None:
+            return rows.where(F.col("bucket").isin(name(zoom)))
+        some = F.lit(False)
+        for z in range(self.zoom + 1):
+            some = some | ((F.col("z") == z) & F.col("bucket").isin(name(z)))
+        return rows.where(some)
 
 
 class Store:
-    """Folder root: user_cells/batch_id=N (a batch that runs again overwrites its own), cells/z=Z/bucket=B, state."""
+    """Folder root: user_cells/batch=NAME/bucket=B (a batch that runs again overwrites its own), cells/v=N/z=Z/bucket=B with
+    manifest/v=N (z, bucket, v: where each bucket's cells are), state/v=N.
+
+    A version counts once its manifest is whole (Spark's _SUCCESS), so readers see all of a replacement or nothing of it, and a
+    crash in between leaves the version before. vacuum() removes what no manifest names any longer.
+    """
 
     def __init__(self, spark: SparkSession, root: str, resolution: int = 512) -> None:
         self.spark, self.root, self.resolution = spark, root.rstrip("/"), resolution
+        self._short = 0, False
 
-    def _exists(self, name: str) -> bool:
+    def _path(self, name: str):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _exists(self, name: str) -> bool:
+        files, path = self._path(name)
+        return files.exists(path)
+
+    def _remove(self, name: str) -> None:
+        files, path = self._path(name)
+        files.delete(path, True)
+
+    def _versions(self, name: str) -> list[int]:
+        """The whole versions v=N of a table, ascending."""
+        files, path = self._path(name)
+        if not files.exists(path):
+            return []
+        found = [str(x.getPath().getName()) for x in files.listStatus(path)]
+        return sorted(n for n in (int(x[2:]) for x in found if x.startswith("v=")) if self._exists(f"{name}/v={n}/_SUCCESS"))
+
+    # User cells
+
+    def _bucket(self) -> Column:
+        n = lambda c: shift_right(quotient(F.col(c), self.resolution), BUCKET).cast("string")
+        return F.concat_ws("-", n("px"), n("py"))
 
-    def put_user_cells(self, cells: DataFrame, batch_id: int) -> None:
-        cells.select("user_id", "px", "py", "hits").write.mode("overwrite").parquet(f"{self.root}/user_cells/batch_id={int(batch_id)}")
+    def put_user_cells(self, cells: DataFrame, batch: str) -> None:
+        rows = cells.select("user_id", "px", "py", "hits", self._bucket().alias("bucket"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/user_cells/batch={batch}")
+
+    def batch_cells(self, batch: str) -> DataFrame:
+        return self.spark.read.schema(USER_CELLS + ", bucket string").parquet(f"{self.root}/user_cells/batch={batch}")
+
+    def _user_rows(self) -> DataFrame:
+        return self.spark.read.schema(USER_CELLS + ", batch string, bucket string").parquet(f"{self.root}/user_cells")
 
     def user_cells(self) -> DataFrame:
         """user_id, px, py, hits over all batches."""
         if not self._exists("user_cells"):
             return self.spark.createDataFrame([], USER_CELLS)
-        rows = self.spark.read.schema(USER_CELLS + ", batch_id long").parquet(f"{self.root}/user_cells")
+        return self._user_rows().groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
+
+    def touched(self, base: DataFrame, zoom: int) -> Touched:
+        """What is known of base tiles (x, y) of a zoom, counted once for all reads of a batch."""
+        few = base.limit(BROADCAST_TILES + 1).count() <= BROADCAST_TILES
+        buckets = base.select(*[shift_right(F.col(c), BUCKET).alias(c) for c in ("x", "y")]).distinct().limit(NAMED_BUCKETS + 1).collect()
+        return Touched(base, zoom, few, [tuple(r) for r in buckets] if len(buckets) <= NAMED_BUCKETS else None)
+
+    def user_cells_of(self, touched: Touched) -> DataFrame:
+        """The same for the base tiles only: their buckets' folders are read, filtered before anything is summed."""
+        rows = touched.pruned(self._user_rows(), touched.zoom)
+        rows = self._tiled(rows).join(touched.at(touched.zoom), ["x", "y"], "left_semi")
         return rows.groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
 
-    def user_cells_of(self, tiles: DataFrame) -> DataFrame:
-        """The same for base tiles (x, y) only, filtered before anything is summed."""
-        rows = self.spark.read.schema(USER_CELLS + ", batch_id long").parquet(f"{self.root}/user_cells")
-        return self._tiled(rows).join(tiles.select("x", "y"), ["x", "y"], "left_semi").groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
-
     def _tiled(self, rows: DataFrame) -> DataFrame:
         return rows.withColumns({"x": quotient(F.col("px"), self.resolution), "y": quotient(F.col("py"), self.resolution)})
 
-    def siblings(self, zoom: int, parents: DataFrame, touched: DataFrame) -> DataFrame:
-        """px, py, users, trips of a zoom's stored cells below parents (x, y) but not in the touched tiles (x, y)."""
-        rows = self._tiled(self.cells(zoom)).withColumns({"ux": shift_right(F.col("x"), 1), "uy": shift_right(F.col("y"), 1)})
-        up = parents.select(F.col("x").alias("ux"), F.col("y").alias("uy"))
-        rows = rows.join(up, ["ux", "uy"], "left_semi").join(touched.select("x", "y"), ["x", "y"], "left_anti")
+    def compact(self, batch: str) -> None:
+        """All user cells as one batch of that new name; earlier ones go. For a moment when no batch runs."""
+        files, path = self._path("user_cells")
+        before = [str(x.getPath().getName()) for x in files.listStatus(path)]
+        if f"batch={batch}" in before:
+            raise ValueError(f"there is a batch {batch}")
+        staged = f"{self.root}/staged"
+        self.put_aside(self.user_cells(), staged)
+        self.put_user_cells(self.spark.read.parquet(staged), f".{batch}")  # a name that no reader sees
+        for name in before:
+            self._remove(f"user_cells/{name}")
+        files.rename(self._path(f"user_cells/batch=.{batch}")[1], self._path(f"user_cells/batch={batch}")[1])
+        self._remove("staged")
+
+    # Cells
+
+    def siblings(self, zoom: int, touched: Touched) -> DataFrame:
+        """px, py, users, trips of a zoom's stored cells in tiles that share a parent with touched ones but are not among them; a
+        bucket holds whole families."""
+        rows = self._tiled(touched.pruned(self._cell_rows(zoom), zoom)).withColumns({"ux": shift_right(F.col("x"), 1), "uy": shift_right(F.col("y"), 1)})
+        up = touched.at(zoom - 1).toDF("ux", "uy")
+        rows = rows.join(up, ["ux", "uy"], "left_semi").join(touched.at(zoom), ["x", "y"], "left_anti")
         return rows.select("px", "py", "users", "trips")
 
+    def put_aside(self, rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
     def stage(self, zoom: int, fresh: DataFrame) -> DataFrame:
         """Fresh cells of a zoom, written aside."""
         path = f"{self.root}/fresh/z={zoom}"
-        fresh.select("px", "py", "users", "trips").write.mode("overwrite").parquet(path)
+        self.put_aside(fresh.select("px", "py", "users", "trips"), path)
         return self.spark.read.parquet(path)
 
-    def compact(self, batch_id: int) -> None:
-        """All user cells as one batch; earlier ones go. For a moment when no batch runs."""
-        staged = f"{self.root}/staged"
-        self.user_cells().write.mode("overwrite").parquet(staged)
-        self.spark.read.parquet(staged).withColumn("batch_id", F.lit(int(batch_id)).cast("long")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).partitionBy("batch_id").parquet(f"{self.root}/user_cells")
+    def _manifest(self) -> DataFrame | None:
+        """z, bucket, v of the last whole version, marked for broadcast if it is short."""
+        found = self._versions("manifest")
+        if not found:
+            return None
+        rows = self.spark.read.schema("z int, bucket string, v long").parquet(f"{self.root}/manifest/v={found[-1]}")
+        if self._short[0] != found[-1]:
+            self._short = found[-1], rows.count() <= BROADCAST_TILES
+        return F.broadcast(rows) if self._short[1] else rows
+
+    def _cell_rows(self, zoom: int | None = None) -> DataFrame:
+        manifest = self._manifest()
+        if manifest is None:
+            return self.spark.createDataFrame([], CELLS + ", bucket string")
+        rows = self.spark.read.schema(CELLS.replace("z int, ", "") + ", v long, z int, bucket string").parquet(f"{self.root}/cells")
+        rows = rows if zoom is None else rows.where(F.col("z") == zoom)
+        return rows.join(manifest, ["z", "bucket", "v"], "left_semi").select("z", "px", "py", "users", "trips", "bucket")
 
     def cells(self, zoom: int | None = None) -> DataFrame:
         """z, px, py, users, trips; of one zoom only if given."""
-        if not self._exists("cells"):
-            return self.spark.createDataFrame([], CELLS)
-        rows = self.spark.read.schema(CELLS.replace("z int, ", "") + ", z int, bucket string").parquet(f"{self.root}/cells")
-        return (rows if zoom is None else rows.where(F.col("z") == zoom)).select("z", "px", "py", "users", "trips")
+        return self._cell_rows(zoom).drop("bucket")
 
-    def replace(self, tiles: DataFrame) -> None:
-        """The tiles (z, x, y) get the staged fresh cells for what they held; only their buckets are written."""
+    def cells_of(self, touched: Touched) -> DataFrame:
+        """The cells of the touched tiles of all zooms, read from their buckets only."""
+        rows = self._tiled(touched.pruned(self._cell_rows()))
+        return rows.join(touched.all(), ["z", "x", "y"], "left_semi").select("z", "px", "py", "users", "trips")
+
+    def replace(self, touched: Touched) -> None:
+        """The touched tiles of all zooms get the staged fresh cells for what they held, all at once; only their buckets are written."""
+        found = self._versions("manifest")
+        version = found[-1] + 1 if found else 1
         n = lambda c: shift_right(F.col(c), BUCKET).cast("string")
-        bucket = F.concat_ws("-", n("x"), n("y"))
-        touched = tiles.select("z", bucket.alias("bucket")).distinct()
-        old = self._tiled(self.cells()).withColumn("bucket", bucket).join(touched, ["z", "bucket"], "left_semi")
-        old = old.join(tiles.select("z", "x", "y"), ["z", "x", "y"], "left_anti")
-        fresh = self.spark.read.schema(CELLS.replace("z int, ", "") + ", z int").parquet(f"{self.root}/fresh")
-        fresh = self._tiled(fresh).withColumn("bucket", bucket)
+        buckets = touched.all().select("z", F.concat_ws("-", n("x"), n("y")).alias("bucket")).distinct()
+        old = self._tiled(touched.pruned(self._cell_rows()).join(buckets, ["z", "bucket"], "left_semi"))
+        old = old.join(touched.all(), ["z", "x", "y"], "left_anti")
+        fresh = self.spark.read.schema(CELLS.replace("z int, ", "") + ", z int").parquet(f"{self.root}/fresh").withColumn("bucket", self._bucket())
         columns = ["z", "px", "py", "users", "trips", "bucket"]
-        staged = f"{self.root}/staged"
-        old.select(columns).unionByName(fresh.select(columns)).repartition("z", "bucket").write.mode("overwrite").parquet(staged)
-        ready = self.spark.read.parquet(staged)
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("z", "bucket").parquet(f"{self.root}/cells")
-        for z, name in touched.join(ready.select("z", "bucket").distinct(), ["z", "bucket"], "left_anti").collect():  # of one batch
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/cells/z={z}/bucket={name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        rows = old.select(columns).unionByName(fresh.select(columns)).repartition("z", "bucket")
+        rows.write.mode("overwrite").partitionBy("z", "bucket").parquet(f"{self.root}/cells/v={version}")
+        written = self.spark.read.schema(CELLS.replace("z int, ", "") + ", z int, bucket string").parquet(f"{self.root}/cells/v={version}")
+        manifest = written.select("z", "bucket").distinct().withColumn("v", F.lit(version).cast("long"))
+        if found:
+            manifest = manifest.unionByName(self._manifest().join(buckets, ["z", "bucket"], "left_anti").select("z", "bucket", "v"))
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={version}")
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes manifests but for the last ones, and cells that none of those names. For a moment when no reader is at older ones."""
+        found = self._versions("manifest")
+        for n in found[:-keep]:
+            self._remove(f"manifest/v={n}")
+        if not found:
+            return
+        used = {r[0] for n in found[-keep:] for r in self.spark.read.parquet(f"{self.root}/manifest/v={n}").select("v").distinct().collect()}  # versions
+        files, path = self._path("cells")
+        for x in files.listStatus(path):
+            name = str(x.getPath().getName())
+            if name.startswith("v=") and int(name[2:]) not in used and int(name[2:]) <= found[-1]:
+                self._remove(f"cells/{name}")
+
+    # State
 
     def last_contribution(self) -> int:
         """-1 before the first batch."""
-        if not self._exists("state"):
-            return -1
-        return int(json.loads(self.spark.read.text(f"{self.root}/state").first()[0])["LastContributionId"])
+        found = self._versions("state")
+        return int(json.loads(self.spark.read.text(f"{self.root}/state/v={found[-1]}").first()[0])["LastContributionId"]) if found else -1
 
     def put_last_contribution(self, value: int) -> None:
+        found = self._versions("state")
         row = self.spark.createDataFrame([(json.dumps({"LastContributionId": int(value)}),)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(f"{self.root}/state")
+        row.coalesce(1).write.mode("overwrite").text(f"{self.root}/state/v={found[-1] + 1 if found else 1}")
+        for n in found[:-1]:
+            self._remove(f"state/v={n}")
