@@ -13,12 +13,13 @@ from trackweave.llm.common import c, forget, fresh, let, lookup, saved
 @dataclass(frozen=True)
 class LineChunks:
     """A passage of lines that repeats goes if it has long_words words, or least_lines lines and least_words words. Words are
-    counted as blanks and line feeds plus one. broadcast_rows: repeated chunks broadcast at most."""
+    counted as blanks and line feeds plus one. broadcast_rows: hashes of repeated chunks
+    broadcast at most; of digests a fifth of it, of line numbers by text twice as many."""
 
     long_words: int = 50
     least_lines: int = 2
     least_words: int = 10
-    broadcast_rows: int = 100_000
+    broadcast_rows: int = 500_000
 
     @property
     def most_lines(self) -> int:
@@ -64,6 +65,11 @@ def chunks(lines: Column, rules: LineChunks) -> Column:
     return F.transform(let(F.transform(lines, lambda x: blanks(x) + 1), places), hashed)
 
 
+def sent(df: DataFrame, arrays: str, rules: LineChunks) -> DataFrame:
+    """df, marked for broadcast if its arrays hold 2 * broadcast_rows numbers at most."""
+    return F.broadcast(df) if (df.agg(F.sum(F.size(arrays))).first()[0] or 0) <= 2 * rules.broadcast_rows else df
+
+
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: LineChunks = LineChunks()) -> DataFrame:
     """docs with every repeated passage of lines taken out of the text, and a struct column `lines` (by another name if taken):
     n_chunks, n_removed: lines of the text, and those taken out.
@@ -81,21 +87,23 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     base = saved(docs.select(*own, made.alias("made")), "chunks")
     groups = base.select(F.explode("made.chunks.hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     groups = saved(groups, "repeated")
-    one = F.transform("made.chunks", lambda x: F.struct(*[x[k].alias(k) for k in ("at", "n", "hash")], chunk_text(F.col("made.lines"), x).alias("chunk")))
-    one = base.select(F.col("doc")[doc_id].cast("long").alias("id"), "row", F.explode(one).alias("x")).select("id", "row", "x.*")
-    again = lookup(one, groups, "hash", "left_semi", rules.broadcast_rows)
+    # Only the numbers of chunks meet the repeated hashes; a text moves no more than once for all of its chunks.
+    hits = lookup(base.select("row", F.explode("made.chunks").alias("x")).select("row", "x.*"), groups, "hash", "left_semi", rules.broadcast_rows)
+    hits = saved(hits.groupBy(F.col("row").alias("h_row")).agg(F.collect_list(F.struct("at", "n", "hash")).alias("hits")), "hits")
+    texts = F.transform("hits", lambda x: F.struct(*[x[k].alias(k) for k in ("at", "n", "hash")], chunk_text(F.col("made.lines"), x).alias("chunk")))
+    again = base.join(sent(hits, "hits", rules), F.col("row") == F.col("h_row")).select(F.col("doc")[doc_id].cast("long").alias("id"), "row", F.explode(texts).alias("x"))
+    again = saved(again.select("id", "row", "x.*"), "again")
     # Within a hash the texts decide; the first place of each is found per task before anything meets. Only then does a digest
     # stand for the text.
     place = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "row", "at")
     firsts = again.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     firsts = saved(firsts.select(F.sha2("chunk", 256).alias("same"), "first"), "firsts")
-    found = lookup(again.select("row", "at", "n", F.sha2("chunk", 256).alias("same")), firsts, "same", "inner", rules.broadcast_rows)
+    found = lookup(again.select("row", "at", "n", F.sha2("chunk", 256).alias("same")), firsts, "same", "inner", rules.broadcast_rows // 5)
     found = found.where((F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + F.col("n")))
     gone = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("line"))
     gone = saved(gone.groupBy("row").agg(F.collect_set("line").alias("gone")).withColumnRenamed("row", "g_row"), "gone")
-    forget(groups, firsts)
-    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= rules.broadcast_rows
-    out = base.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("g_row"), "left")
+    forget(groups, hits, again, firsts)
+    out = base.join(sent(gone, "gone", rules), F.col("row") == F.col("g_row"), "left")
     lines = F.col("made.lines")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
     rest = F.when(F.col("gone").isNull(), lines).otherwise(F.transform(left, lambda i: F.get(lines, i)))
