@@ -89,8 +89,7 @@ def _search(shared, k: int, size: int):
         for whole in batches:
             for at in range(0, whole.num_rows, size):
                 batch = whole.slice(at, size)
-                ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-                m = _matrix(batch.column(1), q.shape[1])[first]
+                ids, m = batch.column(0).to_numpy(), _matrix(batch.column(1), q.shape[1])
                 index = segments(m)
                 for b in range(0, len(qids), 256):
                     got = best(ids, index, m, qids[b : b + 256], q[b : b + 256], k)
@@ -116,9 +115,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
 
     Components become floor(scale * x) of x as double; the score is the integer inner product (exact while products sum
     below 2**53). Ties go to the smaller vec_id. Vectors that are null or hold null, NaN or infinite components, and null
-    ids, take no part. Of different lengths, the common part counts. Repeated rows of an id count once (ids name vectors).
-    The queries are taken in slices of bounded size, each broadcast over one pass of the vectors; every task keeps k rows a
-    query.
+    ids, take no part. Of different lengths, the common part counts. Every row of vectors is a candidate of its own, also
+    where rows repeat an id; a query whose id is repeated is asked once, with the greatest of its vectors.
+    The queries are taken in slices of bounded size, each broadcast over one pass of the vectors; every block of a task gives k rows
+    a query.
     """
     spark = vectors.sparkSession
 
@@ -139,5 +139,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
     for part in parts[1:]:
         found = found.unionByName(part)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.distinct()
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= rules.k).select("query_id", "rank", "vec_id", "score")
