@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import heapq
 import os
@@ -20,7 +21,7 @@ import pyarrow.ipc
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm.common import c, let, new_folder, saved
@@ -193,6 +194,19 @@ def word_codes(words: DataFrame, path: str, rules: Encoding = Encoding()) -> Dat
     return short.unionByName(long)
 
 
+@contextlib.contextmanager
+def short_plans(spark: SparkSession, most: int = 20_000):
+    """Spark writes plans down as text for its logs, several times a query, and would each time write out the rank table, which is
+    megabytes; so texts are cut meanwhile."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _shard(folder: str):
     """Writes a shard of the dictionary: words in the order of their hash, in a format that can be mapped into memory."""
 
@@ -296,7 +310,8 @@ def encode_texts(
     pieces = F.regexp_extract_all(F.coalesce(c(text), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     words = saved(docs.select(F.explode(pieces).alias("word")).distinct(), "words")
     n = rules.shards or max(1, -(-words.count() >> 18))
-    codes = saved(word_codes(words, ranks_path, rules), "codes")
+    with short_plans(spark):
+        codes = saved(word_codes(words, ranks_path, rules), "codes")
     folder = new_folder(spark, "dictionary")
     entries = codes.select("word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").cast("long").alias("n"), "bytes")
     entries = entries.mapInArrow(_numbered(n), "shard long, word string, ids string, n long, bytes binary").repartition(n, "shard")
