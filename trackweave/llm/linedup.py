@@ -14,7 +14,7 @@ from trackweave.llm.common import c, forget, fresh, let, lookup, saved
 class LineChunks:
     """A passage of lines that repeats goes if it has long_words words, or least_lines lines and least_words words. Words are
     counted as blanks and line feeds plus one. broadcast_rows: hashes of repeated chunks
-    broadcast at most; of digests a fifth of it, of line numbers by text twice as many."""
+    broadcast at most; of digests half of it, of line numbers by text twice as many."""
 
     long_words: int = 50
     least_lines: int = 2
@@ -95,10 +95,11 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     again = saved(again.select("id", "row", "x.*"), "again")
     # Within a hash the texts decide; the first place of each is found per task before anything meets. Only then does a digest
     # stand for the text.
+    digest = F.unhex(F.substring(F.sha2("chunk", 256), 1, 32))  # 16 bytes
     place = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "row", "at")
     firsts = again.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    firsts = saved(firsts.select(F.sha2("chunk", 256).alias("same"), "first"), "firsts")
-    found = lookup(again.select("row", "at", "n", F.sha2("chunk", 256).alias("same")), firsts, "same", "inner", rules.broadcast_rows // 5)
+    firsts = saved(firsts.select(digest.alias("same"), "first"), "firsts")
+    found = lookup(again.select("row", "at", "n", digest.alias("same")), firsts, "same", "inner", rules.broadcast_rows // 2)
     found = found.where((F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + F.col("n")))
     gone = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("line"))
     gone = saved(gone.groupBy("row").agg(F.collect_set("line").alias("gone")).withColumnRenamed("row", "g_row"), "gone")
