@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-import contextlib
 import hashlib
 import heapq
+import itertools
 import os
 import struct
 import tempfile
@@ -21,10 +21,10 @@ import pyarrow.ipc
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import c, let, new_folder, saved
+from trackweave.llm.common import c, let, new_folder, saved, scratch, settings
 
 #: Stands for no rank.
 NONE = 1 << 30
@@ -33,11 +33,13 @@ NONE = 1 << 30
 @dataclass(frozen=True)
 class Encoding:
     """long_word: words of more bytes are merged by a heap in Python, since a fold's cost grows with the square of the length.
-    shards: files of the dictionary; None: one for every 2**18 words. batch: texts that are put together at once."""
+    shards: files of the dictionary; None: one for every 2**18 words. batch, batch_bytes: texts that a worker gets at once, at most
+    so many and of about so many bytes (a longer one comes alone)."""
 
     long_word: int = 64
     shards: int | None = None
-    batch: int = 2000
+    batch: int = 500
+    batch_bytes: int = 1 << 22
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -194,38 +196,24 @@ def word_codes(words: DataFrame, path: str, rules: Encoding = Encoding()) -> Dat
     return short.unionByName(long)
 
 
-@contextlib.contextmanager
-def short_plans(spark: SparkSession, most: int = 20_000):
-    """Spark writes plans down as text for its logs, several times a query, and would each time write out the rank table, which is
-    megabytes; so texts are cut meanwhile."""
-    key = "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+#: Spark writes plans down as text for its logs, several times a query, and would each time write out the rank table, which is
+#: megabytes; so texts are cut meanwhile.
+SHORT_PLANS = {"spark.sql.maxPlanStringLength": "20000"}
 
 
 def _shard(folder: str):
-    """Writes a shard of the dictionary: words in the order of their hash, in a format that can be mapped into memory."""
+    """Writes the shards of the dictionary, whose words come by shard and in the order of their hash, in a format that can be mapped into memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for k in np.unique(batch.column(0).to_numpy()):
-                parts.setdefault(int(k), []).append(batch.filter(pc.equal(batch.column(0), int(k))))
-        for k, found in parts.items():
-            table = pa.Table.from_batches(found).combine_chunks()
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in table.column("word").to_pylist()), np.uint64, table.num_rows)
-            order = pa.array(np.argsort(hashes, kind="stable"))
-            table = pa.table({"hash": pa.array(hashes).take(order), **{x: table.column(x).take(order).combine_chunks() for x in ("word", "ids", "n", "bytes")}})
-            store, root = fs.FileSystem.from_uri(folder)
+        store, root = fs.FileSystem.from_uri(folder)
+        pieces = (batch.filter(pc.equal(batch.column(0), int(k))) for batch in batches for k in np.unique(batch.column(0).to_numpy()))
+        for k, own in itertools.groupby(pieces, lambda x: x.column(0)[0].as_py()):
+            table = pa.Table.from_batches(list(own)).drop_columns("shard").combine_chunks()
             store.create_dir(root, recursive=True)
             file = f"{root}/{k:05d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.arrow"
             with store.open_output_stream(file) as out, pa.ipc.new_file(out, table.schema) as writer:
-                writer.write_table(table.combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([file])], names=["shard", "file"])
+                writer.write_table(table)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([file])], names=["shard", "file"])
 
     return run
 
@@ -251,15 +239,14 @@ class Dictionary:
     def codes(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
         """Ids as text, how many, and bytes of the words, all of which the dictionary has."""
         plain = [x.encode() for x in words.to_pylist()]
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain))
-        shard = (hashes % np.uint64(len(self.files))).astype(np.int64)
+        hashes = _hashes(plain)
+        shard = _shards(hashes, len(self.files))
         order = np.argsort(shard, kind="stable")
         parts, counts = [], []
         for k in np.unique(shard):
             own = order[np.searchsorted(shard[order], k, "left") : np.searchsorted(shard[order], k, "right")]
             s = self.shard(int(k))
-            at = np.searchsorted(s["hash"].to_numpy(), hashes[own])
-            at = pa.array(at)
+            at = pa.array(np.searchsorted(s["hash"].to_numpy(), hashes[own]))
             while not pc.all(same := pc.equal(s["word"].take(at), words.take(pa.array(own)))).as_py():  # equal hashes lie side by side
                 at = pa.array(at.to_numpy() + ~same.to_numpy(zero_copy_only=False))
             parts.append((s["ids"].take(at), s["bytes"].take(at)))
@@ -269,29 +256,27 @@ class Dictionary:
         return join(0), np.concatenate(counts)[back.to_numpy()], join(1)
 
 
-def _texts(folder: str, files: list[str | None], size: int, keep_ids: bool):
+def _texts(folder: str, files: list[str | None], keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Dictionary(folder, files)
-        for whole in batches:
-            for at in range(0, whole.num_rows, size):
-                batch = whole.slice(at, size)
-                lists = batch.column(1)
-                offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                flat = lists.flatten().dictionary_encode()
-                if len(flat):
-                    ids, n, plain = book.codes(flat.dictionary)
-                    where = flat.indices.to_numpy()
-                    total = np.concatenate(([0], np.cumsum(n[where])))
-                    counts = total[offsets[1:]] - total[offsets[:-1]]
-                    spans = pa.array(offsets.astype(np.int32))
-                    texts = pc.binary_join(pa.ListArray.from_arrays(spans, ids.take(flat.indices)), ",")
-                    data = pc.binary_join(pa.ListArray.from_arrays(spans, plain.take(flat.indices)), b"")
-                else:
-                    counts = np.zeros(len(lists), np.int64)
-                    texts, data = pa.array([""] * len(lists)), pa.array([b""] * len(lists))
-                sha = lambda rows: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in rows])
-                out = [batch.column(0), pa.array(counts, pa.int64()), sha(texts), sha(data)]
-                yield pa.RecordBatch.from_arrays(out + ([texts] if keep_ids else []), names=["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten().dictionary_encode()
+            if len(flat):
+                ids, n, plain = book.codes(flat.dictionary)
+                where = flat.indices.to_numpy()
+                total = np.concatenate(([0], np.cumsum(n[where])))
+                counts = total[offsets[1:]] - total[offsets[:-1]]
+                spans = pa.array(offsets.astype(np.int32))
+                texts = pc.binary_join(pa.ListArray.from_arrays(spans, ids.take(flat.indices)), ",")
+                data = pc.binary_join(pa.ListArray.from_arrays(spans, plain.take(flat.indices)), b"")
+            else:
+                counts = np.zeros(len(lists), np.int64)
+                texts, data = pa.array([""] * len(lists)), pa.array([b""] * len(lists))
+            sha = lambda rows: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in rows])
+            out = [batch.column(0), pa.array(counts, pa.int64()), sha(texts), sha(data)]
+            yield pa.RecordBatch.from_arrays(out + ([texts] if keep_ids else []), names=["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
     return run
 
@@ -304,29 +289,43 @@ def encode_texts(
 
     Words are the matches of pattern. Every distinct word is merged and decoded once, by higher-order functions over the rank table as a
     literal; the codes lie in a dictionary in the shared folder, sharded by hash, which the workers map into memory, so that
-    memory depends on a batch of texts only. Null and empty texts have no ids. Repeated rows are encoded alike; no rows, no rows.
+    memory depends on a batch of texts only, of stated bytes. Null and empty texts have no ids. Repeated rows are encoded alike; no rows, no rows.
     """
     spark = docs.sparkSession
     pieces = F.regexp_extract_all(F.coalesce(c(text), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    words = saved(docs.select(F.explode(pieces).alias("word")).distinct(), "words")
-    n = rules.shards or max(1, -(-words.count() >> 18))
-    with short_plans(spark):
-        codes = saved(word_codes(words, ranks_path, rules), "codes")
-    folder = new_folder(spark, "dictionary")
-    entries = codes.select("word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").cast("long").alias("n"), "bytes")
-    entries = entries.mapInArrow(_numbered(n), "shard long, word string, ids string, n long, bytes binary").repartition(n, "shard")
-    files: list[str | None] = [None] * n
-    for row in entries.mapInArrow(_shard(folder), "shard long, file string").collect():  # one row a shard
-        files[row["shard"]] = row["file"]
-    given = docs.select(c(doc_id).cast("long").alias("id"), pieces.alias("pieces"))
-    kinds = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * keep_ids
-    return given.mapInArrow(_texts(folder, files, rules.batch, keep_ids), kinds)
+    batches = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rules.batch), "spark.sql.execution.arrow.maxBytesPerBatch": str(rules.batch_bytes)}
+    with scratch(spark) as kept:
+        words = saved(docs.select(F.explode(pieces).alias("word")).distinct(), "words")
+        n = rules.shards or max(1, -(-words.count() >> 18))
+        with settings(spark, SHORT_PLANS):
+            codes = saved(word_codes(words, ranks_path, rules), "codes")
+        folder = new_folder(spark, "dictionary")
+        entries = codes.select("word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").cast("long").alias("n"), "bytes")
+        entries = entries.mapInArrow(_numbered(n), "shard long, hash long, word string, ids string, n long, bytes binary")
+        entries = entries.repartition(n, "shard").sortWithinPartitions("shard", "hash")
+        files: list[str | None] = [None] * n
+        for row in entries.mapInArrow(_shard(folder), "shard long, file string").collect():  # one row a shard
+            files[row["shard"]] = row["file"]
+        given = docs.select(c(doc_id).cast("long").alias("id"), pieces.alias("pieces"))
+        kinds = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * keep_ids
+        with settings(spark, batches):
+            out = saved(given.mapInArrow(_texts(folder, files, keep_ids), kinds), "encoded")
+        kept.append(out)
+    return out
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def _shards(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (hashes.view(np.uint64) % np.uint64(n)).astype(np.int64)
 
 
 def _numbered(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard = [xxhash.xxh3_64_intdigest(w) % n for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *batch.columns], names=["shard", "word", "ids", "n", "bytes"])
+            hashes = _hashes([w.encode() for w in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(_shards(hashes, n)), pa.array(hashes), *batch.columns], names=["shard", "hash", "word", "ids", "n", "bytes"])
 
     return run

@@ -60,6 +60,19 @@ def scratch(spark: SparkSession, *keep: DataFrame):
             drop_saved(spark, path)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Sets the session's settings meanwhile, for queries that run within."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def own_folder(spark: SparkSession) -> str:
     """Where this application saves its tables."""
     return f"{shared_folder(spark)}/trackweave/{spark.sparkContext.applicationId}"
