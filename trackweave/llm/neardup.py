@@ -11,13 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import c, lookup, saved, scratch, small
+from trackweave.llm.common import c, lookup, saved, scratch, settings, small
 from trackweave.llm.components import components
 
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
+#: Bytes of texts or sets that a worker gets at once, about; a longer row comes alone.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22)}
+
+
 @dataclass(frozen=True)
 class NearDup:
     """shingle: words of one. percent: similarity that links, in hundredths. rows, bands: of the sketch; a pair at
@@ -198,7 +202,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     band keys is compared with its smallest member first; only pairs that are then still in different components follow,
     outright where each member meets few, else by scanning blocks of members, so that no bucket needs all its pairs.
     """
-    with scratch(docs.sparkSession) as kept:
+    with scratch(docs.sparkSession) as kept, settings(docs.sparkSession, BATCHES):
         source = docs.select(c(doc_id).alias("id"), c(text).alias("text"))
         found = source.mapInArrow(_sketched(rules.shingle, rules.rows, rules.bands, rules.memo), "id long, n long, digest binary, keys array<long>")
         found = saved(found, "sketches")
