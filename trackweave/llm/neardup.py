@@ -18,7 +18,7 @@ U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
-#: Bytes of texts or sets that a worker gets at once, about; a longer row comes alone.
+#: Bytes of texts that a worker gets at once, about; a longer row comes alone.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22)}
 
 
@@ -202,10 +202,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     band keys is compared with its smallest member first; only pairs that are then still in different components follow,
     outright where each member meets few, else by scanning blocks of members, so that no bucket needs all its pairs.
     """
-    with scratch(docs.sparkSession) as kept, settings(docs.sparkSession, BATCHES):
+    with scratch(docs.sparkSession) as kept:
         source = docs.select(c(doc_id).alias("id"), c(text).alias("text"))
         found = source.mapInArrow(_sketched(rules.shingle, rules.rows, rules.bands, rules.memo), "id long, n long, digest binary, keys array<long>")
-        found = saved(found, "sketches")
+        with settings(docs.sparkSession, BATCHES):
+            found = saved(found, "sketches")
         classes = found.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
         classes = saved(classes, "classes")
         few = small(classes, rules.broadcast_ids)
@@ -218,7 +219,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         candidates = saved(held.select(F.col("rep").alias("id")).distinct(), "candidates")
         near = source.join(F.broadcast(candidates) if small(candidates, rules.broadcast_ids) else candidates, "id", "left_semi")
-        sets = saved(near.mapInArrow(_sets(rules.shingle, rules.rows * rules.bands, rules.memo), "id long, shingles array<long>, short binary"), "sets")
+        with settings(docs.sparkSession, BATCHES):
+            sets = saved(near.mapInArrow(_sets(rules.shingle, rules.rows * rules.bands, rules.memo), "id long, shingles array<long>, short binary"), "sets")
 
         def confirmed(pairs: DataFrame) -> DataFrame:
             x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
