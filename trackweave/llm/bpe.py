@@ -7,7 +7,6 @@ import hashlib
 import heapq
 import itertools
 import os
-import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,8 +25,9 @@ from pyspark.sql import functions as F
 
 from trackweave.llm.common import c, let, new_folder, saved, scratch, settings
 
-#: Stands for no rank.
-NONE = 1 << 30
+#: An element of the fold's state: 1 + id in the lowest bits, then where in the word it starts, then its rank with its right neighbour.
+ID_BITS, AT_BITS = 17, 10
+RANK_AT = ID_BITS + AT_BITS
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,10 @@ class Encoding:
     batch: int = 500
     batch_bytes: int = 1 << 22
 
+    def __post_init__(self) -> None:
+        if not 0 <= self.long_word <= 1 << AT_BITS:
+            raise ValueError("long_word must be at most 1024")
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token to rank of a rank file: base64 and number on each line."""
@@ -64,86 +68,83 @@ def pairs_of(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
-def rank_slots(pairs: dict[int, int]) -> list[int]:
-    """A table in which each pair lies in one of two slots that its hash names, as pair * 65536 + rank; -1 elsewhere."""
-    size = 1 << max(4, (len(pairs) * 9 // 4).bit_length())
-    slots = [-1] * size
-
-    def places(pair: int) -> tuple[int, int]:
-        h = xxhash.xxh64_intdigest(struct.pack("<q", pair), 42)
-        return h & (size - 1), h >> 32 & (size - 1)
-
+def rank_rows(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Starts and slots: the pair of left and right, if it merges, lies in slot starts[left + 1] + right + 1, as left + 1 in the bits
+    from ID_BITS on and the rank + 1 below; unused slots are 0. Rows of pairs with one left are laid over each other so that no two
+    pairs share a slot, longest rows first."""
+    rows: dict[int, list[tuple[int, int]]] = {}
     for pair, rank in pairs.items():
-        entry = pair << 16 | rank
-        at = places(pair)[0]
-        for _ in range(500):
-            entry, slots[at] = slots[at], entry
-            if entry == -1:
+        rows.setdefault((pair >> 16) + 1, []).append(((pair & 65535) + 1, rank + 1))
+    starts, slots, step = [0] * (1 + max(rows, default=0)), np.zeros(1 << 19, np.int64), 64
+    used = slots.astype(bool)
+    for left, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        rights, codes = np.array(sorted(row), np.int64).T
+        at = left * 40503 % (1 << 18)  # rows are spread, so that the first places tried are mostly free
+        while True:
+            while at + step + int(rights[-1]) > len(slots):
+                slots, used = (np.concatenate((x, np.zeros_like(x))) for x in (slots, used))
+            tried = np.arange(at, at + step)
+            for i in range(0, len(rights), 8):
+                tried = tried[~used[tried[:, None] + rights[i : i + 8]].any(1)]
+                if not len(tried):
+                    break
+            else:
+                at = int(tried[0])
                 break
-            one, two = places(entry >> 16)
-            at = two if at == one else one
-        else:
-            raise ValueError("the table is too small")
-    return slots
+            at += step
+        starts[left] = at
+        slots[at + rights], used[at + rights] = left << ID_BITS | codes, True
+    return starts, slots[: np.flatnonzero(slots).max(initial=0) + 1].tolist()
 
 
 @lru_cache(maxsize=4)
-def tables(path: str) -> tuple[str, int, str, str]:
-    """Of a rank file: the slots as text, how many, the ids of the 256 bytes and the tokens in hexadecimal as text."""
+def tables(path: str) -> tuple[str, str, str]:
+    """Of a rank file, as text: the starts and slots of rank_rows() and 1 + the ids of the 256 bytes."""
     ranks = read_ranks(path)
     if max(ranks.values()) >= 1 << 16 or any(bytes([i]) not in ranks for i in range(256)):
         raise ValueError("needs ranks below 65536 and one for every byte")
-    slots = rank_slots(pairs_of(ranks))
-    tokens = [""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token.hex()
-    return ",".join(map(str, slots)), len(slots), ",".join(str(ranks[bytes([i])]) for i in range(256)), ",".join(tokens)
+    starts, slots = rank_rows(pairs_of(ranks))
+    return ",".join(map(str, starts)), ",".join(map(str, slots)), ",".join(str(1 + ranks[bytes([i])]) for i in range(256))
 
 
-def literal(text: str, kind: str) -> Column:
-    """An array of comma-separated values, which the optimizer turns into one literal."""
-    return F.split(F.lit(text), ",").cast(f"array<{kind}>")
+def literal(text: str) -> Column:
+    """An array of comma-separated numbers, which the optimizer turns into one literal."""
+    return F.split(F.lit(text), ",").cast("array<bigint>")
 
 
 def merged(word: Column, path: str) -> Column:
-    """The ids of a word. The fold's state is the ids so far and the rank of each with its right neighbour; each step merges the
-    leftmost pair of the lowest rank."""
-    text, size, byte_ids, _ = tables(path)
-
-    def rank(slots: Column, a: Column, b: Column) -> Column:
-        pair = a.cast("long") * 65536 + b
-        h = F.xxhash64(pair)
-        one = F.get(slots, h.bitwiseAND(F.lit(size - 1)).cast("int"))
-        two = F.get(slots, F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1)).cast("int"))
-        low = lambda x: x.bitwiseAND(F.lit(65535)).cast("int")
-        return F.when(b.isNull(), NONE).when(F.shiftright(one, 16) == pair, low(one)).when(F.shiftright(two, 16) == pair, low(two)).otherwise(NONE)
-
-    def fold(slots: Column, ids: Column) -> Column:
-        ranks = F.transform(ids, lambda a, i: rank(slots, a, F.get(ids, i + 1)))
-        first = F.struct(ids.alias("ids"), ranks.alias("ranks"), F.array_min(ranks).alias("low"))
+    """The ids of a word of at most 2**AT_BITS bytes. The fold's state is one array of numbers, so that its minimum is the leftmost pair of
+    the lowest rank; each step merges that. A rank is 1 more than the file's; what has no rank has a number above all ranks."""
+    starts_text, slots_text, byte_codes = tables(path)
+    bits = lambda x, mask: x.bitwiseAND(F.lit(mask).cast("long"))
+    code = lambda x: bits(x, (1 << ID_BITS) - 1)
+    none = 1 << ID_BITS
+
+    def fold(starts: Column, slots: Column, codes: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            """Of a pair, shifted to its place. Slots of other pairs leave bits of the left ones behind, and so have numbers above all ranks."""
+            found = F.get(slots, F.get(starts, a) + b).bitwiseXOR(F.shiftleft(a, ID_BITS))
+            return F.shiftleft(F.coalesce(found, F.lit(none).cast("long")), RANK_AT)
 
         def step(state: Column, _: Column) -> Column:
-            low, ids, ranks = state["low"], state["ids"], state["ranks"]
+            def merge(low: Column, p: Column, new: Column) -> Column:
+                before, rest = F.get(state, p - 2), F.slice(state, p + 2, F.lit(1 << AT_BITS))
+                left = rank(code(before), new).bitwiseOR(bits(before, (1 << RANK_AT) - 1))
+                own = rank(new, code(F.get(state, p + 1))).bitwiseOR(bits(low, (1 << RANK_AT) - (1 << ID_BITS))).bitwiseOR(new)
+                first = F.flatten(F.array(F.array(own), rest))
+                return F.when(p == 1, first).otherwise(F.flatten(F.array(F.slice(state, 1, p - 2), F.array(left, own), rest)))
 
-            def merge(p: Column) -> Column:
-                left, right = F.get(ids, p - 2), F.get(ids, p + 1)
-                new_ids = F.concat(F.slice(ids, 1, p - 1), F.array(low), F.slice(ids, p + 2, F.size(ids)))
-                before = F.when(p > 1, F.array(rank(slots, left, low))).otherwise(F.array().cast("array<int>"))
-                new = F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), before, F.array(rank(slots, low, right)), F.slice(ranks, p + 2, F.size(ids)))
-                return let(new, lambda r: F.struct(new_ids.alias("ids"), r.alias("ranks"), F.array_min(r).alias("low")))
+            def lowest(low: Column) -> Column:
+                at = F.array_position(state, low).cast("int")
+                return let(at, lambda p: let(F.shiftright(low, RANK_AT), lambda new: merge(low, p, new)))
 
-            return F.when(low >= NONE, state).otherwise(let(F.array_position(ranks, low).cast("int"), merge))
+            return let(F.array_min(state), lambda low: F.when(low >= F.lit(none << RANK_AT), state).otherwise(lowest(low)))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(ids)), first, step, lambda s: s["ids"])
+        first = F.transform(codes, lambda a, i: rank(a, F.get(codes, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), ID_BITS)).bitwiseOR(a))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), first, step, lambda s: F.transform(s, lambda x: (code(x) - 1).cast("int")))
 
-    start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda x: F.get(literal(byte_ids, "int"), F.ascii(x)))
-    return let(literal(text, "bigint"), lambda slots: let(start, lambda ids: fold(slots, ids)))
-
-
-def decoded(ids: Column, path: str) -> Column:
-    """The bytes of ids: their tokens' bytes, concatenated."""
-    tokens = tables(path)[3]
-    return let(F.split(F.lit(tokens), ","), lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
+    start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda x: F.get(literal(byte_codes), F.ascii(x)))
+    return let(literal(starts_text), lambda starts: let(literal(slots_text), lambda slots: let(start, lambda codes: fold(starts, slots, codes))))
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -176,23 +177,18 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _long(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
-        tokens = {r: t for t, r in ranks.items()}
         for batch in batches:
-            found = [merged_by_heap(w.encode(), ranks) for w in batch.column(0).to_pylist()]
-            whole = [b"".join(map(tokens.__getitem__, ids)) for ids in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(whole, pa.binary())], names=["word", "ids", "bytes"])
+            found = [merged_by_heap(w.encode(), shared.value) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return run
 
 
-def word_codes(words: DataFrame, path: str, rules: Encoding = Encoding()) -> DataFrame:
-    """word, ids and bytes (decoded from the ids) of distinct words."""
+def word_codes(words: DataFrame, path: str, shared, rules: Encoding = Encoding()) -> DataFrame:
+    """word and ids of distinct words. shared: the broadcast ranks."""
     size = F.octet_length("word")
     short = words.where(size <= rules.long_word).select("word", merged(F.col("word"), path).alias("ids"))
-    short = short.select("word", "ids", decoded(F.col("ids"), path).alias("bytes"))
-    shared = words.sparkSession.sparkContext.broadcast(read_ranks(path))
-    long = words.where(size > rules.long_word).select("word").mapInArrow(_long(shared), "word string, ids array<int>, bytes binary")
+    long = words.where(size > rules.long_word).select("word").mapInArrow(_long(shared), "word string, ids array<int>")
     return short.unionByName(long)
 
 
@@ -287,8 +283,8 @@ def encode_texts(
     """id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes decoded from them), and ids (that
     text) if keep_ids, per row of docs.
 
-    Words are the matches of pattern. Every distinct word is merged and decoded once, by higher-order functions over the rank table as a
-    literal; the codes lie in a dictionary in the shared folder, sharded by hash, which the workers map into memory, so that
+    Words are the matches of pattern. Every distinct word is merged once, by higher-order functions over the rank table as a literal, and
+    its ids are decoded once; the codes lie in a dictionary in the shared folder, sharded by hash, which the workers map into memory, so that
     memory depends on a batch of texts only, of stated bytes. Null and empty texts have no ids. Repeated rows are encoded alike; no rows, no rows.
     """
     spark = docs.sparkSession
@@ -297,11 +293,11 @@ def encode_texts(
     with scratch(spark) as kept:
         words = saved(docs.select(F.explode(pieces).alias("word")).distinct(), "words")
         n = rules.shards or max(1, -(-words.count() >> 18))
+        shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
         with settings(spark, SHORT_PLANS):
-            codes = saved(word_codes(words, ranks_path, rules), "codes")
+            codes = saved(word_codes(words, ranks_path, shared, rules), "codes")
         folder = new_folder(spark, "dictionary")
-        entries = codes.select("word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").cast("long").alias("n"), "bytes")
-        entries = entries.mapInArrow(_numbered(n), "shard long, hash long, word string, ids string, n long, bytes binary")
+        entries = codes.select("word", "ids").mapInArrow(_entries(n, shared), "shard long, hash long, word string, ids string, n long, bytes binary")
         entries = entries.repartition(n, "shard").sortWithinPartitions("shard", "hash")
         files: list[str | None] = [None] * n
         for row in entries.mapInArrow(_shard(folder), "shard long, file string").collect():  # one row a shard
@@ -322,10 +318,22 @@ def _shards(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes.view(np.uint64) % np.uint64(n)).astype(np.int64)
 
 
-def _numbered(n: int):
+def _entries(n: int, shared):
+    """Entries of the dictionary: shard, hash, word, ids as text, how many, and the bytes decoded from the ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = [b""] * (max(shared.value.values()) + 1)
+        for token, rank in shared.value.items():
+            tokens[rank] = token
+        bytes_of = pa.array(tokens, pa.binary())
         for batch in batches:
-            hashes = _hashes([w.encode() for w in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(_shards(hashes, n)), pa.array(hashes), *batch.columns], names=["shard", "hash", "word", "ids", "n", "bytes"])
+            words, lists = batch.columns
+            hashes = _hashes([w.encode() for w in words.to_pylist()])
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat, spans = lists.flatten(), pa.array(offsets.astype(np.int32))
+            ids = pc.binary_join(pa.ListArray.from_arrays(spans, flat.cast(pa.string())), ",")
+            plain = pc.binary_join(pa.ListArray.from_arrays(spans, bytes_of.take(flat)), b"")
+            out = [pa.array(_shards(hashes, n)), pa.array(hashes), words, ids, pa.array(np.diff(offsets).astype(np.int64)), plain]
+            yield pa.RecordBatch.from_arrays(out, names=["shard", "hash", "word", "ids", "n", "bytes"])
 
     return run
