@@ -106,3 +106,57 @@ def test_files_cut_short_are_noticed(spark, tmp_path):
         f.write(data[:8] + data[8 + 16 + size :])  # without its first block
     with pytest.raises(Exception, match="ends before its last document"):
         tokencodec.read_tokens(manifest, folder).count()
+
+
+def test_a_task_lets_go_of_the_texts_it_has_encoded():
+    import pyarrow as pa
+
+    held = []
+
+    def batches():
+        for k in range(40):
+            sink = pa.BufferOutputStream()
+            batch = pa.RecordBatch.from_arrays([pa.array([k]), pa.array(["some words " * 100_000])], names=["id", "text"])
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.ipc.open_stream(sink.getvalue()).read_next_batch()  # its columns share one buffer, as those from Spark do
+            del sink, batch
+            held.append(pa.total_allocated_bytes())
+
+    for _ in tokencodec._tokens(PATH, tokencodec.TokenFiles())(batches()):
+        pass
+    assert len(held) == 40 and held[-1] - held[1] < 8 << 20  # 1.1 MB a text
+
+
+def test_workers_get_bounded_batches_and_small_tables_have_few_parts(spark, tmp_path, monkeypatch):
+    def noted(name, own):
+        def run(batches):
+            def sizes():
+                for batch in batches:
+                    with open(f"{tmp_path}/{name}", "a") as f:
+                        f.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return own(sizes())
+
+        return run
+
+    tokens = tokencodec._tokens
+    monkeypatch.setattr(tokencodec, "_tokens", lambda *given: noted("tokens", tokens(*given)))
+    monkeypatch.setattr(tokencodec, "_documents", noted("documents", tokencodec._documents))
+    rows = [(i, f"{i} " + "some words " * 15_000) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    folder = f"file://{tmp_path}/tok"
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    manifest = tokencodec.write_tokens(docs, folder, PATH)
+    out = tokencodec.read_tokens(manifest, folder)
+    assert spark.conf.get(key, None) == before
+    assert sorted(tuple(r) for r in out.collect()) == wanted(rows)
+    for name, longest in (("tokens", 170_000), ("documents", 33_000)):
+        sizes = [int(x) for x in open(f"{tmp_path}/{name}")]
+        assert sum(sizes) > 8 << 20 and max(sizes) < (4 << 20) + 2 * longest, name
+    parts = lambda df: glob.glob(df.trackweave_path.removeprefix("file://") + "/*.parquet")
+    assert len(parts(manifest)) == 1 and len(parts(out)) <= 2
+    many = tokencodec.write_tokens(docs.repartition(20), folder + "20", PATH)
+    assert many.count() == 20 and len(parts(many)) == 1

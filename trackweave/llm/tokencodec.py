@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import struct
 import uuid
 import zipfile
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import c, new_folder, saved
+from trackweave.llm.common import c, new_folder, saved, settings
 
 # Fixed values of the format: magic, and the head of a block.
 MAGIC = b"TWTOK2\n\0"
@@ -47,17 +48,23 @@ FIRST, LAST, WHOLE = "\x00", "\x01", "\x02"
 @dataclass(frozen=True)
 class TokenFiles:
     """block: ids that are coded together, from fresh statistics. end_id: put after each document. slice_bytes: texts that are put
-    through the tokenizer together, about. memo: words learnt last whose ids a worker remembers; up to as many older ones stay."""
+    through the tokenizer together, about. memo: words learnt last whose ids a worker remembers; up to as many older ones stay.
+    batch_bytes: texts or blocks that a worker gets at once, about; a longer row comes alone."""
 
     block: int = 16384
     end_id: int = 2
     slice_bytes: int = 8 << 20
     memo: int = 200_000
+    batch_bytes: int = 1 << 22
 
     def __post_init__(self) -> None:
         if not 0 <= self.end_id < 1 << 16 or not 0 < self.block <= 1 << 20:
             raise ValueError("end_id must be below 65536 and block at most 2**20")
 
+    def batches(self) -> dict[str, str]:
+        """Spark's settings for batch_bytes."""
+        return {"spark.sql.execution.arrow.maxBytesPerBatch": str(self.batch_bytes)}
+
 
 def register_coder(spark: SparkSession) -> None:
     """Defines ENCODE (ids as unsigned 16 bits, lowest byte first, to a block) and DECODE (back) in the session.
@@ -189,7 +196,8 @@ class Words:
 
 @lru_cache(maxsize=2)
 def _words(path: str, end_id: int, most: int) -> Words:
-    """One for all tasks of a worker."""
+    """One for all tasks of a worker. The library would start a thread for each core of the machine, of which a task has one."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Words(path, end_id, most)
 
 
@@ -214,7 +222,7 @@ def _tokens(tokenizer: str, rules: TokenFiles):
         for whole in batches:
             for batch in _slices(whole, rules.slice_bytes):
                 ids, n = words.ids(batch.column(1))
-                docs.append(batch.column(0))
+                docs.append(pa.array(batch.column(0).to_pylist(), pa.int64()))  # a slice would hold on to all texts of its batch
                 lengths.append(n)
                 left = np.concatenate((left, ids))
                 full = len(left) // rules.block
@@ -273,7 +281,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
     n = max(rows.rdd.getNumPartitions(), 1)
     dealt = rows.repartitionByRange(n, "id", "row").sortWithinPartitions("id", "row").select("id", "text")
     blocks = dealt.mapInArrow(_tokens(tokenizer, rules), "ids binary, index binary").select(F.expr(f"{ENCODE}(ids)").alias("block"), "index")
-    return saved(blocks.mapInArrow(_write(folder), "part long, path string, tokens long"), "manifest")
+    files = blocks.mapInArrow(_write(folder), "part long, path string, tokens long")
+    with settings(docs.sparkSession, rules.batches()):
+        return saved(files.repartition(1), "manifest")  # one row a file: a table of one part, so the tasks that code open none
 
 
 def _blocks(folder: str, together: int):
@@ -333,19 +343,23 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raise ValueError("a file ends before its last document")
 
 
-def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
+def read_tokens(manifest: DataFrame, folder: str, rules: TokenFiles = TokenFiles()) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document, decoded from the files.
 
-    Damaged blocks, by either checksum, and files that end early raise an error.
+    Damaged blocks, by either checksum, and files that end early raise an error. The rows are saved here, as Spark deals out
+    batches by the settings that hold when a query is run, not when it is made.
     """
     register_coder(manifest.sparkSession)
     # One row a file: a file's start is the sum of the tokens of the files before it.
     upto = F.sum("tokens").over(Window.orderBy("part"))
+    n = max(1, manifest.count())
     files = manifest.select("path", (upto - F.col("tokens")).alias("start"), "part")
-    files = files.repartitionByRange(max(1, manifest.count()), "part").select("path", "start")
+    files = files.repartitionByRange(n, "part").select("path", "start")
     blocks = files.mapInArrow(_blocks(folder, 64), "start long, index binary, block binary")
     ids = blocks.select("start", "index", F.expr(f"{DECODE}(block)").alias("ids"))
-    return ids.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = ids.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with settings(manifest.sparkSession, rules.batches()):
+        return saved(found.repartition(-(-n // 8) + 1), "documents")  # rows of 32 bytes: not a part for each file
 
 
 def token_folder(spark) -> str:
