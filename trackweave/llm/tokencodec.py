@@ -6,9 +6,12 @@ asks for them: a range coder is a loop over single ids, for which neither Column
 
 from __future__ import annotations
 
+import codecs
 import io
+import itertools
 import json
 import os
+import re
 import struct
 import uuid
 import zipfile
@@ -41,6 +44,8 @@ WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 ODD = rf"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$|[\t\x0b-\r\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x00-\x02]"
 #: A letter and a sign of these behind it, between which a piece always ends.
 SIGNS = r"(\pL)([.,%*#$&:;!?])"
+#: Words that are one piece wherever they stand: a blank and letters that are letters in every version of Unicode.
+PIECE = re.compile(" [A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: Marks: before what follows no blank, after a text's last word, and a text by its number.
 FIRST, LAST, WHOLE = "\x00", "\x01", "\x02"
 
@@ -93,17 +98,25 @@ def register_coder(spark: SparkSession) -> None:
         spark._jsparkSession.udf().register(name, made, spark._jsparkSession.parseDataType('"binary"'))
 
 
+def byte_signs() -> list[str]:
+    """The characters that byte-level BPE writes for the bytes 0 to 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = itertools.count(256)
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
 class Words:
     """The ids of texts by the tokenizers library, each word once.
 
     With byte-level BPE, white space that follows a word always starts a new piece, as a sign behind a letter does, and no merge
     crosses the ends of a piece. So a text may be cut before each blank and line feed between words and between letters and
-    signs, and the ids of the cuts concatenate to those of the text.
+    signs, and the ids of the cuts concatenate to those of the text. Words that are one piece go to the library's model without its
+    search for pieces, which takes as long as the merges.
     Every other text, and all texts of any other kind of tokenizer, go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int, most: int) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.most, self.end = Tokenizer.from_file(path), most, np.array([end_id], "<u2").tobytes()
         if self.library.get_vocab_size(True) > 1 << 16:
@@ -118,6 +131,13 @@ class Words:
         feed = self.library.encode("\n", add_special_tokens=False).ids
         self.cuts = self.cuts and len(feed) == 1
         self.feed = feed[0] if self.cuts else -1
+        vocab, signs = made["model"]["vocab"] if self.cuts else {}, byte_signs()
+        self.signs = "".join(signs[:10] + ["\n"] + signs[11:])
+        self.blank = np.zeros(1 << 16, bool)
+        self.blank[[i for token, i in vocab.items() if token.startswith(signs[32])]] = True
+        self.single = self.cuts and all(sign in vocab for sign in signs)
+        self.pieces = Tokenizer(self.library.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -136,28 +156,50 @@ class Words:
                     out[i] = self.memo[words[i]] = x
         return out
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """Ids of words, also into the memo: lines of words go to the library, whose line feeds part them again."""
-        plain = [w[1:] if w[0] in (FIRST, "\n") else " " + w for w in words]
-        lines = ["\n".join(plain[i : i + 50]) for i in range(0, len(plain), 50)]
-        feed = np.array([self.feed], "<u2")
-        ids = []
+    def _flat(self, library, words: list[str], after: list[int]) -> np.ndarray:
+        """Ids of lines of words, after every line those given."""
+        more, out = np.array(after, "<u2"), [np.empty(0, "<u2")]
+        lines = ["\n".join(words[i : i + 50]) for i in range(0, len(words), 50)]
         for i in range(0, len(lines), 200):
-            for e in self.library.encode_batch_fast(lines[i : i + 200], add_special_tokens=False):
-                ids += [np.array(e.ids, "<u2"), feed]
-        flat = np.concatenate(ids)
+            for e in library.encode_batch_fast(lines[i : i + 200], add_special_tokens=False):
+                out += [np.array(e.ids, "<u2"), more]
+        return np.concatenate(out)
+
+    def _single(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one piece each: the id that stands for their blank begins them, and no other does."""
+        signs, _ = codecs.charmap_decode("\n".join(words).encode(), "strict", self.signs)
+        flat = self._flat(self.pieces, signs.split("\n"), [])
+        at = [*(np.flatnonzero(self.blank[flat]) * 2).tolist(), len(flat) * 2]
+        if len(at) != len(words) + 1:
+            raise AssertionError("the library parted words elsewhere than at their blanks")
+        data = flat.tobytes()
+        return [data[i:j] for i, j in itertools.pairwise(at)]
+
+    def _several(self, words: list[str]) -> list[bytes]:
+        """Ids of words of any pieces: line feeds part them."""
+        flat = self._flat(self.library, words, [self.feed])
         ends = (np.flatnonzero(flat == self.feed) * 2).tolist()
         if len(ends) != len(words):
             raise AssertionError("the library joined words across a line feed")
-        data, at, before = flat.tobytes(), 0, feed.tobytes()
-        out = []
-        for w, end in zip(words, ends, strict=True):
-            out.append(before + data[at:end] if w[0] == "\n" else data[at:end])
-            at = end + 2
+        data = flat.tobytes()
+        return [data[i:j] for i, j in zip([0, *(end + 2 for end in ends)], ends)]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, also into the memo."""
+        plain = [w[1:] if w[0] in (FIRST, "\n") else " " + w for w in words]
+        single: list[int] = []
+        several: list[int] = []
+        for i, x in enumerate(map(PIECE.fullmatch, plain)):
+            (single if x and self.single else several).append(i)
+        found = self._single([plain[i] for i in single]) + self._several([plain[i] for i in several])
+        before = np.array([self.feed], "<u2").tobytes()
+        out = {}
+        for i, x in zip(single + several, found, strict=True):
+            out[words[i]] = before + x if words[i][0] == "\n" else x
         if len(self.memo) + len(words) > self.most:
             self.memo, self.older = {}, self.memo
         if len(words) <= self.most:
-            self.memo.update(zip(words, out, strict=True))
+            self.memo.update(out)
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +226,9 @@ class Words:
             elif x is None:
                 new.append(i)
         if new:
-            for i, x in zip(new, self._learn([words[i] for i in new]), strict=True):
-                found[i] = x
+            learnt = self._learn([words[i] for i in new])
+            for i in new:
+                found[i] = learnt[words[i]]
         coded = pa.array(found, pa.large_binary())
         out = coded.take(cuts.indices)
         ends = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1, out.offset * 8)
