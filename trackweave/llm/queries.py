@@ -6,15 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.llm.audit import filter_masks, interactions
 from trackweave.llm.bpe import encode_texts
 from trackweave.llm.chat import conversation_digests, formatted, linear_trees
 from trackweave.llm.common import saved
+from trackweave.llm.hardneg import hard_negatives
 from trackweave.llm.linedup import line_dedup
 from trackweave.llm.mixing import Mixture, mix_sources
 from trackweave.llm.neardup import NearDup, near_duplicates
 from trackweave.llm.quality import DIGEST, quality_rules
-
 from trackweave.llm.secret_scan import secret_scan, written
+from trackweave.llm.simhash import simhash_duplicates
 from trackweave.llm.tokencodec import read_tokens, token_folder, write_tokens
 from trackweave.llm.topk import top_k
 from trackweave.llm.warc import archive_folder, read_archives, write_archives
@@ -97,8 +99,38 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return interactions(filter_masks(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_quality_rules, op2_warc, op3_token_files, op4_mix_sources, op5_line_dedup, op6_reply_trees, op7_secret_scan, op8_byte_bpe, op9_near_duplicates, op10_top_k)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_warc,
+        op3_token_files,
+        op4_mix_sources,
+        op5_line_dedup,
+        op6_reply_trees,
+        op7_secret_scan,
+        op8_byte_bpe,
+        op9_near_duplicates,
+        op10_top_k,
+        op11_hard_negatives,
+        op12_simhash,
+        op13_filter_audit,
+    )
 }
 
 ORACLE: dict[str, str] = {
@@ -244,5 +276,55 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5
+), r AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+""",
+    "op13_filter_audit": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS f FROM t
+), m AS (
+  SELECT doc_id, part, CAST(len(ws) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INTEGER)
+    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INTEGER) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+    + 16 * CAST(coalesce(doc_id > f, false) AS INTEGER) AS mask FROM w
+), l AS (
+  SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+), h AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), x AS (
+  SELECT unnest(range(5)) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+  SELECT array_to_string(list_transform(o, lambda i: 'ABCDE'[i + 1]), '') AS filter_order, CAST(i + 1 AS INTEGER) AS step, o[i + 1] AS own,
+    CAST(coalesce(list_sum(list_transform(o[1:i], lambda k: 1 << k)), 0) AS BIGINT) AS before FROM o, x
+), r AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER ((mask & (before + (1 << own))) = 0) AS kept,
+    sum(n) FILTER ((mask >> own) & 1 = 1 AND mask & before = 0) AS removed, sum(n) FILTER ((mask >> own) & 1 = 1 AND mask & before <> 0) AS redundant,
+    sum(n) FILTER (mask = 1 << own) AS unique_fails, sum(good) FILTER ((mask >> own) & 1 = 1 AND mask & before = 0) AS good_lost,
+    sum(toxic) FILTER ((mask >> own) & 1 = 1 AND mask & before = 0) AS toxic_lost
+  FROM h, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM r
 """,
 }
