@@ -177,3 +177,28 @@ def test_pixels_are_summed_without_another_exchange(spark):
     df = spark.createDataFrame([(1, 0, 0, 9, 9)], "user_id int, x0 long, y0 long, x1 long, y1 long")
     plan = raster.pixel_hits(df, ("user_id",))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_compat_pyramid_equals_level_by_level(spark):
+    rows = [(x, y, 3_000_000_000 + x, 4_294_967_295 - y) for x in range(13) for y in range(9)]
+    base = spark.createDataFrame(rows, "px long, py long, users long, trips long")
+    level, want = base, {(9, *r) for r in rows}
+    for z in range(8, -1, -1):
+        level = spark.createDataFrame(pyramid.rebuilt(level, Semantics("compat")).collect(), base.schema)
+        want |= {(z, *r) for r in level.collect()}
+    assert {tuple(r) for r in pyramid.pyramid(base, 9, semantics=Semantics("compat")).collect()} == want
+    held = {(r.z, r.px, r.py): r.value for r in pyramid.diff_pyramid(base.select("px", "py", F.col("trips").alias("value")), 9).collect()}
+    assert held[0, 0, 0] == 4_294_967_295 and held[9, 0, 8] == 4_294_967_287 and len(held) == len(want)
+    plan = pyramid.diff_pyramid(base.select("px", "py", F.col("trips").alias("value")), 9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") - plan.count("ReusedExchange") <= 3 and "CartesianProduct" not in plan
+
+
+def test_a_user_with_half_of_all_traces_is_split(spark):
+    tracks = [(i, "courier" if i % 2 else f"u{i}", [{"lon": 4.35 + i % 7 * 1e-5, "lat": 50.85}, {"lon": 4.352, "lat": 50.85 + i % 5 * 1e-5}]) for i in range(400)]
+    df = spark.createDataFrame(tracks, "contribution_id long, user_id string, points array<struct<lon:double,lat:double>>")
+    told = density.told_apart(df, 8)
+    assert told.where("salts > 1").select("user_id").distinct().collect() == [("courier",)] and told.count() == 400
+    loads = [r["count"] for r in told.repartition(8, "user_id", "salt").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(loads) < 2 * 400 / 8
+    want = {tuple(r) for r in density.user_cells(df).collect()}
+    assert {tuple(r) for r in density.user_cells(df, split_users=True).collect()} == want and want

@@ -11,9 +11,36 @@ from trackweave.functions.tilemath import quotient
 from trackweave.operators.raster import pixel_hits, segments
 
 
-def user_cells(tracks: DataFrame, raster: Raster = Raster(), cost: int = 1, include=None, semantics: Semantics = Semantics()) -> DataFrame:
-    """user_id, px, py, hits: what each user's tracks add to each pixel of the base zoom."""
-    cells = pixel_hits(segments(tracks, raster, include, keys=("user_id",)), ("user_id",), raster.resolution, weight=cost)
+def told_apart(tracks: DataFrame, partitions: int) -> DataFrame:
+    """tracks with salt and salts: a user with more than half a partition's share of all points has several salts, one for each of its
+    tracks, so that no task draws much more than others; all other users have one.
+
+    A segment draws at most a tile's side in a tile, so points bound what a user draws there. The 2 * partitions users of most
+    points hold all such users, whatever the table's size; only they are broadcast.
+    """
+    top = tracks.groupBy("user_id").agg(F.sum(F.size("points")).alias("points")).orderBy(F.desc("points")).limit(2 * partitions)
+    share = F.col("points") * partitions / F.sum("points").over(Window.partitionBy(F.lit(0)))
+    hot = top.withColumn("share", share).where("share > 0.5").select(F.col("user_id").alias("hot_user"), F.ceil(F.col("share") * 8).cast("int").alias("salts"))
+    out = tracks.join(F.broadcast(hot), F.col("user_id") == F.col("hot_user"), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    track = "contribution_id" if "contribution_id" in tracks.columns else "points"
+    return out.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64(track), F.col("salts"))).otherwise(0).cast("int")).drop("hot_user")
+
+
+def user_cells(
+    tracks: DataFrame, raster: Raster = Raster(), cost: int = 1, include=None, semantics: Semantics = Semantics(), split_users: bool = False
+) -> DataFrame:
+    """user_id, px, py, hits: what each user's tracks add to each pixel of the base zoom.
+
+    split_users: for tables in which few users have most of the points in a tile (told_apart). It reads the tracks twice more, and
+    only partial sums of such users are exchanged after they are drawn.
+    """
+    keys = ("user_id", "salt", "salts") if split_users else ("user_id",)
+    if split_users:
+        tracks = told_apart(tracks, int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = pixel_hits(segments(tracks, raster, include, keys=keys), keys, raster.resolution, weight=cost)
+    if split_users:
+        split = cells.where("salts > 1").groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
+        cells = cells.where("salts = 1").select("user_id", "px", "py", "hits").unionByName(split)
     return cells.withColumn("hits", wrapped32(F.col("hits"))) if semantics.compat else cells
 
 

@@ -25,34 +25,63 @@ def rebuilt(children: DataFrame, semantics: Semantics = Semantics()) -> DataFram
     return out.select("px", "py", users.alias("users"), F.col("trips").bitwiseAND(F.lit(UINT32)).alias("trips"))
 
 
+def rolled_up(base: DataFrame, zoom: int, min_zoom: int, values: tuple[str, ...]) -> DataFrame:
+    """z, px, py and the sums of values for all zooms from zoom to min_zoom of rows (px, py, ...) at zoom.
+
+    The base is dealt out once, by the ancestor NEAR zooms up, which holds a bounded number of pixels. Levels up to there
+    are summed where they lie, the upper half of them from the middle level, which is a few times smaller than the base;
+    levels above come from that ancestor's level, and only its sums are exchanged.
+    """
+    depth = zoom - min_zoom
+    near, names = min(NEAR, depth), list(values)
+    sums = [F.sum(v).alias(v) for v in names]
+    up = lambda d: (shift_right(F.col("px"), d).alias("px"), shift_right(F.col("py"), d).alias("py"))
+    level = (F.lit(zoom) - F.col("d")).alias("z")
+
+    def levels(rows: DataFrame, at: int, first: int, last: int, *within: str) -> DataFrame:
+        """Levels first to last above the base, of rows that lie `at` levels above it."""
+        each = rows.withColumn("d", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        return each.groupBy(*within, "d", *up(F.col("d") - at)).agg(*sums).select(level, "px", "py", *names)
+
+    dealt = base.select("px", "py", *names, shift_right(F.col("px"), near).alias("ax"), shift_right(F.col("py"), near).alias("ay")).repartition("ax", "ay")
+    half = near // 2
+    out = levels(dealt, 0, 0, half, "ax", "ay")
+    middle = dealt.groupBy("ax", "ay", *up(half)).agg(*sums)
+    if near > half:
+        out = out.unionByName(levels(middle, half, half + 1, near, "ax", "ay"))
+    if depth > near:
+        top = middle.groupBy("ax", "ay").agg(*sums).select(F.col("ax").alias("px"), F.col("ay").alias("py"), *names)
+        out = out.unionByName(levels(top, near, near + 1, depth))
+    return out
+
+
 def pyramid(base: DataFrame, zoom: int = 14, min_zoom: int = 0, semantics: Semantics = Semantics()) -> DataFrame:
     """z, px, py, users, trips for all zooms from zoom to min_zoom of base cells (px, py, users, trips).
 
-    The base is dealt out once by the ancestor six zooms up, which holds a bounded number of cells; those levels are summed
-    without another exchange. All levels above come from that ancestor's level, which is thousands of times smaller. compat
-    goes level by level, since its carries depend on the order.
+    compat: at every zoom users and trips are sums of packed pairs of 32 bits, so trips carry into users, and users wrap. Such
+    a sum is one of integers modulo 2**64: the order of additions does not matter, and wrapping once at the end is the same.
     """
-    if semantics.compat:
-        out = level = base.select("px", "py", "users", "trips")
-        out = out.withColumn("z", F.lit(zoom))
-        for z in range(zoom - 1, min_zoom - 1, -1):
-            level = rebuilt(level, semantics)
-            out = out.unionByName(level.withColumn("z", F.lit(z)))
-        return out.select("z", "px", "py", "users", "trips")
-
-    near = min(NEAR, zoom - min_zoom)
-    sums = (F.sum("users").alias("users"), F.sum("trips").alias("trips"))
-    up = lambda d: (shift_right(F.col("px"), d).alias("px"), shift_right(F.col("py"), d).alias("py"))
-    dealt = base.select("*", shift_right(F.col("px"), near).alias("ax"), shift_right(F.col("py"), near).alias("ay")).repartition("ax", "ay")
-    levels = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(near))))
-    low = levels.groupBy("ax", "ay", "d", *up(F.col("d"))).agg(*sums)
-    out = low.select((F.lit(zoom) - F.col("d")).alias("z"), "px", "py", "users", "trips")
-    if zoom - near > min_zoom:
-        top = base.groupBy(*up(near)).agg(*sums)
-        levels = top.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(zoom - near - min_zoom))))
-        high = levels.groupBy("d", *up(F.col("d"))).agg(*sums)
-        out = out.unionByName(high.select((F.lit(zoom - near) - F.col("d")).alias("z"), "px", "py", "users", "trips"))
-    return out.select("z", "px", "py", "users", "trips")
+    out = rolled_up(base, zoom, min_zoom, ("users", "trips"))
+    if not semantics.compat:
+        return out
+    users = (F.col("users") + shift_right(F.col("trips"), 32)).bitwiseAND(F.lit(UINT32))
+    trips = F.col("trips").bitwiseAND(F.lit(UINT32))
+    given = F.col("z") == zoom  # the base stays as it is
+    return out.select("z", "px", "py", F.when(given, F.col("users")).otherwise(users).alias("users"), F.when(given, F.col("trips")).otherwise(trips).alias("trips"))
+
+
+def rebuilt_above(fresh: DataFrame, beside: DataFrame, zoom: int) -> DataFrame:
+    """z, px, py, users, trips at all zooms above zoom: sums of fresh cells at that zoom and of the cells beside them (z, ...) at it and
+    above it, in tiles without fresh cells below, that share a parent with tiles that have some.
+
+    A cell is the sum of the fresh ones and of all those beside them that lie below, so all zooms are worked out at once.
+    """
+    columns, sums = ["z", "px", "py", "users", "trips"], (F.sum("users").alias("users"), F.sum("trips").alias("trips"))
+    low = rolled_up(fresh.select(columns).unionByName(beside.where(F.col("z") == zoom)), zoom, 0, ("users", "trips")).where(F.col("z") < zoom)
+    d = F.explode(F.sequence(F.lit(1), F.col("z"))).alias("d")
+    up = beside.where((F.col("z") < zoom) & (F.col("z") > 0)).select("*", d)
+    up = up.select((F.col("z") - F.col("d")).alias("z"), *[shift_right(F.col(c), F.col("d")).alias(c) for c in ("px", "py")], "users", "trips")
+    return low.select(columns).unionByName(up.select(columns)).groupBy("z", "px", "py").agg(*sums)
 
 
 def diff_pyramid(diff: DataFrame, zoom: int, min_zoom: int = 0, saturate: bool = True) -> DataFrame:
@@ -60,11 +89,8 @@ def diff_pyramid(diff: DataFrame, zoom: int, min_zoom: int = 0, saturate: bool =
 
     Values are not negative, so one clamp after the sum equals clamping at each addition.
     """
-    levels = diff.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(zoom - min_zoom))))
-    total = F.sum("value")
-    value = F.least(total, F.lit(UINT32)) if saturate else total
-    cells = levels.groupBy("d", shift_right(F.col("px"), F.col("d")).alias("px"), shift_right(F.col("py"), F.col("d")).alias("py"))
-    return cells.agg(value.alias("value")).select((F.lit(zoom) - F.col("d")).alias("z"), "px", "py", "value")
+    out = rolled_up(diff, zoom, min_zoom, ("value",))
+    return out.withColumn("value", F.least("value", F.lit(UINT32))) if saturate else out
 
 
 def tile_totals(cells: DataFrame, resolution: int = 512) -> DataFrame:

@@ -323,12 +323,13 @@ def incremental_equals_batch(spark, d):
 
 
 def incremental_job(spark, d):
-    """Cells of the job's store after three batches, each of which rebuilds only the tiles that it touches."""
+    """Cells of the job's store after three batches, each of which rebuilds only the tiles that it touches, with a compaction in between."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    store = Store(spark, f"{root.rstrip('/')}/trackweave-store-{uuid.uuid4().hex[:12]}")
+    store = Store(spark, f"{root.rstrip('/')}/trackweave-store-{uuid.uuid4().hex[:12]}", merged=2)
     t = event_tracks(spark, d)
     for k in range(3):
-        apply_batch(store, t.where(F.col("contribution_id") % 3 == k), f"part-{k}")
+        touched = apply_batch(store, t.where(F.col("contribution_id") % 3 == k), f"part-{k}")
+        store.compact(touched)
     return store.cells()
 
 

@@ -6,6 +6,7 @@ import json
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
@@ -35,20 +36,73 @@ def _field(number: int, data: bytes) -> bytes:
     return write_varint(number << 3 | 2) + write_varint(len(data)) + data
 
 
+def varint_sizes(values: np.ndarray) -> np.ndarray:
+    """Bytes of each as a varint."""
+    out, most = np.ones(values.shape, np.int64), int(values.max(initial=0))
+    for k in range(1, 10):
+        if most >> 7 * k:
+            out += values >= np.uint64(1 << 7 * k)
+    return out
+
+
+def varints(columns: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+    """The bytes of rows of varints (unsigned 64 bits), one row behind the other: each byte goes to its place at once."""
+    within = np.cumsum(np.stack(sizes), axis=0)
+    ends = np.cumsum(within[-1])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for column, size, until in zip(columns, sizes, within, strict=True):
+        start = ends - within[-1] + until - size
+        for k in range(int(size.max(initial=0))):
+            some = slice(None) if k == 0 else np.flatnonzero(size > k)
+            rest = column[some] >> np.uint64(7 * k)
+            out[start[some] + k] = (rest & np.uint64(127) | (rest > 127).astype(np.uint64) << np.uint64(7)).astype(np.uint8)
+    return out
+
+
+def framed(n: int, *columns: np.ndarray | int | tuple) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns of n varints each, and of their sizes, from columns of numbers; a tuple (tag, columns...) is a field of that tag,
+    its length before it."""
+    values, sizes = [], []
+    for x in columns:
+        if isinstance(x, tuple):
+            inner, inner_sizes = framed(n, *x[1:])
+            values.append(np.full(n, x[0], np.uint64))
+            values.append(sum(inner_sizes, np.zeros(n, np.int64)).astype(np.uint64))
+            sizes += [np.ones(n, np.int64), varint_sizes(values[-1]), *inner_sizes]
+            values += inner
+        else:
+            values.append(np.full(n, x, np.uint64) if isinstance(x, int) else x.astype(np.uint64))
+            sizes.append(varint_sizes(values[-1]))
+    return values, sizes
+
+
+def encode_columns(x: np.ndarray, y: np.ndarray, numbers: list[np.ndarray], names: tuple[str, ...] = ATTRIBUTES, layer: str = LAYER, extent: int = EXTENT) -> bytes:
+    """A vector tile of one layer with a point for each row of x, y and numbers, unsigned integers named names.
+
+    Values are interned in the order in which they first come. A feature is a row of varints, so lengths of tags, shapes and
+    features are sums of sizes, and every byte of all features is put in its place at once.
+    """
+    head, end = b"\x78\x02" + _field(1, layer.encode()), b"\x28" + write_varint(extent)
+    keys = b"".join(_field(3, name.encode()) for name in names)
+    if not len(x):
+        return _field(3, head + keys + end)
+    table = np.stack([np.asarray(v) for v in numbers], axis=1).astype(np.uint64) if numbers else np.empty((len(x), 0), np.uint64)
+    values, first, place = np.unique(table, return_index=True, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    place = rank[place].reshape(table.shape)
+    tags = [c for k in range(table.shape[1]) for c in (k, place[:, k])]
+    double = lambda v: np.asarray(v).astype(np.int64) << 1
+    features = varints(*framed(len(x), (2 << 3 | 2, (2 << 3 | 2, *tags), 3 << 3, 1, (4 << 3 | 2, 9, double(x), double(y)))))
+    found = varints(*framed(len(values), (4 << 3 | 2, 5 << 3, values[order]))) if len(values) else np.empty(0, np.uint8)
+    return _field(3, b"".join((head, features.tobytes(), keys, found.tobytes(), end)))
+
+
 def encode_tile(points: list[tuple], names: tuple[str, ...] = ATTRIBUTES, layer: str = LAYER, extent: int = EXTENT) -> bytes:
-    """A vector tile of one layer with a point (x, y, value...) each; values are unsigned integers."""
-    values: dict[int, int] = {}
-    out = bytearray(b"\x78\x02" + _field(1, layer.encode()))
-    for x, y, *numbers in points:
-        tags = b"".join(write_varint(k) + write_varint(values.setdefault(v, len(values))) for k, v in enumerate(numbers))
-        shape = b"\x09" + write_varint(x << 1) + write_varint(y << 1)
-        out += _field(2, _field(2, tags) + b"\x18\x01" + _field(4, shape))
-    for name in names:
-        out += _field(3, name.encode())
-    for v in values:
-        out += _field(4, b"\x28" + write_varint(v))
-    out += b"\x28" + write_varint(extent)
-    return _field(3, bytes(out))
+    """The same of points (x, y, value...)."""
+    x, y, *numbers = [np.array(v, np.int64 if i < 2 else np.uint64) for i, v in enumerate(zip(*points, strict=True))] or [np.empty(0)] * 2
+    return encode_columns(x, y, numbers, names, layer, extent)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -110,11 +164,12 @@ def vector_tiles(cells: DataFrame, resolution: int = 512, extent: int = EXTENT,
     rows = rows.where("a is not null").select("z", "x", "y", "cx", "cy", *[F.col("a")[k].cast("long").alias(k) for k in names])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cx", "ascending"), ("cy", "ascending")])
-        points = list(zip(*[table.column(k).to_pylist() for k in ("cx", "cy", *names)], strict=True))
+        cx, cy, *numbers = [table.column(k).to_numpy() for k in ("cx", "cy", *names)]
+        order = np.lexsort((cy, cx))
+        mvt = encode_columns(cx[order], cy[order], [v[order] for v in numbers], names, extent=extent)
         kinds = (pa.int32(), pa.int64(), pa.int64())
         head = [pa.array([k.as_py()], t) for k, t in zip(key, kinds, strict=True)]
-        return pa.Table.from_arrays([*head, pa.array([encode_tile(points, names, extent=extent)]), pa.array([len(points)], pa.int64())], names=["z", "x", "y", "mvt", "features"])
+        return pa.Table.from_arrays([*head, pa.array([mvt]), pa.array([len(cx)], pa.int64())], names=["z", "x", "y", "mvt", "features"])
 
     return rows.groupBy("z", "x", "y").applyInArrow(run, "z int, x long, y long, mvt binary, features long")
 

@@ -1,8 +1,11 @@
-"""Tables of the incremental job on plain Parquet: per-batch user cells, versions of the current cells, state."""
+"""Tables of the incremental job on plain Parquet: user cells in sorted runs, current cells by bucket, and the state, under one log."""
 
 from __future__ import annotations
 
-import json
+import time
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,24 +13,25 @@ from pyspark.sql import functions as F
 
 from trackweave.functions.tilemath import quotient, shift_right
 from trackweave.operators.cells import BROADCAST_TILES
+from trackweave.streaming.log import Conflict, Log, Run
 
 USER_CELLS = "user_id string, px long, py long, hits long"
-CELLS = "z int, px long, py long, users long, trips long"
-#: A bucket is 2**BUCKET tiles wide; reads are pruned to buckets, and a replacement rewrites them.
+CELLS = "px long, py long, users long, trips long"
+SCHEMAS = {"users": USER_CELLS, "cells": CELLS}
+#: A bucket is 2**BUCKET tiles wide; a replacement rewrites the buckets that it touches.
 BUCKET = 4
-#: So many buckets are named in a filter that prunes folders before anything is listed; more are joined.
-NAMED_BUCKETS = 1000
 
 
 @dataclass(frozen=True)
 class Touched:
-    """Base tiles (x, y) of a zoom, whether they are few enough to be broadcast, and their buckets if those can be named. No coarser
-    zoom has more tiles or buckets, and a shift takes both to it."""
+    """Base tiles (x, y) of a zoom, whether they are few enough to be broadcast, their buckets and their bounds. No coarser zoom has more
+    tiles or buckets, and a shift takes both to it. Buckets are names only: 2**20 of them cover the world at zoom 14."""
 
     base: DataFrame
     zoom: int
     few: bool
-    buckets: list[tuple[int, int]] | None
+    buckets: frozenset[tuple[int, int]]
+    box: tuple[int, int, int, int]
 
     def at(self, zoom: int) -> DataFrame:
         """x, y: the tiles at a coarser zoom."""
@@ -41,190 +45,237 @@ class Touched:
         tiles = self.base.select("x", "y", d).select((F.lit(self.zoom) - F.col("d")).alias("z"), *[shift_right(F.col(c), F.col("d")).alias(c) for c in ("x", "y")])
         return F.broadcast(tiles.distinct()) if self.few else tiles.distinct()
 
-    def pruned(self, rows: DataFrame, zoom: int | None = None) -> DataFrame:
-        """The rows (with bucket; with z, if zoom is not given) in the tiles' buckets, whose names pass over all other folders."""
-        if self.buckets is None:
-            return rows
-        name = lambda z: sorted({f"{x >> self.zoom - z}-{y >> self.zoom - z}" for x, y in self.buckets})
-        if zoom is not None:
-            return rows.where(F.col("bucket").isin(name(zoom)))
-        some = F.lit(False)
-        for z in range(self.zoom + 1):
-            some = some | ((F.col("z") == z) & F.col("bucket").isin(name(z)))
-        return rows.where(some)
+    def keys(self, zoom: int) -> set[str]:
+        """The buckets at a zoom, as runs name them."""
+        d = self.zoom - zoom
+        return {f"{zoom}/{x >> d}-{y >> d}" for x, y in self.buckets}
 
+    def all_keys(self, finest: int) -> set[str]:
+        """Those at all zooms up to finest."""
+        return set().union(*[self.keys(z) for z in range(finest + 1)])
 
-class Store:
-    """Folder root: user_cells/batch=NAME/bucket=B (a batch that runs again overwrites its own), cells/v=N/z=Z/bucket=B with
-    manifest/v=N (z, bucket, v: where each bucket's cells are), state/v=N.
+    def meets(self, run: Run) -> bool:
+        """Whether a run may hold cells of the tiles."""
+        d = self.zoom - int(run.key.split("/")[0])
+        x0, x1, y0, y1 = (v >> d for v in self.box)
+        return run.x0 <= x1 and run.x1 >= x0 and run.y0 <= y1 and run.y1 >= y0
 
-    A version counts once its manifest is whole (Spark's _SUCCESS), so readers see all of a replacement or nothing of it, and a
-    crash in between leaves the version before. vacuum() removes what no manifest names any longer.
-    """
 
-    def __init__(self, spark: SparkSession, root: str, resolution: int = 512) -> None:
-        self.spark, self.root, self.resolution = spark, root.rstrip("/"), resolution
-        self._short = 0, False
+def finest_common(a: list, b: list, zoom: int) -> int | None:
+    """The finest zoom at which two sets of base buckets share one."""
+    for d in range(zoom + 1):
+        if {(x >> d, y >> d) for x, y in a} & {(x >> d, y >> d) for x, y in b}:
+            return zoom - d
+    return None
 
-    def _path(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _exists(self, name: str) -> bool:
-        files, path = self._path(name)
-        return files.exists(path)
+class View:
+    """A store at one version: what it reads stays the same, whoever commits or compacts meanwhile."""
 
-    def _remove(self, name: str) -> None:
-        files, path = self._path(name)
-        files.delete(path, True)
+    def __init__(self, store: Store, version: int) -> None:
+        self.store, self.version = store, version
 
-    def _versions(self, name: str) -> list[int]:
-        """The whole versions v=N of a table, ascending."""
-        files, path = self._path(name)
-        if not files.exists(path):
-            return []
-        found = [str(x.getPath().getName()) for x in files.listStatus(path)]
-        return sorted(n for n in (int(x[2:]) for x in found if x.startswith("v=")) if self._exists(f"{name}/v={n}/_SUCCESS"))
+    def _rows(self, kind: str, runs: list[Run]) -> DataFrame:
+        spark, schema = self.store.spark, f"{SCHEMAS[kind]}, z int, bucket string"
+        if not runs:
+            return spark.createDataFrame([], schema)
+        read = spark.read.schema(schema).option("basePath", f"{self.store.root}/{kind}")
+        return read.parquet(*[f"{self.store.root}/{r.path}" for r in runs]).select(*[x.split()[0] for x in schema.split(", ")])
 
-    # User cells
+    def user_runs(self, touched: Touched | None = None) -> list[Run]:
+        if touched is None:
+            return self.store.log.runs(self.version, "users")
+        return [r for r in self.store.log.runs(self.version, "users", touched.keys(touched.zoom)) if touched.meets(r)]
 
-    def _bucket(self) -> Column:
-        n = lambda c: shift_right(quotient(F.col(c), self.resolution), BUCKET).cast("string")
-        return F.concat_ws("-", n("px"), n("py"))
+    def user_cells(self) -> DataFrame:
+        """user_id, px, py, hits over all batches."""
+        return self._rows("users", self.user_runs()).groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
 
-    def put_user_cells(self, cells: DataFrame, batch: str) -> None:
-        rows = cells.select("user_id", "px", "py", "hits", self._bucket().alias("bucket"))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/user_cells/batch={batch}")
+    def user_cells_of(self, touched: Touched, more: Sequence[Run] = ()) -> DataFrame:
+        """The same for the base tiles only, with further runs: only their buckets' runs are opened, filtered before anything is summed."""
+        rows = self.store.tiled(self._rows("users", [*self.user_runs(touched), *more])).join(touched.at(touched.zoom), ["x", "y"], "left_semi")
+        return rows.groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
 
-    def batch_cells(self, batch: str) -> DataFrame:
-        return self.spark.read.schema(USER_CELLS + ", bucket string").parquet(f"{self.root}/user_cells/batch={batch}")
+    def cell_runs(self, keys: set[str] | None = None) -> list[Run]:
+        return self.store.log.runs(self.version, "cells", keys)
 
-    def _user_rows(self) -> DataFrame:
-        return self.spark.read.schema(USER_CELLS + ", batch string, bucket string").parquet(f"{self.root}/user_cells")
+    def cells(self, zoom: int | None = None) -> DataFrame:
+        """z, px, py, users, trips; of one zoom only if given."""
+        runs = [r for r in self.cell_runs() if zoom is None or r.key.startswith(f"{zoom}/")]
+        return self._rows("cells", runs).select("z", "px", "py", "users", "trips")
 
-    def user_cells(self) -> DataFrame:
-        """user_id, px, py, hits over all batches."""
-        if not self._exists("user_cells"):
-            return self.spark.createDataFrame([], USER_CELLS)
-        return self._user_rows().groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
+    def cells_of(self, touched: Touched, finest: int | None = None) -> DataFrame:
+        """The cells of the touched tiles of all zooms (up to finest), read from their buckets only."""
+        keys = touched.all_keys(touched.zoom if finest is None else finest)
+        rows = self.store.tiled(self._rows("cells", [r for r in self.cell_runs(keys) if touched.meets(r)]))
+        return rows.join(touched.all(), ["z", "x", "y"], "left_semi").select("z", "px", "py", "users", "trips")
 
-    def touched(self, base: DataFrame, zoom: int) -> Touched:
-        """What is known of base tiles (x, y) of a zoom, counted once for all reads of a batch."""
-        few = base.limit(BROADCAST_TILES + 1).count() <= BROADCAST_TILES
-        buckets = base.select(*[shift_right(F.col(c), BUCKET).alias(c) for c in ("x", "y")]).distinct().limit(NAMED_BUCKETS + 1).collect()
-        return Touched(base, zoom, few, [tuple(r) for r in buckets] if len(buckets) <= NAMED_BUCKETS else None)
+    def beside(self, touched: Touched, finest: int) -> DataFrame:
+        """z, px, py, users, trips of stored cells up to a zoom in tiles that share a parent with touched ones but are not among them; a
+        bucket holds whole families."""
+        rows = self.store.tiled(self._rows("cells", self.cell_runs(touched.all_keys(finest))))
+        rows = rows.withColumns({"uz": F.col("z") - 1, "ux": shift_right(F.col("x"), 1), "uy": shift_right(F.col("y"), 1)})
+        rows = rows.join(touched.all().toDF("uz", "ux", "uy"), ["uz", "ux", "uy"], "left_semi").join(touched.all(), ["z", "x", "y"], "left_anti")
+        return rows.select("z", "px", "py", "users", "trips")
 
-    def user_cells_of(self, touched: Touched) -> DataFrame:
-        """The same for the base tiles only: their buckets' folders are read, filtered before anything is summed."""
-        rows = touched.pruned(self._user_rows(), touched.zoom)
-        rows = self._tiled(rows).join(touched.at(touched.zoom), ["x", "y"], "left_semi")
-        return rows.groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
 
-    def _tiled(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"x": quotient(F.col("px"), self.resolution), "y": quotient(F.col("py"), self.resolution)})
+class Store:
+    """Folder root: users/c=ID/z=Z/bucket=B are sorted runs of user cells that batches add and compact() merges,
+    cells/c=ID/z=Z/bucket=B the current cells of each bucket, touched/c=ID the base tiles of a batch; log says what lives (Log).
 
-    def compact(self, batch: str) -> None:
-        """All user cells as one batch of that new name; earlier ones go. For a moment when no batch runs."""
-        files, path = self._path("user_cells")
-        before = [str(x.getPath().getName()) for x in files.listStatus(path)]
-        if f"batch={batch}" in before:
-            raise ValueError(f"there is a batch {batch}")
-        staged = f"{self.root}/staged"
-        self.put_aside(self.user_cells(), staged)
-        self.put_user_cells(self.spark.read.parquet(staged), f".{batch}")  # a name that no reader sees
-        for name in before:
-            self._remove(f"user_cells/{name}")
-        files.rename(self._path(f"user_cells/batch=.{batch}")[1], self._path(f"user_cells/batch={batch}")[1])
-        self._remove("staged")
-
-    # Cells
-
-    def siblings(self, zoom: int, touched: Touched) -> DataFrame:
-        """px, py, users, trips of a zoom's stored cells in tiles that share a parent with touched ones but are not among them; a
-        bucket holds whole families."""
-        rows = self._tiled(touched.pruned(self._cell_rows(zoom), zoom)).withColumns({"ux": shift_right(F.col("x"), 1), "uy": shift_right(F.col("y"), 1)})
-        up = touched.at(zoom - 1).toDF("ux", "uy")
-        rows = rows.join(up, ["ux", "uy"], "left_semi").join(touched.at(zoom), ["x", "y"], "left_anti")
-        return rows.select("px", "py", "users", "trips")
-
-    def put_aside(self, rows: DataFrame, path: str) -> None:
-        rows.write.mode("overwrite").parquet(path)
-
-    def stage(self, zoom: int, fresh: DataFrame) -> DataFrame:
-        """Fresh cells of a zoom, written aside."""
-        path = f"{self.root}/fresh/z={zoom}"
-        self.put_aside(fresh.select("px", "py", "users", "trips"), path)
-        return self.spark.read.parquet(path)
-
-    def _manifest(self) -> DataFrame | None:
-        """z, bucket, v of the last whole version, marked for broadcast if it is short."""
-        found = self._versions("manifest")
-        if not found:
-            return None
-        rows = self.spark.read.schema("z int, bucket string, v long").parquet(f"{self.root}/manifest/v={found[-1]}")
-        if self._short[0] != found[-1]:
-            self._short = found[-1], rows.count() <= BROADCAST_TILES
-        return F.broadcast(rows) if self._short[1] else rows
-
-    def _cell_rows(self, zoom: int | None = None) -> DataFrame:
-        manifest = self._manifest()
-        if manifest is None:
-            return self.spark.createDataFrame([], CELLS + ", bucket string")
-        rows = self.spark.read.schema(CELLS.replace("z int, ", "") + ", v long, z int, bucket string").parquet(f"{self.root}/cells")
-        rows = rows if zoom is None else rows.where(F.col("z") == zoom)
-        return rows.join(manifest, ["z", "bucket", "v"], "left_semi").select("z", "px", "py", "users", "trips", "bucket")
+    Any number of writers may work at once. A writer reads at one version and writes aside; its commit is one entry with user
+    cells, cells and the last contribution id. If batches that came first replaced cells of the same buckets, it works out anew only the
+    zooms at which they meet, at the newer version, and tries again. A crash at any moment leaves the last version,
+    and files that nothing names (vacuum() removes them). merged: runs of a tier that compact() merges.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, resolution: int = 512, merged: int = 4, snapshots: int = 64) -> None:
+        self.spark, self.root, self.resolution, self.merged = spark, root.rstrip("/"), resolution, merged
+        self.log = Log(spark, self.root, snapshots)
+        self.files = self.log.files
+
+    def view(self, version: int | None = None) -> View:
+        return View(self, self.log.head() if version is None else version)
+
+    def user_cells(self) -> DataFrame:
+        return self.view().user_cells()
+
+    def user_cells_of(self, touched: Touched) -> DataFrame:
+        return self.view().user_cells_of(touched)
 
     def cells(self, zoom: int | None = None) -> DataFrame:
-        """z, px, py, users, trips; of one zoom only if given."""
-        return self._cell_rows(zoom).drop("bucket")
+        return self.view().cells(zoom)
 
     def cells_of(self, touched: Touched) -> DataFrame:
-        """The cells of the touched tiles of all zooms, read from their buckets only."""
-        rows = self._tiled(touched.pruned(self._cell_rows()))
-        return rows.join(touched.all(), ["z", "x", "y"], "left_semi").select("z", "px", "py", "users", "trips")
+        return self.view().cells_of(touched)
 
-    def replace(self, touched: Touched) -> None:
-        """The touched tiles of all zooms get the staged fresh cells for what they held, all at once; only their buckets are written."""
-        found = self._versions("manifest")
-        version = found[-1] + 1 if found else 1
-        n = lambda c: shift_right(F.col(c), BUCKET).cast("string")
-        buckets = touched.all().select("z", F.concat_ws("-", n("x"), n("y")).alias("bucket")).distinct()
-        old = self._tiled(touched.pruned(self._cell_rows()).join(buckets, ["z", "bucket"], "left_semi"))
-        old = old.join(touched.all(), ["z", "x", "y"], "left_anti")
-        fresh = self.spark.read.schema(CELLS.replace("z int, ", "") + ", z int").parquet(f"{self.root}/fresh").withColumn("bucket", self._bucket())
-        columns = ["z", "px", "py", "users", "trips", "bucket"]
-        rows = old.select(columns).unionByName(fresh.select(columns)).repartition("z", "bucket")
-        rows.write.mode("overwrite").partitionBy("z", "bucket").parquet(f"{self.root}/cells/v={version}")
-        written = self.spark.read.schema(CELLS.replace("z int, ", "") + ", z int, bucket string").parquet(f"{self.root}/cells/v={version}")
-        manifest = written.select("z", "bucket").distinct().withColumn("v", F.lit(version).cast("long"))
-        if found:
-            manifest = manifest.unionByName(self._manifest().join(buckets, ["z", "bucket"], "left_anti").select("z", "bucket", "v"))
-        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={version}")
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Removes manifests but for the last ones, and cells that none of those names. For a moment when no reader is at older ones."""
-        found = self._versions("manifest")
-        for n in found[:-keep]:
-            self._remove(f"manifest/v={n}")
-        if not found:
-            return
-        used = {r[0] for n in found[-keep:] for r in self.spark.read.parquet(f"{self.root}/manifest/v={n}").select("v").distinct().collect()}  # versions
-        files, path = self._path("cells")
-        for x in files.listStatus(path):
-            name = str(x.getPath().getName())
-            if name.startswith("v=") and int(name[2:]) not in used and int(name[2:]) <= found[-1]:
-                self._remove(f"cells/{name}")
-
-    # State
+    def tiled(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"x": quotient(F.col("px"), self.resolution), "y": quotient(F.col("py"), self.resolution)})
+
+    def bucket(self) -> Column:
+        n = lambda c: shift_right(quotient(F.col(c), self.resolution), BUCKET).cast("string")
+        return F.concat_ws("-", n("px"), n("py"))
+
+    # Writing aside
+
+    def write_runs(self, kind: str, rows: DataFrame, tier: Callable[[str], int] = lambda key: 0) -> list[Run]:
+        """Rows (with z) as new sorted runs, one for each bucket; nothing shows until they are committed. Large buckets are
+        written by several tasks."""
+        at = f"{kind}/c={uuid.uuid4().hex}"
+        columns = [x.split()[0] for x in SCHEMAS[kind].split(", ")]
+        rows = rows.withColumn("bucket", self.bucket()).select(*columns, "z", "bucket").hint("rebalance", "z", "bucket")
+        rows.sortWithinPartitions("z", "bucket", "py", "px").write.partitionBy("z", "bucket").parquet(f"{self.root}/{at}")
+        written = self.tiled(self.spark.read.schema(f"{SCHEMAS[kind]}, z int, bucket string").parquet(f"{self.root}/{at}"))
+        bounds = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]
+        found = written.groupBy("z", "bucket").agg(F.count(F.lit(1)).alias("rows"), *bounds).collect()  # buckets
+        key = lambda r: f"{r.z}/{r.bucket}"
+        return [Run(kind, key(r), f"{at}/z={r.z}/bucket={r.bucket}", r.rows, tier(key(r)), r.x0, r.x1, r.y0, r.y1) for r in found]
+
+    def put_aside(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows, written below the root and read again."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
+
+    def touched(self, base: DataFrame, zoom: int) -> Touched:
+        """What is known of base tiles (x, y) of a zoom, counted once for all reads of a batch."""
+        few = base.count() <= BROADCAST_TILES
+        buckets = base.select(*[shift_right(F.col(c), BUCKET).alias(c) for c in ("x", "y")]).distinct().collect()
+        box = base.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        return Touched(base, zoom, few, frozenset(tuple(r) for r in buckets), tuple(v or 0 for v in box))
+
+    def replaced(self, view: View, touched: Touched, fresh: DataFrame, finest: int) -> list[Run]:
+        """New runs of the touched buckets at zooms up to finest, in which the touched tiles hold the fresh cells (z, px, py, users, trips)."""
+        old = self.tiled(view._rows("cells", view.cell_runs(touched.all_keys(finest)))).join(touched.all(), ["z", "x", "y"], "left_anti").select("z", "px", "py", "users", "trips")
+        rows = old.unionByName(fresh.select("z", "px", "py", "users", "trips"))
+        return self.write_runs("cells", rows)
+
+    # Commits
+
+    def batch(self, name: str, zoom: int) -> Touched | None:
+        """The tiles that a batch of that name touched, if it is in."""
+        found = self.log.runs(self.log.head(), "batch", {name})
+        return self.touched(self.spark.read.parquet(f"{self.root}/{found[0].path}"), zoom) if found else None
+
+    def commit_batch(self, name: str, base: int, touched: Touched, at: str, users: list[Run], cells: list[Run], before: list[Run], **more) -> int:
+        """One version with a batch's user cells, cells, tiles and state. Raises Conflict with the finest zoom at which a later
+        version replaced cells of the same buckets, without one if the batch is in already."""
+        mine = sorted(touched.buckets)
+
+        def check(entry: dict) -> int | None:
+            if entry["kind"] != "batch":
+                return None
+            if entry["batch"] == name:
+                raise Conflict()
+            return finest_common(mine, entry["buckets"], touched.zoom)
+
+        adds = [*users, *cells, Run("batch", name, at)]
+        return self.log.commit("batch", base, adds, [r.path for r in before], check, batch=name, touched=at, zoom=touched.zoom, buckets=mine, **more)
+
+    def compact(self, touched: Touched | None = None) -> int:
+        """Merges runs of user cells of the same key, hits summed, where a tier has as many as merged says; the key's runs up to
+        that tier become one of the next. Batches may run meanwhile: it changes no content. Returns how many runs were
+        merged; none if another compaction took one of them first."""
+        view = self.view()
+        tiers: dict[str, dict[int, list[Run]]] = defaultdict(lambda: defaultdict(list))
+        for r in view.user_runs() if touched is None else self.log.runs(view.version, "users", touched.keys(touched.zoom)):
+            tiers[r.key][r.tier].append(r)
+        full = {key: max(t for t, runs in by.items() if len(runs) >= self.merged) for key, by in tiers.items() if any(len(x) >= self.merged for x in by.values())}
+        chosen = [r for key, top in full.items() for t, runs in tiers[key].items() if t <= top for r in runs]
+        if not chosen:
+            return 0
+        rows = view._rows("users", chosen).groupBy("user_id", "px", "py", "z").agg(F.sum("hits").alias("hits"))
+        merged, gone = self.write_runs("users", rows, lambda key: full[key] + 1), {r.path for r in chosen}
+
+        def check(entry: dict) -> None:
+            if gone & set(entry["removes"]):
+                raise Conflict()
+
+        try:
+            self.log.commit("compact", view.version, merged, sorted(gone), check)
+        except Conflict:
+            return 0
+        return len(chosen)
+
+    def pending(self) -> list[int]:
+        """Versions whose tiles are not published yet."""
+        return self.log.entry(self.log.head())["pending"]
+
+    def touched_by(self, version: int) -> Touched:
+        entry = self.log.entry(version)
+        return self.touched(self.spark.read.parquet(f"{self.root}/{entry['touched']}"), entry["zoom"])
+
+    def overtaken(self, touched: Touched, since: int) -> int | None:
+        """The finest zoom at which a version after since replaced cells of the same buckets."""
+        later = (self.log.entry(v) for v in range(since + 1, self.log.head() + 1))
+        met = [finest_common(sorted(touched.buckets), e["buckets"], touched.zoom) for e in later if e["kind"] == "batch"]
+        return max((z for z in met if z is not None), default=None)
 
     def last_contribution(self) -> int:
         """-1 before the first batch."""
-        found = self._versions("state")
-        return int(json.loads(self.spark.read.text(f"{self.root}/state/v={found[-1]}").first()[0])["LastContributionId"]) if found else -1
-
-    def put_last_contribution(self, value: int) -> None:
-        found = self._versions("state")
-        row = self.spark.createDataFrame([(json.dumps({"LastContributionId": int(value)}),)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(f"{self.root}/state/v={found[-1] + 1 if found else 1}")
-        for n in found[:-1]:
-            self._remove(f"state/v={n}")
+        return int(self.log.entry(self.log.head())["LastContributionId"])
+
+    def put_last_contribution(self, value: int, expects: int | None = None) -> None:
+        """Raises Conflict if expects is given and is not the last one."""
+        self.log.commit("state", self.log.head(), last=value, expects=expects)
+
+    def vacuum(self, keep: int = 2, orphan_hours: float | None = None) -> int:
+        """Removes runs that no version later than the last keep ones reads, and returns how many. orphan_hours: also folders that no
+        version names and that are as old, left by writers that failed; for longer than any batch takes."""
+        head = self.log.head()
+        done = int(self.files.read("log/vacuumed")) if self.files.exists("log/vacuumed") else 0
+        gone = self.log.removed(range(done + 1, head - keep + 1))
+        for path in gone:
+            self.files.remove(path)
+        if head - keep > done:
+            self.files.write("log/vacuumed", str(head - keep))
+        if orphan_hours is not None:
+            named = {p.path for v in {max(head - keep, 0), head} for kind in ("users", "cells", "batch") for p in self.log.runs(v, kind)}
+            named |= {r["path"] for v in range(max(head - keep, 0) + 1, head + 1) for r in self.log.entry(v)["adds"]}
+            folders = {"/".join(p.split("/")[:2]) for p in named}
+            before = (time.time() - orphan_hours * 3600) * 1000
+            for kind in ("users", "cells", "touched", "staged"):
+                for name in self.files.names(kind):
+                    if f"{kind}/{name}" not in folders and self.files.fs.getFileStatus(self.files.path(f"{kind}/{name}")).getModificationTime() <= before:
+                        self.files.remove(f"{kind}/{name}")
+        return len(gone)
+
