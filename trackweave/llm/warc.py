@@ -23,12 +23,13 @@ FOUND = "path string, split long, at long, next long, leaves long, page_id long,
 
 @dataclass(frozen=True)
 class Archives:
-    """file_bytes: a file takes no further record beyond it. split_bytes: range of one reading task. header_bytes: what it reads beyond
+    """file_bytes: a file takes no further record beyond it. split_bytes: bytes of a range. ranges: those that a task reads, about, where there are many. header_bytes: what it reads beyond
     at first; longer headers are read on.
     revisit_bytes: least payload that is worth a revisit. broadcast_groups: groups of copies broadcast at most."""
 
     file_bytes: int = 16 << 20
     split_bytes: int = 4 << 20
+    ranges: int = 16
     header_bytes: int = 64 << 10
     revisit_bytes: int = 0
     broadcast_groups: int = 100_000
@@ -219,14 +220,17 @@ def read_archives(spark, manifest: DataFrame, folder: str, rules: Archives = Arc
     """
     ranges = manifest.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(rules.split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + rules.split_bytes, "size").alias("end"), "size")
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # Stated, since ranges take few bytes as rows, whatever they hold.
+    n = manifest.agg(F.sum(F.ceil(F.col("size") / rules.split_bytes))).first()[0] or 1
+    tasks = int(max(-(-n // rules.ranges), min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    ranges = ranges.repartition(tasks, "path", "start")
     found = saved(ranges.mapInArrow(_candidates(folder, rules.header_bytes), FOUND), "candidates")
     start = entries(found).select("path", "split", F.col("at").alias("entry"))
     steps = found.select("path", F.col("at").alias("entry"), "steps").join(start, ["path", "entry"]).groupBy("path").agg(F.sum("steps").alias("read"))
     other = manifest.join(steps, "path", "left").where(F.coalesce("read", F.lit(0)) != F.col("records")).first()
     if other:
         raise ValueError(f"{other.path}: {other.read or 0} records on the chain from its start, {other.records} in the manifest")
-    whole = found.join(start, ["path", "split"])
+    whole = found.join(start, ["path", "split"]).repartition(tasks, "path", "split")
     out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return whole.groupBy("path", "split").applyInArrow(_records(folder), out)
 
