@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.config import UINT32, Semantics
-from trackweave.functions.tilemath import descendants, quotient, shift_right
+from trackweave.functions.tilemath import quotient, shift_right
+from trackweave.operators.ranges import tiles_below
 
 #: Levels below which the cells of one ancestor stay together: 4**6 base pixels at most.
 NEAR = 6
@@ -114,5 +115,4 @@ def tiles_at(tiles: DataFrame, zoom: int, to: int) -> DataFrame:
         return tiles.select("x", "y")
     if to < zoom:
         return tiles.select(shift_right(F.col("x"), zoom - to).alias("x"), shift_right(F.col("y"), zoom - to).alias("y")).distinct()
-    below = tiles.select(F.explode(descendants(F.col("x"), F.col("y"), zoom, to)).alias("t"))
-    return below.select("t.x", "t.y")
+    return tiles_below(tiles.select("x", "y"), zoom, to).select("x", "y")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.config import Raster
@@ -40,6 +40,12 @@ def segments(
     )
 
 
+def deltas(points: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], values: tuple[str, ...] = ("px", "py")) -> DataFrame:
+    """points with d<value for each of values: what it adds to that of the point before, by order within keys; the first one's own value."""
+    before = Window.partitionBy(*keys).orderBy(*order)
+    return points.select("*", *[(F.col(v) - F.coalesce(F.lag(v).over(before), F.lit(0).cast("long"))).alias(f"d{v}") for v in values])
+
+
 def shape(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Struct of a segment: flat (longer in x), direction by axis, steps l along the longer side, steps s along the shorter one."""
     w, h = x1 - x0, y1 - y0

@@ -11,7 +11,7 @@ from trackweave.config import Semantics
 from trackweave.functions import codec
 from trackweave.functions import tilemath as tm
 from trackweave.operators import cells as ct
-from trackweave.operators import density, pyramid, raster
+from trackweave.operators import density, pyramid, ranges, raster
 from trackweave.sources import tracks as ts
 from trackweave.sources.events import event_points, event_tracks
 from trackweave.sources.vector_tiles import features, tile_points, vector_tiles
@@ -62,7 +62,8 @@ def tile_ids(spark, d):
 
 
 def tile_max_id(spark, d):
-    return spark.range(0, 17).select(F.col("id").cast("int").alias("z"), tm.max_tile_id(F.col("id")).alias("max_id"))
+    zooms = event_points(spark, d).select((F.col("event_id") % 17).cast("int").alias("z")).distinct()
+    return zooms.select("z", tm.max_tile_id(F.col("z")).alias("max_id"))
 
 
 def tile_parent(spark, d):
@@ -80,8 +81,8 @@ def tile_children(spark, d):
 def tile_descendants(spark, d):
     t = pixels(spark, d).select("x", "y").distinct()
     r = tm.child_range(F.col("x"), F.col("y"), Z, 16)
-    below = t.select("x", "y", r.alias("r"), F.explode(tm.descendants(F.col("x"), F.col("y"), Z, 16)).alias("c"))
-    return below.select("x", "y", F.col("r.x1").alias("x_end"), F.col("r.y1").alias("y_end"), F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+    below = ranges.tiles_below(t.select("x", "y", r["x1"].alias("x_end"), r["y1"].alias("y_end")), Z, 16)
+    return below.select(*[F.col(f"p_{c}").alias(c) for c in ("x", "y", "x_end", "y_end")], F.col("x").alias("cx"), F.col("y").alias("cy"))
 
 
 def tile_neighbours(spark, d):
@@ -93,8 +94,7 @@ def tile_neighbours(spark, d):
 
 def tiles_for_bbox(spark, d):
     p = pixels(spark, d).groupBy("user_id").agg(F.min("lon").alias("l"), F.max("lat").alias("t"), F.max("lon").alias("r"), F.min("lat").alias("b"))
-    out = p.select("user_id", F.explode(tm.tiles_for_box(F.col("l"), F.col("t"), F.col("r"), F.col("b"), 15)).alias("q"))
-    return out.select("user_id", "q.x", "q.y")
+    return ranges.tiles_for_boxes(p, 15, "l", "t", "r", "b").select("user_id", "x", "y")
 
 
 def tile_position(spark, d):
@@ -133,11 +133,8 @@ def tile_polygon(spark, d):
 
 
 def pixel_deltas(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("contribution_id").orderBy("ts", "event_id")
-    p = pixels(spark, d)
-    return p.select("event_id", *[(F.col(v) - F.coalesce(F.lag(v).over(w), F.lit(0).cast("long"))).alias(f"d{v}") for v in ("px", "py")])
+    out = raster.deltas(pixels(spark, d), ("contribution_id",), ("ts", "event_id"))
+    return out.select("event_id", "dpx", "dpy")
 
 
 def segments(spark, d):
@@ -315,6 +312,7 @@ def incremental_equals_batch(spark, d):
     first = density.user_cells(t.where(F.col("contribution_id") % 7 != 0))
     second = density.user_cells(t.where(F.col("contribution_id") % 7 == 0))
     tiles = second.select(F.lit(Z).alias("z"), tm.quotient(F.col("px"), R).alias("x"), tm.quotient(F.col("py"), R).alias("y")).distinct()
+    tiles = tiles.persist()  # three joins count and read it
     both = first.unionByName(second).groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
     here = ct.in_tiles(both.withColumn("z", F.lit(Z)), tiles)
     new = density.global_cells(here, 3).withColumn("z", F.lit(Z))
