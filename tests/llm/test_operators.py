@@ -313,3 +313,14 @@ def test_pipeline_catches_copies_and_keeps_clean_documents(spark, tmp_path):
     assert set(seen["byte_bpe"]) == set(seen["mix_sources"]) <= set(seen["near_duplicates"])
     for i, r in seen["byte_bpe"].items():
         assert r.decoded_sha256 == hashlib.sha256(seen["mix_sources"][i].text.encode()).hexdigest()
+
+
+def test_ranges_of_archives_are_read_by_a_stated_number_of_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 30) for i in range(400)], "page_id long, url string, html string")
+    rules, folder = warc.Archives(split_bytes=200, ranges=100), f"file://{tmp_path}/warc"
+    manifest = warc.write_archives(pages, folder, rules=rules)
+    ranges = sum(-(-r.size // 200) for r in manifest.collect())
+    out = warc.read_archives(spark, manifest, folder, rules)
+    tasks = -(-ranges // 100)
+    assert ranges > 1000 and f"RepartitionByExpression [path#" in out._jdf.queryExecution().toString() and out.count() == 400
+    assert f", {tasks}\n" in out._jdf.queryExecution().optimizedPlan().toString() and tasks > 4

@@ -59,7 +59,7 @@ class TokenFiles:
     block: int = 16384
     end_id: int = 2
     slice_bytes: int = 8 << 20
-    memo: int = 200_000
+    memo: int = 300_000
     batch_bytes: int = 1 << 22
 
     def __post_init__(self) -> None:
