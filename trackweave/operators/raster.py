@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackweave.config import Raster
 from trackweave.functions.tilemath import pixel_of, quotient
+from trackweave.operators import tilehits
 
 
 def segments(
@@ -127,8 +128,13 @@ def draw(parts: DataFrame, keys: tuple[str, ...] = ("contribution_id", "user_id"
     return steps.select(*keys, x.alias("px"), y.alias("py")).where("px >= 0 and py >= 0")
 
 
+def tile_hits(parts: DataFrame, keys: tuple[str, ...], resolution: int = 512, max_length: int | None = None, weight: int = 1) -> DataFrame:
+    """keys, x, y, n, at, hits: the hits of a key in a tile in one row, as arrays of offsets in the tile and of numbers; n: their length."""
+    if max_length is not None:
+        parts = parts.where(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))) <= max_length)
+    return tilehits.drawn(pieces(parts, keys, resolution), keys, resolution, weight)
+
+
 def pixel_hits(parts: DataFrame, keys: tuple[str, ...], resolution: int = 512, max_length: int | None = None, weight: int = 1) -> DataFrame:
     """keys, px, py, hits: how often the segments of a key come to a pixel, times weight."""
-    dealt = pieces(parts, keys, resolution)
-    drawn = draw(dealt, (*keys, "tx", "ty"), max_length)
-    return drawn.groupBy(*keys, "tx", "ty", "px", "py").agg(F.sum(F.lit(weight).cast("long")).alias("hits")).select(*keys, "px", "py", "hits")
+    return tilehits.cells(tile_hits(parts, keys, resolution, max_length, weight), keys, resolution)
