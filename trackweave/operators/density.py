@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from trackweave.config import UINT32, Raster, Semantics
 from trackweave.functions.codec import wrapped32
 from trackweave.functions.tilemath import quotient
-from trackweave.operators.raster import pixel_hits, segments
+from trackweave.operators import tilehits
+from trackweave.operators.raster import pieces, pixel_hits, segments, tile_hits
 
 
 def told_apart(tracks: DataFrame, partitions: int) -> DataFrame:
@@ -44,6 +45,24 @@ def user_cells(
     return cells.withColumn("hits", wrapped32(F.col("hits"))) if semantics.compat else cells
 
 
+def user_hits(tracks: DataFrame, raster: Raster = Raster()) -> DataFrame:
+    """user_id, x, y, n, at, hits: user cells as a row for each user and base tile (raster.tile_hits)."""
+    return tile_hits(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution)
+
+
+def track_cells(tracks: DataFrame, min_users: int = 1, raster: Raster = Raster(), tiles: DataFrame | None = None) -> DataFrame:
+    """global_cells of the user cells of tracks, which never leave the tasks that draw them. tiles: of these base tiles (x, y) only."""
+    parts = pieces(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution, tiles=tiles)
+    out = tilehits.drawn(parts, ("user_id",), raster.resolution, count=True)
+    return out.where(F.col("users") >= min_users) if min_users > 1 else out
+
+
+def tiles_of(tracks: DataFrame, raster: Raster = Raster()) -> DataFrame:
+    """x, y: the base tiles that tracks draw in, each once; nothing is drawn for that."""
+    parts = pieces(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution)
+    return parts.where("tx >= 0 and ty >= 0").select(F.col("tx").alias("x"), F.col("ty").alias("y")).distinct()
+
+
 def global_cells(cells: DataFrame, min_users: int = 1, semantics: Semantics = Semantics()) -> DataFrame:
     """px, py, users, trips of user cells (one row per user and pixel); pixels of fewer than min_users users are left out."""
     trips = F.sum("hits")

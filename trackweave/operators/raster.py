@@ -60,7 +60,9 @@ def floored(x: Column, y: int) -> Column:
     return quotient(x - F.pmod(x, F.lit(y)), y)
 
 
-def pieces(parts: DataFrame, keys: tuple[str, ...] = ("contribution_id", "user_id"), resolution: int = 512, partitions: int | None = None) -> DataFrame:
+def pieces(
+    parts: DataFrame, keys: tuple[str, ...] = ("contribution_id", "user_id"), resolution: int = 512, partitions: int | None = None, tiles: DataFrame | None = None
+) -> DataFrame:
     """Segments (keys, x0, y0, x1, y1) cut at the borders of tiles and dealt out by keys and tile: with tx, ty, and i0 to i1, the
     steps of the segment in there.
 
@@ -68,7 +70,7 @@ def pieces(parts: DataFrame, keys: tuple[str, ...] = ("contribution_id", "user_i
     with the step, and the first step at which it reaches k is (k * L - (L >> 1)) / S, rounded up. A piece has `resolution`
     steps at most, whatever the length of its segment, and all pixels of a key in a tile meet in one task before they are drawn:
     what sums them by key and pixel needs no exchange of pixels. The number of partitions (that of shuffles, if not given) is stated,
-    since bytes of pieces say little of the pixels that they become.
+    since bytes of pieces say little of the pixels that they become. tiles: only pieces in these tiles (x, y).
     """
     r = resolution
     one = parts.select(*keys, "x0", "y0", "x1", "y1", shape(*[F.col(k) for k in ("x0", "y0", "x1", "y1")]).alias("_g"))
@@ -102,6 +104,8 @@ def pieces(parts: DataFrame, keys: tuple[str, ...] = ("contribution_id", "user_i
         F.when(moves, F.greatest(F.col("_a"), step(from_))).otherwise(F.col("_a")).alias("i0"),
         F.when(moves, F.least(F.col("_b"), step(to + 1) - 1)).otherwise(F.col("_b")).alias("i1"),
     ).where("i0 <= i1")
+    if tiles is not None:
+        out = out.join(tiles.select(F.col("x").alias("tx"), F.col("y").alias("ty")), ["tx", "ty"], "left_semi").select(*out.columns)
     n = partitions or int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartition(n, *keys, "tx", "ty")
 

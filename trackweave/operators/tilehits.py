@@ -19,9 +19,20 @@ SHARE = 4_000_000
 
 HITS = "n long, at array<int>, hits array<long>"
 
+COUNTS = "px long, py long, users long, trips long"
+
 Values = tuple[np.ndarray, np.ndarray | None]  # group * cells + offset of each pixel, and its hits (None: one each)
 
 
+def schema_of(rows: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+
+
+def shares(rows: DataFrame, pixels: int) -> int:
+    """Partitions for rows of so many pixels."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pixels // SHARE))
+
+
 def sums(at: np.ndarray, hits: np.ndarray | None, weight: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places in order and the sum of hits at each."""
     if hits is None:
@@ -97,32 +108,36 @@ def summed(batches: Iterator[pa.RecordBatch], names: list[str], r: int, size: Ca
         yield made(held[0], np.array([0, held[1].size]), *held[1:])
 
 
-def drawn(pieces: DataFrame, keys: tuple[str, ...], resolution: int, weight: int = 1) -> DataFrame:
-    """keys, x, y, n, at, hits of pieces (raster.pieces) that were dealt out by keys and tile: a row for each key and tile."""
-    names, r = [*keys, "tx", "ty"], resolution
+def drawn(pieces: DataFrame, keys: tuple[str, ...], resolution: int, weight: int = 1, count: bool = False) -> DataFrame:
+    """keys, x, y, n, at, hits of pieces (raster.pieces) that were dealt out by keys and tile: a row for each key and tile.
+
+    count: px, py, users, trips instead, the number of keys and the sum of hits of each pixel; rows of keys never leave a task."""
+    names, r = ["tx", "ty", *keys], resolution
     ends = ["x0", "y0", "x1", "y1", "i0", "i1"]
     column = lambda b, c: b.column(c).to_numpy(zero_copy_only=False)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = lambda b, group: pixels_of({c: column(b, c) for c in ("tx", "ty", *ends)}, group, r)
-        return summed(batches, names, r, lambda b: column(b, "i1") - column(b, "i0") + 1, values, weight)
+        out = summed(batches, names, r, lambda b: column(b, "i1") - column(b, "i0") + 1, values, weight)
+        return tile_sums(out, ["tx", "ty"], list(keys), r) if count else out
 
     rows = pieces.where("tx >= 0 and ty >= 0").select(*names, *ends).sortWithinPartitions(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
-    return rows.mapInArrow(draw, f"{schema}, {HITS}").withColumnsRenamed({"tx": "x", "ty": "y"})
+    if count:
+        return totals(rows.mapInArrow(draw, COUNTS))
+    out = rows.mapInArrow(draw, f"{schema_of(rows, names)}, {HITS}")
+    return out.select(*keys, F.col("tx").alias("x"), F.col("ty").alias("y"), "n", "at", "hits")
 
 
 def merged(rows: DataFrame, keys: list[str], resolution: int, partitions: int) -> DataFrame:
     """keys, x, y, n, at, hits: the hits of all rows of a key in a tile in one row."""
-    names, r = [*keys, "x", "y"], resolution
+    names, r = ["x", "y", *keys], resolution
     lengths = lambda b: b.column("at").value_lengths().to_numpy(zero_copy_only=False)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return summed(batches, names, r, lengths, lambda b, group: hits_of(b, group, r), 1)
 
     dealt = rows.select(*names, "n", "at", "hits").repartition(partitions, *names).sortWithinPartitions(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name in names)
-    return dealt.mapInArrow(merge, f"{schema}, {HITS}")
+    return dealt.mapInArrow(merge, f"{schema_of(dealt, names)}, {HITS}").select(*keys, "x", "y", "n", "at", "hits")
 
 
 def cells(rows: DataFrame, keys: tuple[str, ...], resolution: int) -> DataFrame:
@@ -141,49 +156,49 @@ def packed(cells: DataFrame, keys: list[str], resolution: int) -> DataFrame:
     return one.select(*keys, "x", "y", F.size("c").cast("long").alias("n"), F.col("c.at").alias("at"), F.col("c.hits").alias("hits"))
 
 
+def tile_sums(batches: Iterator[pa.RecordBatch], tile: list[str], keys: list[str], r: int) -> Iterator[pa.RecordBatch]:
+    """px, py, users, trips of rows in order of tile (its x and y first) and keys: of one tile at a time, in two arrays of its size."""
+    users, trips = np.zeros(r * r, np.int64), np.zeros(r * r, np.int64)
+    here, who, seen = None, None, []
+
+    def end_key() -> None:
+        for at in seen[:1] if len(seen) < 2 else [np.unique(np.concatenate(seen))]:
+            users[at] += 1
+        seen.clear()
+
+    def end_tile() -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(users)
+        columns = (here[0] * r + at % r, here[1] * r + at // r, users[at], trips[at]) if at.size else ()
+        for k in range(0, at.size, CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + CHUNK]) for c in columns], names=["px", "py", "users", "trips"])
+        users[at] = trips[at] = 0
+
+    for batch in batches:
+        tiles, owners = (zip(*[batch.column(c).to_pylist() for c in names]) for names in (tile, keys))
+        (at, at_ends), (hits, ends) = ((x.values.to_numpy(), x.offsets.to_numpy()) for x in (batch.column("at"), batch.column("hits")))
+        for k, (to, owner) in enumerate(zip(tiles, owners)):
+            if (to, owner) != (here, who):
+                end_key()
+                if to != here:
+                    yield from end_tile()
+                here, who = to, owner
+            seen.append(at[at_ends[k] : at_ends[k + 1]])
+            trips[seen[-1]] += hits[ends[k] : ends[k + 1]]
+    end_key()
+    yield from end_tile()
+
+
+def totals(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("px", "py").agg(F.sum("users").alias("users"), F.sum("trips").alias("trips"))
+
+
 def counted(rows: DataFrame, resolution: int, total: int) -> DataFrame:
     """px, py, users, trips of rows (user_id, x, y, n, at, hits), of which a user may have several in a tile; total: of n, about.
 
-    A tile's users are dealt out to as many tasks as its pixels need. A task has the sums of one tile at a time, as two arrays of the tile's size.
+    A tile's users are dealt out to as many tasks as its pixels need.
     """
-    r, names = resolution, ["x", "y", "_salt"]
+    names = ["x", "y", "_salt"]
     load = rows.groupBy("x", "y").agg(F.ceil(F.sum("n") / SHARE).cast("int").alias("_salts"))
     dealt = rows.select("user_id", "x", "y", "at", "hits").join(load, ["x", "y"]).withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.greatest("_salts", F.lit(1))))
-    floor = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select(*names, "user_id", "at", "hits").repartition(max(floor, -(-total // SHARE)), *names).sortWithinPartitions(*names, "user_id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, users, trips, user, seen = None, np.zeros(r * r, np.int64), np.zeros(r * r, np.int64), None, []
-
-        def end_user() -> None:
-            for at in seen[:1] if len(seen) < 2 else [np.unique(np.concatenate(seen))]:
-                users[at] += 1
-            seen.clear()
-
-        def end_tile() -> Iterator[pa.RecordBatch]:
-            if tile:
-                at = np.flatnonzero(users)
-                columns = tile[0] * r + at % r, tile[1] * r + at // r, users[at], trips[at]
-                for k in range(0, at.size, CHUNK):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + CHUNK]) for c in columns], names=["px", "py", "users", "trips"])
-                users[at] = trips[at] = 0
-
-        for batch in batches:
-            where = zip(*[batch.column(c).to_pylist() for c in names])
-            ats, hits = (batch.column(c) for c in ("at", "hits"))
-            ends, flat, values = ats.offsets.to_numpy(), ats.values.to_numpy(), hits.values.to_numpy()
-            from_ = hits.offsets.to_numpy()
-            for k, (to, who) in enumerate(zip(where, batch.column("user_id").to_pylist())):
-                if (to, who) != (tile, user):
-                    end_user()
-                    if to != tile:
-                        yield from end_tile()
-                    tile, user = to, who
-                at = flat[ends[k] : ends[k + 1]]
-                trips[at] += values[from_[k] : from_[k + 1]]
-                seen.append(at)
-        end_user()
-        yield from end_tile()
-
-    part = dealt.mapInArrow(count, "px long, py long, users long, trips long")
-    return part.groupBy("px", "py").agg(F.sum("users").alias("users"), F.sum("trips").alias("trips"))
+    dealt = dealt.select(*names, "user_id", "at", "hits").repartition(shares(rows, total), *names).sortWithinPartitions(*names, "user_id")
+    return totals(dealt.mapInArrow(lambda batches: tile_sums(batches, names, ["user_id"], resolution), COUNTS))

@@ -45,7 +45,7 @@ def some_tiles(spark: SparkSession) -> DataFrame:
 
 
 def kept(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
-    return density.global_cells(density.user_cells(event_tracks(spark, d)), k)
+    return density.track_cells(event_tracks(spark, d), k)
 
 
 def project_points(spark, d):
@@ -309,14 +309,10 @@ def modified_tiles(spark, d):
 def incremental_equals_batch(spark, d):
     """Cells after a first batch, then only the second one's tiles rebuilt and put in."""
     t = event_tracks(spark, d)
-    first = density.user_cells(t.where(F.col("contribution_id") % 7 != 0))
-    second = density.user_cells(t.where(F.col("contribution_id") % 7 == 0))
-    tiles = second.select(F.lit(Z).alias("z"), tm.quotient(F.col("px"), R).alias("x"), tm.quotient(F.col("py"), R).alias("y")).distinct()
-    tiles = tiles.persist()  # three joins count and read it
-    both = first.unionByName(second).groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
-    here = ct.in_tiles(both.withColumn("z", F.lit(Z)), tiles)
-    new = density.global_cells(here, 3).withColumn("z", F.lit(Z))
-    old = density.global_cells(first, 3).withColumn("z", F.lit(Z))
+    first, second = (t.where(c) for c in (F.col("contribution_id") % 7 != 0, F.col("contribution_id") % 7 == 0))
+    tiles = density.tiles_of(second).select(F.lit(Z).alias("z"), "x", "y").persist()  # three joins count and read it
+    new = density.track_cells(first.unionByName(second), 3, tiles=ct.few_tiles(tiles)).withColumn("z", F.lit(Z))
+    old = density.track_cells(first, 3).withColumn("z", F.lit(Z))
     return ct.replaced(old, new, tiles).select("px", "py", "users", "trips")
 
 
