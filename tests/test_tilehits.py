@@ -5,7 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trackweave.operators import raster, tilehits
+from trackweave.operators import density, raster, tilehits
+from trackweave.streaming.store import Store
 
 R = 16
 
@@ -35,3 +36,32 @@ def test_rows_of_a_key_may_lie_in_several_chunks(monkeypatch, chunk):
     want = Counter((k, x, v) for k, x, at in rows for v in at)
     assert len({(r["k"], r["x"]) for r in got}) == len(got) and all(r["at"] == sorted(r["at"]) and r["n"] == len(r["at"]) for r in got)
     assert {(r["k"], r["x"], v): h for r in got for v, h in zip(r["at"], r["hits"])} == {k: 2 * n for k, n in want.items()}
+
+
+def tracks(spark):
+    rng = random.Random(8)
+    rows = [(i, f"u{i % 5}", [{"lon": 4.35 + rng.random() / 20, "lat": 50.85 + rng.random() / 20} for _ in range(3)]) for i in range(30)]
+    return spark.createDataFrame(rows, "contribution_id long, user_id string, points array<struct<lon:double,lat:double>>")
+
+
+def test_users_are_counted_where_they_are_drawn(spark):
+    t = tracks(spark)
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    cells = density.user_cells(t)
+    got = density.track_cells(t, 2)
+    assert rows(got) == rows(density.global_cells(cells, 2)) and got.count()
+    tiles = density.tiles_of(t)
+    assert rows(tiles) == rows(density.tile_users(cells).select("x", "y").distinct())
+    one = tiles.orderBy("x", "y").limit(1)
+    x, y = one.first()
+    assert rows(density.track_cells(t, 1, tiles=one)) == {r for r in rows(density.global_cells(cells)) if (r[0] // 512, r[1] // 512) == (x, y)}
+
+
+def test_a_run_has_a_row_for_each_user_and_tile(spark, tmp_path):
+    store, hits = Store(spark, f"file://{tmp_path}/store"), density.user_hits(tracks(spark))
+    runs = store.write_runs("users", hits.withColumn("z", F.lit(14)))
+    rows = store.view()._rows("users", runs)
+    assert rows.count() == hits.count() and sum(r.rows for r in runs) == density.user_cells(tracks(spark)).count()
+    twice = tilehits.counted(rows.union(rows), 512, 10)
+    want = density.global_cells(density.user_cells(tracks(spark))).withColumn("trips", F.col("trips") * 2)
+    assert {tuple(r) for r in twice.collect()} == {tuple(r) for r in want.collect()}

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trackweave.config import JobConfig, Raster
 from trackweave.functions.tilemath import quotient
-from trackweave.operators.density import global_cells, user_cells
+from trackweave.operators.density import user_hits
 from trackweave.operators.pyramid import rebuilt_above
 from trackweave.sources.tracks import Relations, admitted, next_window
 from trackweave.sources.vector_tiles import remove_tile_files, vector_tiles, write_tilejson, write_tiles
@@ -44,16 +44,15 @@ def apply_batch(
         return found
     zoom, work = raster.zoom, uuid.uuid4().hex
     tracks = tracks.dropDuplicates(["contribution_id", "user_id"]).withColumn("user_id", F.col("user_id").cast("string"))
-    users = store.write_runs("users", user_cells(tracks, raster).withColumn("z", F.lit(zoom)))
-    own = store.view()._rows("users", users)
-    base = own.select(quotient(F.col("px"), raster.resolution).alias("x"), quotient(F.col("py"), raster.resolution).alias("y")).distinct()
+    users = store.write_runs("users", user_hits(tracks, raster).withColumn("z", F.lit(zoom)))
+    base = store.view()._rows("users", users).select("x", "y").distinct()
     touched = store.touched(store.put_aside(base, f"touched/c={work}"), zoom)
     more = {"publish": publish} if window is None else {"publish": publish, "expects": window[0], "last": window[1]}
     fresh, runs, finest = None, {}, zoom
     view = store.view()
     for attempt in itertools.count():
         if finest == zoom:
-            base = global_cells(view.user_cells_of(touched, users), config.min_users).select(F.lit(zoom).alias("z"), "px", "py", "users", "trips")
+            base = view.counted(touched, users).where(F.col("users") >= config.min_users).select(F.lit(zoom).alias("z"), "px", "py", "users", "trips")
             fresh = store.put_aside(base, f"staged/c={work}/a={attempt}/base")
         fresh = fresh.where(F.col("z") >= finest)
         coarse = store.put_aside(rebuilt_above(fresh.where(F.col("z") == finest), view.beside(touched, finest), finest), f"staged/c={work}/a={attempt}/coarse")

@@ -1,4 +1,4 @@
-"""Tables of the incremental job on plain Parquet: user cells in sorted runs, current cells by bucket, and the state, under one log."""
+"""Tables of the incremental job on plain Parquet: user cells in sorted runs (a row for each user and tile, with arrays), current cells by bucket, and the state, under one log."""
 
 from __future__ import annotations
 
@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.functions.tilemath import quotient, shift_right
+from trackweave.operators import tilehits
 from trackweave.operators.cells import BROADCAST_TILES
 from trackweave.streaming.log import Conflict, Log, Run
 
-USER_CELLS = "user_id string, px long, py long, hits long"
+USER_CELLS = "user_id string, x long, y long, n long, at array<int>, hits array<long>"
 CELLS = "px long, py long, users long, trips long"
 SCHEMAS = {"users": USER_CELLS, "cells": CELLS}
 #: A bucket is 2**BUCKET tiles wide; a replacement rewrites the buckets that it touches.
@@ -87,14 +88,26 @@ class View:
             return self.store.log.runs(self.version, "users")
         return [r for r in self.store.log.runs(self.version, "users", touched.keys(touched.zoom)) if touched.meets(r)]
 
-    def user_cells(self) -> DataFrame:
+    def user_hits(self, touched: Touched | None = None, more: Sequence[Run] = ()) -> tuple[DataFrame, int]:
+        """user_id, x, y, n, at, hits of all runs, or of the base tiles' and further runs: only their buckets' are opened. Also the pixels in these runs."""
+        runs = [*self.user_runs(touched), *more]
+        rows, pixels = self._rows("users", runs), sum(r.rows for r in runs)
+        return (rows if touched is None else rows.join(touched.at(touched.zoom), ["x", "y"], "left_semi")), pixels
+
+    def user_cells(self, touched: Touched | None = None, more: Sequence[Run] = ()) -> DataFrame:
         """user_id, px, py, hits over all batches."""
-        return self._rows("users", self.user_runs()).groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
+        rows, pixels = self.user_hits(touched, more)
+        out = tilehits.merged(rows, ["user_id"], self.store.resolution, tilehits.shares(rows, pixels))
+        return tilehits.cells(out, ("user_id",), self.store.resolution)
 
     def user_cells_of(self, touched: Touched, more: Sequence[Run] = ()) -> DataFrame:
-        """The same for the base tiles only, with further runs: only their buckets' runs are opened, filtered before anything is summed."""
-        rows = self.store.tiled(self._rows("users", [*self.user_runs(touched), *more])).join(touched.at(touched.zoom), ["x", "y"], "left_semi")
-        return rows.groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
+        """The same for the base tiles only, with further runs, filtered before anything is summed."""
+        return self.user_cells(touched, more)
+
+    def counted(self, touched: Touched, more: Sequence[Run] = ()) -> DataFrame:
+        """px, py, users, trips of the base tiles, with further runs."""
+        rows, pixels = self.user_hits(touched, more)
+        return tilehits.counted(rows, self.store.resolution, pixels)
 
     def cell_runs(self, keys: set[str] | None = None) -> list[Run]:
         return self.store.log.runs(self.version, "cells", keys)
@@ -153,21 +166,24 @@ class Store:
         return rows.withColumns({"x": quotient(F.col("px"), self.resolution), "y": quotient(F.col("py"), self.resolution)})
 
     def bucket(self) -> Column:
-        n = lambda c: shift_right(quotient(F.col(c), self.resolution), BUCKET).cast("string")
-        return F.concat_ws("-", n("px"), n("py"))
+        return F.concat_ws("-", *[shift_right(F.col(c), BUCKET).cast("string") for c in "xy"])
 
     # Writing aside
 
     def write_runs(self, kind: str, rows: DataFrame, tier: Callable[[str], int] = lambda key: 0) -> list[Run]:
         """Rows (with z) as new sorted runs, one for each bucket; nothing shows until they are committed. Large buckets are
-        written by several tasks."""
-        at = f"{kind}/c={uuid.uuid4().hex}"
+        written by several tasks. kind users takes cells as well as rows with arrays; a run's rows are their pixels."""
+        at, users = f"{kind}/c={uuid.uuid4().hex}", kind == "users"
         columns = [x.split()[0] for x in SCHEMAS[kind].split(", ")]
-        rows = rows.withColumn("bucket", self.bucket()).select(*columns, "z", "bucket").hint("rebalance", "z", "bucket")
-        rows.sortWithinPartitions("z", "bucket", "py", "px").write.partitionBy("z", "bucket").parquet(f"{self.root}/{at}")
-        written = self.tiled(self.spark.read.schema(f"{SCHEMAS[kind]}, z int, bucket string").parquet(f"{self.root}/{at}"))
+        if users and "px" in rows.columns:
+            rows = tilehits.packed(rows, ["user_id", "z"], self.resolution)
+        tiled = (lambda x: x) if users else self.tiled
+        rows = tiled(rows).withColumn("bucket", self.bucket()).select(*columns, "z", "bucket").hint("rebalance", "z", "bucket")
+        order = ("y", "x", "user_id") if users else ("py", "px")
+        rows.sortWithinPartitions("z", "bucket", *order).write.partitionBy("z", "bucket").parquet(f"{self.root}/{at}")
+        written = tiled(self.spark.read.schema(f"{SCHEMAS[kind]}, z int, bucket string").parquet(f"{self.root}/{at}"))
         bounds = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]
-        found = written.groupBy("z", "bucket").agg(F.count(F.lit(1)).alias("rows"), *bounds).collect()  # buckets
+        found = written.groupBy("z", "bucket").agg((F.sum("n") if users else F.count(F.lit(1))).alias("rows"), *bounds).collect()  # buckets
         key = lambda r: f"{r.z}/{r.bucket}"
         return [Run(kind, key(r), f"{at}/z={r.z}/bucket={r.bucket}", r.rows, tier(key(r)), r.x0, r.x1, r.y0, r.y1) for r in found]
 
@@ -223,7 +239,8 @@ class Store:
         chosen = [r for key, top in full.items() for t, runs in tiers[key].items() if t <= top for r in runs]
         if not chosen:
             return 0
-        rows = view._rows("users", chosen).groupBy("user_id", "px", "py", "z").agg(F.sum("hits").alias("hits"))
+        rows = view._rows("users", chosen)
+        rows = tilehits.merged(rows, ["user_id", "z"], self.resolution, tilehits.shares(rows, sum(r.rows for r in chosen)))
         merged, gone = self.write_runs("users", rows, lambda key: full[key] + 1), {r.path for r in chosen}
 
         def check(entry: dict) -> None:
