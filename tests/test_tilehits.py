@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackweave.operators import density, raster, tilehits
+from trackweave.plans import queries
 from trackweave.streaming.store import Store
 
 R = 16
@@ -65,3 +67,17 @@ def test_a_run_has_a_row_for_each_user_and_tile(spark, tmp_path):
     twice = tilehits.counted(rows.union(rows), 512, 10)
     want = density.global_cells(density.user_cells(tracks(spark))).withColumn("trips", F.col("trips") * 2)
     assert {tuple(r) for r in twice.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_tasks_that_sort_and_draw_follow_the_number_of_events(spark, monkeypatch):
+    """With a fixed number of tasks, what one of them sorts grew with the table."""
+    folder = "/root/testdata/sf0.001"
+    n = -(-spark.read.parquet(f"{folder}/events.parquet").count() // 90)
+    want = sorted(map(tuple, queries.global_cells(spark, folder).collect()))
+    monkeypatch.setattr(tilehits, "POINTS", 90, raising=False)
+    got = queries.global_cells(spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    stated = [(re.findall(r"(\w+)#", keys), int(k)) for keys, k in re.findall(r"hashpartitioning\(([^)]*), (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert n > 4 and (["user_id", "tx", "ty"], n) in stated and (["contribution_id", "user_id"], n) in stated
+    assert "HashAggregate" not in plan[plan.index("MapInArrow") :].replace("ObjectHashAggregate", "")  # no table of a task's pixels beside its sort
+    assert sorted(map(tuple, got.collect())) == want and want

@@ -28,7 +28,13 @@ def told_apart(tracks: DataFrame, partitions: int) -> DataFrame:
 
 
 def user_cells(
-    tracks: DataFrame, raster: Raster = Raster(), cost: int = 1, include=None, semantics: Semantics = Semantics(), split_users: bool = False
+    tracks: DataFrame,
+    raster: Raster = Raster(),
+    cost: int = 1,
+    include=None,
+    semantics: Semantics = Semantics(),
+    split_users: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """user_id, px, py, hits: what each user's tracks add to each pixel of the base zoom.
 
@@ -37,22 +43,22 @@ def user_cells(
     """
     keys = ("user_id", "salt", "salts") if split_users else ("user_id",)
     if split_users:
-        tracks = told_apart(tracks, int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cells = pixel_hits(segments(tracks, raster, include, keys=keys), keys, raster.resolution, weight=cost)
+        tracks = told_apart(tracks, partitions or int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = pixel_hits(segments(tracks, raster, include, keys=keys), keys, raster.resolution, weight=cost, partitions=partitions)
     if split_users:
         split = cells.where("salts > 1").groupBy("user_id", "px", "py").agg(F.sum("hits").alias("hits"))
         cells = cells.where("salts = 1").select("user_id", "px", "py", "hits").unionByName(split)
     return cells.withColumn("hits", wrapped32(F.col("hits"))) if semantics.compat else cells
 
 
-def user_hits(tracks: DataFrame, raster: Raster = Raster()) -> DataFrame:
+def user_hits(tracks: DataFrame, raster: Raster = Raster(), partitions: int | None = None) -> DataFrame:
     """user_id, x, y, n, at, hits: user cells as a row for each user and base tile (raster.tile_hits)."""
-    return tile_hits(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution)
+    return tile_hits(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution, partitions=partitions)
 
 
-def track_cells(tracks: DataFrame, min_users: int = 1, raster: Raster = Raster(), tiles: DataFrame | None = None) -> DataFrame:
+def track_cells(tracks: DataFrame, min_users: int = 1, raster: Raster = Raster(), tiles: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """global_cells of the user cells of tracks, which never leave the tasks that draw them. tiles: of these base tiles (x, y) only."""
-    parts = pieces(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution, tiles=tiles)
+    parts = pieces(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution, partitions, tiles)
     out = tilehits.drawn(parts, ("user_id",), raster.resolution, count=True)
     return out.where(F.col("users") >= min_users) if min_users > 1 else out
 

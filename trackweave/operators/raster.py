@@ -70,7 +70,8 @@ def pieces(
     with the step, and the first step at which it reaches k is (k * L - (L >> 1)) / S, rounded up. A piece has `resolution`
     steps at most, whatever the length of its segment, and all pixels of a key in a tile meet in one task before they are drawn:
     what sums them by key and pixel needs no exchange of pixels. The number of partitions (that of shuffles, if not given) is stated,
-    since bytes of pieces say little of the pixels that they become. tiles: only pieces in these tiles (x, y).
+    since bytes of pieces say little of the pixels that they become; where tables grow it should follow the number of points
+    (tilehits.shares_of_points), since tasks sort their pieces. tiles: only pieces in these tiles (x, y).
     """
     r = resolution
     one = parts.select(*keys, "x0", "y0", "x1", "y1", shape(*[F.col(k) for k in ("x0", "y0", "x1", "y1")]).alias("_g"))
@@ -132,13 +133,17 @@ def draw(parts: DataFrame, keys: tuple[str, ...] = ("contribution_id", "user_id"
     return steps.select(*keys, x.alias("px"), y.alias("py")).where("px >= 0 and py >= 0")
 
 
-def tile_hits(parts: DataFrame, keys: tuple[str, ...], resolution: int = 512, max_length: int | None = None, weight: int = 1) -> DataFrame:
+def tile_hits(
+    parts: DataFrame, keys: tuple[str, ...], resolution: int = 512, max_length: int | None = None, weight: int = 1, partitions: int | None = None
+) -> DataFrame:
     """keys, x, y, n, at, hits: the hits of a key in a tile in one row, as arrays of offsets in the tile and of numbers; n: their length."""
     if max_length is not None:
         parts = parts.where(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))) <= max_length)
-    return tilehits.drawn(pieces(parts, keys, resolution), keys, resolution, weight)
+    return tilehits.drawn(pieces(parts, keys, resolution, partitions), keys, resolution, weight)
 
 
-def pixel_hits(parts: DataFrame, keys: tuple[str, ...], resolution: int = 512, max_length: int | None = None, weight: int = 1) -> DataFrame:
+def pixel_hits(
+    parts: DataFrame, keys: tuple[str, ...], resolution: int = 512, max_length: int | None = None, weight: int = 1, partitions: int | None = None
+) -> DataFrame:
     """keys, px, py, hits: how often the segments of a key come to a pixel, times weight."""
-    return tilehits.cells(tile_hits(parts, keys, resolution, max_length, weight), keys, resolution)
+    return tilehits.cells(tile_hits(parts, keys, resolution, max_length, weight, partitions), keys, resolution)

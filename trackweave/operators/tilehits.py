@@ -9,13 +9,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pixels that a task works on at once, besides those of one key in one tile.
 CHUNK = 1 << 18
 #: Pixels of stored hits that a task reads at most, about.
 SHARE = 4_000_000
+#: Points of tracks that a task sorts and draws at most, about.
+POINTS = 200_000
 
 HITS = "n long, at array<int>, hits array<long>"
 
@@ -33,6 +35,11 @@ def shares(rows: DataFrame, pixels: int) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pixels // SHARE))
 
 
+def shares_of_points(spark: SparkSession, points: int) -> int:
+    """Partitions for tracks of so many points, so that what a task sorts does not grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-points // POINTS))
+
+
 def sums(at: np.ndarray, hits: np.ndarray | None, weight: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places in order and the sum of hits at each."""
     if hits is None:
@@ -189,7 +196,8 @@ def tile_sums(batches: Iterator[pa.RecordBatch], tile: list[str], keys: list[str
 
 
 def totals(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("px", "py").agg(F.sum("users").alias("users"), F.sum("trips").alias("trips"))
+    """Sums of what tasks have counted. A task has a pixel once, so hash tables of its share would sum nothing before the exchange."""
+    return parts.repartition("px", "py").groupBy("px", "py").agg(F.sum("users").alias("users"), F.sum("trips").alias("trips"))
 
 
 def counted(rows: DataFrame, resolution: int, total: int) -> DataFrame:

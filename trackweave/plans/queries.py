@@ -13,7 +13,7 @@ from trackweave.functions import tilemath as tm
 from trackweave.operators import cells as ct
 from trackweave.operators import density, pyramid, ranges, raster
 from trackweave.sources import tracks as ts
-from trackweave.sources.events import event_points, event_tracks
+from trackweave.sources.events import event_points, event_shares, event_tracks
 from trackweave.sources.vector_tiles import features, tile_points, vector_tiles
 from trackweave.streaming.job import apply_batch
 from trackweave.streaming.store import Store
@@ -35,7 +35,7 @@ def cells(spark: SparkSession, d: str, batches: int = 0) -> DataFrame:
     tracks = event_tracks(spark, d)
     if batches:
         tracks = tracks.where(F.col("user_id") % 2 == batches - 1)
-    drawn = raster.draw(raster.pieces(raster.segments(tracks)))
+    drawn = raster.draw(raster.pieces(raster.segments(tracks), partitions=event_shares(spark, d)))
     hits = drawn.groupBy("px", "py").agg(F.count(F.lit(1)).alias("value"))
     return hits.select(F.lit(Z).alias("z"), "px", "py", "value")
 
@@ -45,7 +45,7 @@ def some_tiles(spark: SparkSession) -> DataFrame:
 
 
 def kept(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
-    return density.track_cells(event_tracks(spark, d), k)
+    return density.track_cells(event_tracks(spark, d), k, partitions=event_shares(spark, d))
 
 
 def project_points(spark, d):
@@ -142,32 +142,32 @@ def segments(spark, d):
 
 
 def raster_pixels(spark, d):
-    return raster.pixel_hits(raster.segments(event_tracks(spark, d)), ("contribution_id",))
+    return raster.pixel_hits(raster.segments(event_tracks(spark, d)), ("contribution_id",), partitions=event_shares(spark, d))
 
 
 def raster_include_tile(spark, d):
     west = lambda i: F.pmod(i, F.lit(2)) == 1
-    return raster.pixel_hits(raster.segments(event_tracks(spark, d), include=west), ("contribution_id",))
+    return raster.pixel_hits(raster.segments(event_tracks(spark, d), include=west), ("contribution_id",), partitions=event_shares(spark, d))
 
 
 def user_cells(spark, d):
-    return density.user_cells(event_tracks(spark, d))
+    return density.user_cells(event_tracks(spark, d), partitions=event_shares(spark, d))
 
 
 def user_cells_cost(spark, d):
-    return density.user_cells(event_tracks(spark, d), cost=7)
+    return density.user_cells(event_tracks(spark, d), cost=7, partitions=event_shares(spark, d))
 
 
 def tile_users(spark, d):
-    return density.tile_users(density.user_cells(event_tracks(spark, d)))
+    return density.tile_users(user_cells(spark, d))
 
 
 def tile_user_counts(spark, d):
-    return density.tile_user_counts(density.user_cells(event_tracks(spark, d)))
+    return density.tile_user_counts(user_cells(spark, d))
 
 
 def tile_threshold(spark, d):
-    return density.tiles_over_threshold(density.user_cells(event_tracks(spark, d)), 100)
+    return density.tiles_over_threshold(user_cells(spark, d), 100)
 
 
 def global_cells(spark, d):
@@ -207,7 +207,7 @@ def diff_pyramid_saturating(spark, d):
 
 
 def _diffs(spark, d):
-    drawn = raster.draw(raster.pieces(raster.segments(event_tracks(spark, d))))
+    drawn = raster.draw(raster.pieces(raster.segments(event_tracks(spark, d)), partitions=event_shares(spark, d)))
     return drawn.groupBy((F.col("contribution_id") % 4).alias("batch"), "px", "py").agg(F.count(F.lit(1)).alias("value"))
 
 
@@ -302,7 +302,7 @@ def per_user_last(spark, d):
 
 def modified_tiles(spark, d):
     t = event_tracks(spark, d).where(F.col("contribution_id") % 7 == 0)
-    touched = density.user_cells(t)
+    touched = density.user_cells(t, partitions=event_shares(spark, d))
     return touched.select(F.lit(Z).alias("z"), tm.quotient(F.col("px"), R).alias("x"), tm.quotient(F.col("py"), R).alias("y")).distinct()
 
 
@@ -311,8 +311,9 @@ def incremental_equals_batch(spark, d):
     t = event_tracks(spark, d)
     first, second = (t.where(c) for c in (F.col("contribution_id") % 7 != 0, F.col("contribution_id") % 7 == 0))
     tiles = density.tiles_of(second).select(F.lit(Z).alias("z"), "x", "y").persist()  # three joins count and read it
-    new = density.track_cells(first.unionByName(second), 3, tiles=ct.few_tiles(tiles)).withColumn("z", F.lit(Z))
-    old = density.track_cells(first, 3).withColumn("z", F.lit(Z))
+    n = event_shares(spark, d)
+    new = density.track_cells(first.unionByName(second), 3, tiles=ct.few_tiles(tiles), partitions=n).withColumn("z", F.lit(Z))
+    old = density.track_cells(first, 3, partitions=n).withColumn("z", F.lit(Z))
     return ct.replaced(old, new, tiles).select("px", "py", "users", "trips")
 
 
@@ -320,9 +321,9 @@ def incremental_job(spark, d):
     """Cells of the job's store after three batches, each of which rebuilds only the tiles that it touches, with a compaction in between."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     store = Store(spark, f"{root.rstrip('/')}/trackweave-store-{uuid.uuid4().hex[:12]}", merged=2)
-    t = event_tracks(spark, d)
+    t, n = event_tracks(spark, d), event_shares(spark, d)
     for k in range(3):
-        touched = apply_batch(store, t.where(F.col("contribution_id") % 3 == k), f"part-{k}")
+        touched = apply_batch(store, t.where(F.col("contribution_id") % 3 == k), f"part-{k}", partitions=n)
         store.compact(touched)
     return store.cells()
 
@@ -352,7 +353,7 @@ def vector_features_all(spark, d):
 
 def modified_tiles_all(spark, d):
     """Tiles that each batch touches, the contributions' remainder modulo 7 being the batch."""
-    drawn = raster.draw(raster.pieces(raster.segments(event_tracks(spark, d))))
+    drawn = raster.draw(raster.pieces(raster.segments(event_tracks(spark, d)), partitions=event_shares(spark, d)))
     x, y = (tm.quotient(F.col(v), R).alias(k) for v, k in (("px", "x"), ("py", "y")))
     return drawn.select((F.col("contribution_id") % 7).alias("batch"), F.lit(Z).alias("z"), x, y).distinct()
 

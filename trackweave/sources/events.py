@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.functions.tilemath import place_of, tile_of_pixel
+from trackweave.operators import tilehits
 
 # The raster window of the derived tracks and the factors that spread events in it.
 X0, Y0, SPAN = 4295168, 2815488, 640
@@ -25,8 +26,25 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("place", place).select("*", "place.lon", "place.lat").drop("place")
 
 
+def event_count(spark: SparkSession, sf_dir: str) -> int:
+    """The number of events, which Parquet's footers tell."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def event_shares(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions in which tracks of the events are drawn."""
+    return tilehits.shares_of_points(spark, event_count(spark, sf_dir))
+
+
 def event_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """contribution_id, user_id, points: the events of a user and day by (ts, event_id)."""
+    """contribution_id, user_id, points: the events of a user and day by (ts, event_id).
+
+    More than a task's share of events are dealt out before they are collected, in a number of partitions that follows theirs:
+    partial lists where they are read would save nothing, and lists of so many tracks are made by sorting a task's events.
+    """
     points = F.array_sort(F.collect_list(F.struct("ts", "event_id", "lon", "lat")))
     path = F.transform(points, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
-    return event_points(spark, sf_dir).groupBy("contribution_id", "user_id").agg(path.alias("points"))
+    events, n = event_points(spark, sf_dir), event_count(spark, sf_dir)
+    if n > tilehits.POINTS:
+        events = events.repartition(tilehits.shares_of_points(spark, n), "contribution_id", "user_id")
+    return events.groupBy("contribution_id", "user_id").agg(path.alias("points"))

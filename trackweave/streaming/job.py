@@ -32,19 +32,21 @@ def apply_batch(
     raster: Raster = Raster(),
     publish: bool = False,
     window: tuple[int, int] | None = None,
+    partitions: int | None = None,
 ) -> Touched:
     """Merges tracks (contribution_id, user_id, points) into the store and returns the base tiles that they touch.
 
     Only base tiles that the batch touches and their ancestors are worked out anew, from their buckets. User cells, cells and, if
     window is given (the last contribution id before and after), the state show at once, in one commit. A batch that is in
     already is left as it is. Where other writers came first, the zooms at which they met are worked out again; raises Conflict
-    if they moved the last contribution id. publish: the batch counts as pending until it is published.
+    if they moved the last contribution id. publish: the batch counts as pending until it is published. partitions: in which tracks are
+    drawn, those of shuffles if not given.
     """
     if found := store.batch(batch, raster.zoom):
         return found
     zoom, work = raster.zoom, uuid.uuid4().hex
     tracks = tracks.dropDuplicates(["contribution_id", "user_id"]).withColumn("user_id", F.col("user_id").cast("string"))
-    users = store.write_runs("users", user_hits(tracks, raster).withColumn("z", F.lit(zoom)))
+    users = store.write_runs("users", user_hits(tracks, raster, partitions).withColumn("z", F.lit(zoom)))
     base = store.view()._rows("users", users).select("x", "y").distinct()
     touched = store.touched(store.put_aside(base, f"touched/c={work}"), zoom)
     more = {"publish": publish} if window is None else {"publish": publish, "expects": window[0], "last": window[1]}
