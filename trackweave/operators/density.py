@@ -59,7 +59,7 @@ def user_hits(tracks: DataFrame, raster: Raster = Raster(), partitions: int | No
 def track_cells(tracks: DataFrame, min_users: int = 1, raster: Raster = Raster(), tiles: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """global_cells of the user cells of tracks, which never leave the tasks that draw them. tiles: of these base tiles (x, y) only."""
     parts = pieces(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution, partitions, tiles)
-    out = tilehits.drawn(parts, ("user_id",), raster.resolution, count=True)
+    out = tilehits.drawn(parts, ("user_id",), raster.resolution, count=True, partitions=partitions)
     return out.where(F.col("users") >= min_users) if min_users > 1 else out
 
 

@@ -40,6 +40,12 @@ def shares_of_points(spark: SparkSession, points: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-points // POINTS))
 
 
+def dealt(rows: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """rows dealt out by keys into so many partitions, if that is more than shuffles have (small tables are left to AQE)."""
+    more = partitions and partitions > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *keys) if more else rows.repartition(*keys)
+
+
 def sums(at: np.ndarray, hits: np.ndarray | None, weight: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places in order and the sum of hits at each."""
     if hits is None:
@@ -115,10 +121,11 @@ def summed(batches: Iterator[pa.RecordBatch], names: list[str], r: int, size: Ca
         yield made(held[0], np.array([0, held[1].size]), *held[1:])
 
 
-def drawn(pieces: DataFrame, keys: tuple[str, ...], resolution: int, weight: int = 1, count: bool = False) -> DataFrame:
+def drawn(pieces: DataFrame, keys: tuple[str, ...], resolution: int, weight: int = 1, count: bool = False, partitions: int | None = None) -> DataFrame:
     """keys, x, y, n, at, hits of pieces (raster.pieces) that were dealt out by keys and tile: a row for each key and tile.
 
-    count: px, py, users, trips instead, the number of keys and the sum of hits of each pixel; rows of keys never leave a task."""
+    count: px, py, users, trips instead, the number of keys and the sum of hits of each pixel, summed in so many
+    partitions at least; rows of keys never leave a task."""
     names, r = ["tx", "ty", *keys], resolution
     ends = ["x0", "y0", "x1", "y1", "i0", "i1"]
     column = lambda b, c: b.column(c).to_numpy(zero_copy_only=False)
@@ -130,7 +137,7 @@ def drawn(pieces: DataFrame, keys: tuple[str, ...], resolution: int, weight: int
 
     rows = pieces.where("tx >= 0 and ty >= 0").select(*names, *ends).sortWithinPartitions(*names)
     if count:
-        return totals(rows.mapInArrow(draw, COUNTS))
+        return totals(rows.mapInArrow(draw, COUNTS), partitions)
     out = rows.mapInArrow(draw, f"{schema_of(rows, names)}, {HITS}")
     return out.select(*keys, F.col("tx").alias("x"), F.col("ty").alias("y"), "n", "at", "hits")
 
@@ -143,8 +150,8 @@ def merged(rows: DataFrame, keys: list[str], resolution: int, partitions: int) -
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return summed(batches, names, r, lengths, lambda b, group: hits_of(b, group, r), 1)
 
-    dealt = rows.select(*names, "n", "at", "hits").repartition(partitions, *names).sortWithinPartitions(*names)
-    return dealt.mapInArrow(merge, f"{schema_of(dealt, names)}, {HITS}").select(*keys, "x", "y", "n", "at", "hits")
+    shared = rows.select(*names, "n", "at", "hits").repartition(partitions, *names).sortWithinPartitions(*names)
+    return shared.mapInArrow(merge, f"{schema_of(shared, names)}, {HITS}").select(*keys, "x", "y", "n", "at", "hits")
 
 
 def cells(rows: DataFrame, keys: tuple[str, ...], resolution: int) -> DataFrame:
@@ -195,9 +202,9 @@ def tile_sums(batches: Iterator[pa.RecordBatch], tile: list[str], keys: list[str
     yield from end_tile()
 
 
-def totals(parts: DataFrame) -> DataFrame:
+def totals(parts: DataFrame, partitions: int | None = None) -> DataFrame:
     """Sums of what tasks have counted. A task has a pixel once, so hash tables of its share would sum nothing before the exchange."""
-    return parts.repartition("px", "py").groupBy("px", "py").agg(F.sum("users").alias("users"), F.sum("trips").alias("trips"))
+    return dealt(parts, partitions, "px", "py").groupBy("px", "py").agg(F.sum("users").alias("users"), F.sum("trips").alias("trips"))
 
 
 def counted(rows: DataFrame, resolution: int, total: int) -> DataFrame:
@@ -207,6 +214,7 @@ def counted(rows: DataFrame, resolution: int, total: int) -> DataFrame:
     """
     names = ["x", "y", "_salt"]
     load = rows.groupBy("x", "y").agg(F.ceil(F.sum("n") / SHARE).cast("int").alias("_salts"))
-    dealt = rows.select("user_id", "x", "y", "at", "hits").join(load, ["x", "y"]).withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.greatest("_salts", F.lit(1))))
-    dealt = dealt.select(*names, "user_id", "at", "hits").repartition(shares(rows, total), *names).sortWithinPartitions(*names, "user_id")
-    return totals(dealt.mapInArrow(lambda batches: tile_sums(batches, names, ["user_id"], resolution), COUNTS))
+    n = shares(rows, total)
+    salted = rows.select("user_id", "x", "y", "at", "hits").join(load, ["x", "y"]).withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.greatest("_salts", F.lit(1))))
+    shared = salted.select(*names, "user_id", "at", "hits").repartition(n, *names).sortWithinPartitions(*names, "user_id")
+    return totals(shared.mapInArrow(lambda batches: tile_sums(batches, names, ["user_id"], resolution), COUNTS), n)
