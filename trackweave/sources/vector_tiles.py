@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions.codec import read_varint, write_varint
 from trackweave.functions.tilemath import place_of, quotient
+from trackweave.operators import tilehits
 
 # The layer, its attributes, and the extent of the vector tile specification.
 LAYER, ATTRIBUTES, EXTENT = "heatmap", ("users", "trips"), 4096
@@ -152,10 +153,11 @@ def decode_tile(data: bytes) -> dict:
     return out
 
 
-def vector_tiles(cells: DataFrame, resolution: int = 512, extent: int = EXTENT, attributes=None, names: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+def vector_tiles(cells: DataFrame, resolution: int = 512, extent: int = EXTENT, attributes=None, names: tuple[str, ...] = ATTRIBUTES, partitions: int | None = None) -> DataFrame:
     """z, x, y, mvt, features: the bytes of each tile. A tile holds resolution**2 cells at most, so a group is bounded.
 
-    attributes(users, trips), as for features(), gives a struct of unsigned integers called names; null drops the feature.
+    attributes(users, trips), as for features(), gives a struct of unsigned integers called names; null drops the feature. partitions: so many
+    tasks at least sort the cells.
     """
     x, y = quotient(F.col("px"), resolution), quotient(F.col("py"), resolution)
     scale = lambda c: F.expr(f"cast(pmod({c}, {resolution}) * {extent} div {resolution} as int)")
@@ -171,7 +173,7 @@ def vector_tiles(cells: DataFrame, resolution: int = 512, extent: int = EXTENT,
         head = [pa.array([k.as_py()], t) for k, t in zip(key, kinds, strict=True)]
         return pa.Table.from_arrays([*head, pa.array([mvt]), pa.array([len(cx)], pa.int64())], names=["z", "x", "y", "mvt", "features"])
 
-    return rows.groupBy("z", "x", "y").applyInArrow(run, "z int, x long, y long, mvt binary, features long")
+    return tilehits.dealt(rows, partitions, "z", "x", "y").groupBy("z", "x", "y").applyInArrow(run, "z int, x long, y long, mvt binary, features long")
 
 
 def tile_points(tiles: DataFrame) -> DataFrame:
