@@ -81,3 +81,22 @@ def test_tasks_that_sort_and_draw_follow_the_number_of_events(spark, monkeypatch
     assert n > 4 and (["user_id", "tx", "ty"], n) in stated and (["contribution_id", "user_id"], n) in stated
     assert "HashAggregate" not in plan[plan.index("MapInArrow") :].replace("ObjectHashAggregate", "")  # no table of a task's pixels beside its sort
     assert sorted(map(tuple, got.collect())) == want and want
+
+
+SHARED = ("global_cells_k3", "top_cells", "vector_features", "vector_features_all", "vector_tile_points", "vector_tiles_mvt", "pyramid_cells", "pyramid_compat")
+
+
+@pytest.mark.parametrize("name", SHARED)
+def test_tasks_that_sum_pixels_and_levels_follow_the_number_of_events(spark, monkeypatch, name):
+    """With a fixed number of tasks, hash tables of pixels and of the pyramid grew with the table wherever tracks cover more ground."""
+    folder = "/root/testdata/sf0.001"
+    n = -(-spark.read.parquet(f"{folder}/events.parquet").count() // 90)
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(queries.QUERIES[name](spark, folder))
+    monkeypatch.setattr(tilehits, "POINTS", 90)
+    got = queries.QUERIES[name](spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    stated = [re.findall(r"(\w+)#", keys) for keys, k in re.findall(r"hashpartitioning\(([^)]*), (\d+)\), REPARTITION_BY_NUM", plan) if int(k) == n]
+    asked = [["px", "py"]] + [["ax", "ay"]] * ("pyramid" in name or "vector" in name) + [["z", "x", "y"]] * ("tile" in name)
+    assert n > 4 and "REPARTITION_BY_COL" not in plan and all(keys in stated for keys in asked)
+    assert rows(got) == want and want

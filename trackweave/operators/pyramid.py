@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackweave.config import UINT32, Semantics
 from trackweave.functions.tilemath import quotient, shift_right
+from trackweave.operators import tilehits
 from trackweave.operators.ranges import tiles_below
 
 #: Levels below which the cells of one ancestor stay together: 4**6 base pixels at most.
@@ -26,12 +27,12 @@ def rebuilt(children: DataFrame, semantics: Semantics = Semantics()) -> DataFram
     return out.select("px", "py", users.alias("users"), F.col("trips").bitwiseAND(F.lit(UINT32)).alias("trips"))
 
 
-def rolled_up(base: DataFrame, zoom: int, min_zoom: int, values: tuple[str, ...]) -> DataFrame:
+def rolled_up(base: DataFrame, zoom: int, min_zoom: int, values: tuple[str, ...], partitions: int | None = None) -> DataFrame:
     """z, px, py and the sums of values for all zooms from zoom to min_zoom of rows (px, py, ...) at zoom.
 
     The base is dealt out once, by the ancestor NEAR zooms up, which holds a bounded number of pixels. Levels up to there
     are summed where they lie, the upper half of them from the middle level, which is a few times smaller than the base;
-    levels above come from that ancestor's level, and only its sums are exchanged.
+    levels above come from that ancestor's level, and only its sums are exchanged. partitions: those of the base at least.
     """
     depth = zoom - min_zoom
     near, names = min(NEAR, depth), list(values)
@@ -44,7 +45,8 @@ def rolled_up(base: DataFrame, zoom: int, min_zoom: int, values: tuple[str, ...]
         each = rows.withColumn("d", F.explode(F.sequence(F.lit(first), F.lit(last))))
         return each.groupBy(*within, "d", *up(F.col("d") - at)).agg(*sums).select(level, "px", "py", *names)
 
-    dealt = base.select("px", "py", *names, shift_right(F.col("px"), near).alias("ax"), shift_right(F.col("py"), near).alias("ay")).repartition("ax", "ay")
+    rows = base.select("px", "py", *names, shift_right(F.col("px"), near).alias("ax"), shift_right(F.col("py"), near).alias("ay"))
+    dealt = tilehits.dealt(rows, partitions, "ax", "ay")
     half = near // 2
     out = levels(dealt, 0, 0, half, "ax", "ay")
     middle = dealt.groupBy("ax", "ay", *up(half)).agg(*sums)
@@ -56,13 +58,13 @@ def rolled_up(base: DataFrame, zoom: int, min_zoom: int, values: tuple[str, ...]
     return out
 
 
-def pyramid(base: DataFrame, zoom: int = 14, min_zoom: int = 0, semantics: Semantics = Semantics()) -> DataFrame:
+def pyramid(base: DataFrame, zoom: int = 14, min_zoom: int = 0, semantics: Semantics = Semantics(), partitions: int | None = None) -> DataFrame:
     """z, px, py, users, trips for all zooms from zoom to min_zoom of base cells (px, py, users, trips).
 
     compat: at every zoom users and trips are sums of packed pairs of 32 bits, so trips carry into users, and users wrap. Such
     a sum is one of integers modulo 2**64: the order of additions does not matter, and wrapping once at the end is the same.
     """
-    out = rolled_up(base, zoom, min_zoom, ("users", "trips"))
+    out = rolled_up(base, zoom, min_zoom, ("users", "trips"), partitions)
     if not semantics.compat:
         return out
     users = (F.col("users") + shift_right(F.col("trips"), 32)).bitwiseAND(F.lit(UINT32))

@@ -44,8 +44,13 @@ def some_tiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(14, 8389, 5499), (14, 8390, 5500), (14, 1, 1)], "z int, x long, y long")
 
 
-def kept(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
-    return density.track_cells(event_tracks(spark, d), k, partitions=event_shares(spark, d))
+def kept(spark: SparkSession, d: str, k: int = 3, n: int | None = None) -> DataFrame:
+    return density.track_cells(event_tracks(spark, d), k, partitions=n or event_shares(spark, d))
+
+
+def levels(spark: SparkSession, d: str, **how) -> DataFrame:
+    n = event_shares(spark, d)
+    return pyramid.pyramid(kept(spark, d, n=n), partitions=n, **how)
 
 
 def project_points(spark, d):
@@ -179,15 +184,15 @@ def global_cells_k3(spark, d):
 
 
 def pyramid_cells(spark, d):
-    return pyramid.pyramid(kept(spark, d))
+    return levels(spark, d)
 
 
 def pyramid_compat(spark, d):
-    return pyramid.pyramid(kept(spark, d), min_zoom=11, semantics=COMPAT)
+    return levels(spark, d, min_zoom=11, semantics=COMPAT)
 
 
 def pyramid_tile_totals(spark, d):
-    return pyramid.tile_totals(pyramid.pyramid(kept(spark, d)))
+    return pyramid.tile_totals(levels(spark, d))
 
 
 def parent_tiles(spark, d):
@@ -333,12 +338,12 @@ def top_cells(spark, d):
 
 
 def vector_features(spark, d):
-    out = features(pyramid.pyramid(kept(spark, d)).where("z >= 12"))
+    out = features(levels(spark, d).where("z >= 12"))
     return out.select("z", "x", "y", "cx", "cy", *_rounded({"lon": F.col("lon"), "lat": F.col("lat")}), "users", "trips")
 
 
 def pyramid_compat_all(spark, d):
-    return pyramid.pyramid(kept(spark, d), semantics=COMPAT)
+    return levels(spark, d, semantics=COMPAT)
 
 
 def diff_pyramid_saturating_all(spark, d):
@@ -347,7 +352,7 @@ def diff_pyramid_saturating_all(spark, d):
 
 
 def vector_features_all(spark, d):
-    out = features(pyramid.pyramid(kept(spark, d)))
+    out = features(levels(spark, d))
     return out.select("z", "x", "y", "cx", "cy", *_rounded({"lon": F.col("lon"), "lat": F.col("lat")}), "users", "trips")
 
 
@@ -364,12 +369,12 @@ def tile_values_all(spark, d):
 
 
 def vector_tiles_mvt(spark, d):
-    return vector_tiles(pyramid.pyramid(kept(spark, d)))
+    return vector_tiles(levels(spark, d), partitions=event_shares(spark, d))
 
 
 def vector_tile_points(spark, d):
     """The points that a reader finds in the bytes of all tiles."""
-    return tile_points(vector_tiles(pyramid.pyramid(kept(spark, d))))
+    return tile_points(vector_tiles_mvt(spark, d))
 
 
 QUERIES = {
