@@ -100,3 +100,14 @@ def test_tasks_that_sum_pixels_and_levels_follow_the_number_of_events(spark, mon
     asked = [["px", "py"]] + [["ax", "ay"]] * ("pyramid" in name or "vector" in name) + [["z", "x", "y"]] * ("tile" in name)
     assert n > 4 and "REPARTITION_BY_COL" not in plan and all(keys in stated for keys in asked)
     assert rows(got) == want and want
+
+
+@pytest.mark.parametrize("name", ("vector_features_all", "vector_tile_points", "pyramid_cells"))
+def test_tasks_that_sum_the_upper_levels_follow_the_number_of_events(spark, monkeypatch, name):
+    """With as many tasks as shuffles have, ancestors of cells that lie far from each other met in hash tables that grew with the table."""
+    folder = "/root/testdata/sf0.001"
+    n = -(-spark.read.parquet(f"{folder}/events.parquet").count() // 90)
+    monkeypatch.setattr(tilehits, "POINTS", 90)
+    plan = queries.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    keys = {tuple(re.findall(r"([a-z]+)#", k)): (int(tasks), how) for k, tasks, how in re.findall(r"hashpartitioning\(([^)]*), (\d+)\), (\w+)", plan)}
+    assert n > 4 and keys["d", "px", "py"] == (2 * n, "REPARTITION_BY_NUM") and "ENSURE_REQUIREMENTS" not in {how for _, how in keys.values()}

@@ -32,10 +32,14 @@ def rolled_up(base: DataFrame, zoom: int, min_zoom: int, values: tuple[str, ...]
 
     The base is dealt out once, by the ancestor NEAR zooms up, which holds a bounded number of pixels. Levels up to there
     are summed where they lie, the upper half of them from the middle level, which is a few times smaller than the base;
-    levels above come from that ancestor's level, and only its sums are exchanged. partitions: those of the base at least.
+    levels above come from that ancestor's level, and only its sums are exchanged. partitions: those of the base at least. If
+    they are more than shuffles have, so are those of the levels above (for as many levels as are summed of the base at once):
+    where tracks lie far from each other, an ancestor holds few pixels, and its level grows with the table. A pixel has
+    4**(zoom - near) / 4**z such ancestors at most.
     """
     depth = zoom - min_zoom
     near, names = min(NEAR, depth), list(values)
+    half = near // 2
     sums = [F.sum(v).alias(v) for v in names]
     up = lambda d: (shift_right(F.col("px"), d).alias("px"), shift_right(F.col("py"), d).alias("py"))
     level = (F.lit(zoom) - F.col("d")).alias("z")
@@ -43,11 +47,13 @@ def rolled_up(base: DataFrame, zoom: int, min_zoom: int, values: tuple[str, ...]
     def levels(rows: DataFrame, at: int, first: int, last: int, *within: str) -> DataFrame:
         """Levels first to last above the base, of rows that lie `at` levels above it."""
         each = rows.withColumn("d", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        if not within and tilehits.is_more(base, partitions):
+            each = each.select("d", *up(F.col("d") - at), *names).repartition(partitions * -(-(last - first + 1) // (half + 1)), "d", "px", "py")
+            return each.groupBy("d", "px", "py").agg(*sums).select(level, "px", "py", *names)
         return each.groupBy(*within, "d", *up(F.col("d") - at)).agg(*sums).select(level, "px", "py", *names)
 
     rows = base.select("px", "py", *names, shift_right(F.col("px"), near).alias("ax"), shift_right(F.col("py"), near).alias("ay"))
     dealt = tilehits.dealt(rows, partitions, "ax", "ay")
-    half = near // 2
     out = levels(dealt, 0, 0, half, "ax", "ay")
     middle = dealt.groupBy("ax", "ay", *up(half)).agg(*sums)
     if near > half:

@@ -40,10 +40,14 @@ def shares_of_points(spark: SparkSession, points: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-points // POINTS))
 
 
+def is_more(rows: DataFrame, partitions: int | None) -> bool:
+    """Whether so many partitions are more than shuffles have."""
+    return bool(partitions) and partitions > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def dealt(rows: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
     """rows dealt out by keys into so many partitions, if that is more than shuffles have (small tables are left to AQE)."""
-    more = partitions and partitions > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(partitions, *keys) if more else rows.repartition(*keys)
+    return rows.repartition(partitions, *keys) if is_more(rows, partitions) else rows.repartition(*keys)
 
 
 def sums(at: np.ndarray, hits: np.ndarray | None, weight: int = 1) -> tuple[np.ndarray, np.ndarray]:
