@@ -2,12 +2,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trackweave.operators import density, raster, tilehits
-from trackweave.plans import queries
+from trackweave.plans import oracle, queries
 from trackweave.streaming.store import Store
 
 R = 16
@@ -111,3 +112,14 @@ def test_tasks_that_sum_the_upper_levels_follow_the_number_of_events(spark, monk
     plan = queries.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     keys = {tuple(re.findall(r"([a-z]+)#", k)): (int(tasks), how) for k, tasks, how in re.findall(r"hashpartitioning\(([^)]*), (\d+)\), (\w+)", plan)}
     assert n > 4 and keys["d", "px", "py"] == (2 * n, "REPARTITION_BY_NUM") and "ENSURE_REQUIREMENTS" not in {how for _, how in keys.values()}
+
+
+@pytest.mark.parametrize("name", ("pyramid_compat",))
+def test_shallow_pyramids_are_summed_in_one_pass(spark, name):
+    """A middle level for one or two levels above it took two more hash tables in the same task."""
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "Union" not in got._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    want = con.execute(oracle.ORACLE[name]).fetchdf()[got.columns]
+    assert sorted(map(tuple, got.toPandas().values.tolist())) == sorted(map(tuple, want.values.tolist()))

@@ -39,7 +39,7 @@ def rolled_up(base: DataFrame, zoom: int, min_zoom: int, values: tuple[str, ...]
     """
     depth = zoom - min_zoom
     near, names = min(NEAR, depth), list(values)
-    half = near // 2
+    half = min(near, NEAR // 2)
     sums = [F.sum(v).alias(v) for v in names]
     up = lambda d: (shift_right(F.col("px"), d).alias("px"), shift_right(F.col("py"), d).alias("py"))
     level = (F.lit(zoom) - F.col("d")).alias("z")
