@@ -114,7 +114,14 @@ def test_tasks_that_sum_the_upper_levels_follow_the_number_of_events(spark, monk
     assert n > 4 and keys["d", "px", "py"] == (2 * n, "REPARTITION_BY_NUM") and "ENSURE_REQUIREMENTS" not in {how for _, how in keys.values()}
 
 
-@pytest.mark.parametrize("name", ("pyramid_compat",))
+def test_features_of_three_zooms_sum_no_levels_above_them(spark):
+    """All fifteen levels were summed and twelve thrown away, in hash tables of the base and of its ancestors."""
+    plans = {k: queries.QUERIES[k](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for k in ("vector_features", "vector_features_all")}
+    above = {k: len(re.findall(r"hashpartitioning\(d#", plan)) for k, plan in plans.items()}
+    assert above["vector_features_all"] and not above["vector_features"]
+
+
+@pytest.mark.parametrize("name", ("vector_features", "pyramid_compat"))
 def test_shallow_pyramids_are_summed_in_one_pass(spark, name):
     """A middle level for one or two levels above it took two more hash tables in the same task."""
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")

@@ -338,7 +338,7 @@ def top_cells(spark, d):
 
 
 def vector_features(spark, d):
-    out = features(levels(spark, d).where("z >= 12"))
+    out = features(levels(spark, d, min_zoom=12))
     return out.select("z", "x", "y", "cx", "cy", *_rounded({"lon": F.col("lon"), "lat": F.col("lat")}), "users", "trips")
 
 
