@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackweave.config import JobConfig, Raster
-from trackweave.operators import density, pyramid
+from trackweave.operators import density, pyramid, tilehits
 from trackweave.sources import tracks as ts
 from trackweave.sources import vector_tiles as vt
 from trackweave.streaming import job
@@ -150,3 +150,26 @@ def test_only_the_runs_of_touched_buckets_are_opened(spark, tmp_path):
 def test_finest_common():
     assert finest_common([(5, 9)], [(5, 9), (1, 1)], 14) == 14 and finest_common([(4, 8)], [(5, 9)], 14) == 13
     assert finest_common([(0, 0)], [(1 << 9, 0)], 14) == 4 and finest_common([], [(1, 1)], 14) is None
+
+
+def test_a_batch_is_stored_as_lines_and_not_as_their_pixels(spark, tmp_path):
+    """Files of user cells, and what is exchanged to count and to merge them, grew with the pixels of lines: 12 bytes for each, six times over."""
+    store, root = Store(spark, f"file://{tmp_path}/store", 64, merged=2), f"file://{tmp_path}/store"
+    rows = [(i, f"u{i % 4}", [{"lon": -100.0 + 9 * (i % 5), "lat": 40.0}, {"lon": 20.0 - i, "lat": -30.0 + i}]) for i in range(12)]
+    t, config = spark.createDataFrame(rows, TRACKS), JobConfig(min_users=2)
+    size = lambda df: df.agg(sum(F.coalesce(F.sum(F.greatest(F.size(c), F.lit(0))), F.lit(0)) for c in ("at", "hits", "lines") if c in df.columns)).first()[0]
+    cells = lambda df: {tuple(r) for r in df.collect()}
+    for k in range(3):
+        touched = job.apply_batch(store, t.where(F.col("contribution_id") % 3 == k), f"part-{k}", config, SMALL)
+        kept = store.view()._rows("users", store.view().user_runs())
+        drawn = density.user_cells(t.where(F.col("contribution_id") % 3 <= k), SMALL)
+        assert size(kept) < 2 * drawn.count() / 4 and cells(store.user_cells()) == cells(drawn)
+        store.compact(touched)
+        assert cells(store.user_cells()) == cells(drawn)
+    assert found(store) == serial(spark, rows, users=2)
+    # Runs of a store whose rows hold no lines are read as they are.
+    old = density.user_hits(t, SMALL).withColumn("z", F.lit(6)).withColumn("bucket", store.bucket())
+    old.write.partitionBy("z", "bucket").parquet(f"{root}/users/c=old")
+    keys = [r.bucket for r in old.select("bucket").distinct().collect()]
+    rows = store.view()._rows("users", [Run("users", f"6/{k}", f"users/c=old/z=6/bucket={k}") for k in keys])
+    assert cells(tilehits.counted(rows, 64, 10)) == cells(density.global_cells(density.user_cells(t, SMALL)))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import line
 from trackweave.operators import density, raster, tilehits
 from trackweave.plans import oracle, queries
 from trackweave.streaming.store import Store
@@ -130,3 +131,50 @@ def test_shallow_pyramids_are_summed_in_one_pass(spark, name):
     con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
     want = con.execute(oracle.ORACLE[name]).fetchdf()[got.columns]
     assert sorted(map(tuple, got.toPandas().values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 700, 10**6])
+def test_lines_of_a_key_stay_lines_up_to_the_pixels_of_a_tile(monkeypatch, chunk):
+    """However rows lie in chunks, folding them changes no pixel, leaves one row for each key and never more lines than the tile has pixels."""
+    monkeypatch.setattr(tilehits, "CHUNK", chunk)
+    rng, rows, want = random.Random(chunk), [], Counter()
+    for k, n in (("a", 2), ("b", 60), ("c", 5), ("d", 0), ("e", 9)):
+        for _ in range(4):
+            at, ends = sorted(rng.sample(range(R * R), rng.randrange(4))), [[rng.randrange(R) for _ in range(4)] for _ in range(n)]
+            walked = [line(*e) for e in ends]
+            rows.append((k, 3, at, [2] * len(at), [v for e, w in zip(ends, walked) for v in (*e, 0, len(w) - 1)] if n or at else None))
+            want += Counter({(k, v): 2 for v in at}) + Counter((k, y * R + x) for w in walked for x, y in w)
+    kinds = {"k": pa.string(), "x": pa.int64(), "at": pa.list_(pa.int32()), "hits": pa.list_(pa.int64()), "lines": pa.list_(pa.int64())}
+    table = pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
+    parts = lambda b, g: (*tilehits.hits_of(b, g, R), *tilehits.lines_of(b, g))
+    folded = list(tilehits.folded(iter(table.to_batches(3)), ["k", "x"], R, tilehits.pixels_in, parts))
+    got = [r for b in folded for r in b.to_pylist()]
+    assert sorted(r["k"] for r in got) == list("abcde") and all(r["n"] == len(r["at"]) + tilehits.WEIGHT * (len(r["lines"]) // 6) for r in got)
+    held = {r["k"]: sum(r["lines"][5::6]) + len(r["lines"]) // 6 for r in got}
+    assert held["a"] and held["c"] and all(n <= R * R for n in held.values())
+    for batches in (table.to_batches(3), folded):
+        out = tilehits.summed(iter(batches), ["k", "x"], R, tilehits.pixels_in, lambda b, g: tilehits.stored(b, g, R), 1)
+        assert {(r["k"], v): h for b in out for r in b.to_pylist() for v, h in zip(r["at"], r["hits"])} == want
+
+
+def test_rows_with_lines_draw_the_same_pixels(spark):
+    rows = lines(400) + [(u, 3, 3, 5, 4) for u in "ab" for _ in range(9)]
+    df = spark.createDataFrame(rows, "user_id string, x0 long, y0 long, x1 long, y1 long")
+    stored = tilehits.lined(raster.pieces(df, ("user_id",), R), ("user_id",), R)
+    want = sorted(map(str, raster.draw(df, ("user_id",)).groupBy("user_id", "px", "py").agg(F.count(F.lit(1)).alias("hits")).collect()))
+    for lined in (stored, tilehits.merged(stored.union(stored).union(stored), ["user_id"], R, 3, lines=True)):
+        assert lined.where("size(lines) > 0 and size(at) > 0").count() and lined.count() == lined.select("user_id", "x", "y").distinct().count()
+    assert sorted(map(str, tilehits.cells(tilehits.merged(stored, ["user_id"], R, 3), ("user_id",), R).collect())) == want
+    thrice = tilehits.cells(tilehits.merged(lined, ["user_id"], R, 3), ("user_id",), R).withColumn("hits", F.expr("hits div 3"))
+    assert sorted(map(str, thrice.collect())) == want
+
+
+def test_rows_are_exchanged_once_to_be_counted(spark):
+    """Where tiles were not broadcast, rows were exchanged by tile, of which a few may hold all rows, and then again by user."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tilehits.counted(density.user_hits(tracks(spark)), 512, 10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -56,6 +56,12 @@ def user_hits(tracks: DataFrame, raster: Raster = Raster(), partitions: int | No
     return tile_hits(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution, partitions=partitions)
 
 
+def user_lines(tracks: DataFrame, raster: Raster = Raster(), partitions: int | None = None) -> DataFrame:
+    """user_id, x, y, n, at, hits, lines: user_hits whose longer lines are left undrawn (tilehits.lined), which takes far less room."""
+    parts = pieces(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution, partitions)
+    return tilehits.lined(parts, ("user_id",), raster.resolution)
+
+
 def track_cells(tracks: DataFrame, min_users: int = 1, raster: Raster = Raster(), tiles: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """global_cells of the user cells of tracks, which never leave the tasks that draw them. tiles: of these base tiles (x, y) only."""
     parts = pieces(segments(tracks, raster, keys=("user_id",)), ("user_id",), raster.resolution, partitions, tiles)

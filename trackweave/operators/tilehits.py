@@ -1,6 +1,7 @@
 """Hits of a key in a tile as one row with arrays: drawn from pieces of lines, merged, and counted into users and trips per pixel.
 
 Spark deals the rows out and sorts them; numpy works on a bounded number of pixels of a task at once. An offset `at` is row * resolution + column in the tile.
+Rows that are stored may also hold `lines`, pieces that are drawn when they are read: six numbers (ENDS, from the tile's corner) for as many pixels as a tile is wide.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ from pyspark.sql import functions as F
 
 #: Pixels that a task works on at once, besides those of one key in one tile.
 CHUNK = 1 << 18
-#: Pixels of stored hits that a task reads at most, about.
-SHARE = 4_000_000
+#: Pixels of stored hits that a task reads at most, about; a line counts as WEIGHT of them, by its bytes and the time to draw it.
+SHARE, WEIGHT = 4_000_000, 24
+#: Pixels from which on a piece is stored as a line.
+LINE = 6
 #: Points of tracks that a task sorts and draws at most, about.
 POINTS = 200_000
 
 HITS = "n long, at array<int>, hits array<long>"
 
+ENDS = ["x0", "y0", "x1", "y1", "i0", "i1"]
+
 COUNTS = "px long, py long, users long, trips long"
 
 Values = tuple[np.ndarray, np.ndarray | None]  # group * cells + offset of each pixel, and its hits (None: one each)
@@ -81,6 +86,48 @@ def hits_of(batch: pa.RecordBatch, group: np.ndarray, r: int) -> Values:
     return of * (r * r) + at.flatten().to_numpy(zero_copy_only=False), hits.flatten().to_numpy(zero_copy_only=False)
 
 
+def lines_of(batch: pa.RecordBatch, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of rows (ENDS of each), and the group of each."""
+    lines = batch.column("lines")
+    numbers = lines.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(ENDS))
+    return numbers, np.repeat(group, lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) // len(ENDS))
+
+
+def steps_of(lines: np.ndarray) -> np.ndarray:
+    return lines[:, 5] - lines[:, 4] + 1
+
+
+def drawn_lines(lines: np.ndarray, of: np.ndarray, r: int) -> np.ndarray:
+    """The pixels of lines of groups."""
+    return pixels_of({"tx": 0, "ty": 0} | dict(zip(ENDS, lines.T)), of, r)[0]
+
+
+def with_lines(at: np.ndarray, hits: np.ndarray, more: np.ndarray) -> Values:
+    """Pixels with hits and those of lines."""
+    return (np.concatenate((at, more)), np.concatenate((hits, np.ones(more.size, np.int64)))) if at.size else (more, None)
+
+
+def pixels_in(batch: pa.RecordBatch) -> np.ndarray:
+    """How many pixels the hits and lines of each row are."""
+    lines, of = lines_of(batch, np.arange(batch.num_rows))
+    more = np.bincount(of, steps_of(lines), batch.num_rows).astype(np.int64)
+    return batch.column("at").value_lengths().to_numpy(zero_copy_only=False) + more
+
+
+def stored(batch: pa.RecordBatch, group: np.ndarray, r: int) -> Values:
+    """The pixels of rows that hold hits and lines."""
+    return with_lines(*hits_of(batch, group, r), drawn_lines(*lines_of(batch, group), r))
+
+
+def starts_of(keys: pa.RecordBatch) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before (the first one: false)."""
+    new = np.zeros(keys.num_rows, bool)
+    for c in keys.columns:
+        code = c.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return new
+
+
 def chunks(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """The rows, so many at once that they have about CHUNK pixels."""
     for batch in batches:
@@ -102,10 +149,7 @@ def summed(batches: Iterator[pa.RecordBatch], names: list[str], r: int, size: Ca
 
     for batch in chunks(batches, size):
         keys = batch.select(names)
-        new = np.zeros(batch.num_rows, bool)
-        for c in keys.columns:
-            code = c.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
-            new[1:] |= code[1:] != code[:-1]
+        new = starts_of(keys)
         place, hits = sums(*values(batch, np.cumsum(new)), weight)
         starts = np.flatnonzero(np.append(True, new[1:]))
         keys = keys.take(pa.array(starts))
@@ -125,37 +169,103 @@ def summed(batches: Iterator[pa.RecordBatch], names: list[str], r: int, size: Ca
         yield made(held[0], np.array([0, held[1].size]), *held[1:])
 
 
+def folded(batches: Iterator[pa.RecordBatch], names: list[str], r: int, size: Callable, parts: Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """names, n, at, hits, lines of rows in order of names: a row for each. parts: pixels, their hits, lines and their groups.
+
+    Lines stay lines until they are of more pixels than a tile has; then they are drawn, so no row outgrows its tile. n: the row's weight."""
+    held = None
+
+    def made(keys: pa.RecordBatch, place: np.ndarray, hits: np.ndarray, lines: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        groups = np.arange(keys.num_rows + 1)
+        ends, line_ends = np.searchsorted(place, groups * (r * r)), np.searchsorted(of, groups)
+        at = place - np.repeat(groups[:-1], np.diff(ends)) * (r * r)
+        n = np.diff(ends) + WEIGHT * np.diff(line_ends)
+        lists = ((ends, at, pa.int32()), (ends, hits, pa.int64()), (line_ends * len(ENDS), lines.ravel(), pa.int64()))
+        arrays = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, t)) for e, v, t in lists]
+        return pa.RecordBatch.from_arrays([*keys.columns, pa.array(n, pa.int64()), *arrays], names=[*names, "n", "at", "hits", "lines"])
+
+    for batch in chunks(batches, size):
+        keys = batch.select(names)
+        new = starts_of(keys)
+        place, hits, lines, of = parts(batch, np.cumsum(new))
+        keys = keys.take(pa.array(np.flatnonzero(np.append(True, new[1:]))))
+        if held and held[0].equals(keys.slice(0, 1)):
+            place, hits, lines = (np.concatenate(v) for v in zip(held[1:4], (place, hits, lines)))
+            of = np.append(held[4], of)
+        elif held:
+            yield made(*held)
+        last = keys.num_rows - 1
+        dense = (np.bincount(of, steps_of(lines), last + 1) > r * r)[of]
+        more = drawn_lines(lines[dense], of[dense], r)
+        place, hits = sums(np.concatenate((place, more)), np.concatenate((hits, np.ones(more.size, np.int64))))
+        lines, of = lines[~dense], of[~dense]
+        a, b = np.searchsorted(place, last * (r * r)), np.searchsorted(of, last)
+        if last:
+            yield made(keys.slice(0, last), place[:a], hits[:a], lines[:b], of[:b])
+        held = keys.slice(last, 1), place[a:] - last * (r * r), hits[a:], lines[b:], of[b:] - last
+    if held:
+        yield made(*held)
+
+
+def lined(pieces: DataFrame, keys: tuple[str, ...], resolution: int) -> DataFrame:
+    """keys, x, y, n, at, hits, lines of pieces (raster.pieces) that were dealt out by keys and tile: a row for each key and tile, in
+    which pieces of LINE pixels or more are lines and others are hits."""
+    names, r = ["tx", "ty", *keys], resolution
+    column = lambda b, c: b.column(c).to_numpy(zero_copy_only=False)
+
+    def parts(batch: pa.RecordBatch, group: np.ndarray) -> tuple[np.ndarray, ...]:
+        lines = np.stack([column(batch, c) for c in ENDS], 1)
+        for k, v in enumerate(("tx", "ty", "tx", "ty")):
+            lines[:, k] -= column(batch, v) * r
+        short = steps_of(lines) < LINE
+        place = drawn_lines(lines[short], group[short], r)
+        return place, np.ones(place.size, np.int64), lines[~short], group[~short]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return folded(batches, names, r, lambda b: column(b, "i1") - column(b, "i0") + 1, parts)
+
+    rows = pieces.where("tx >= 0 and ty >= 0").select(*names, *ENDS).sortWithinPartitions(*names)
+    out = rows.mapInArrow(keep, f"{schema_of(rows, names)}, {HITS}, lines array<long>")
+    return out.select(*keys, F.col("tx").alias("x"), F.col("ty").alias("y"), "n", "at", "hits", "lines")
+
+
 def drawn(pieces: DataFrame, keys: tuple[str, ...], resolution: int, weight: int = 1, count: bool = False, partitions: int | None = None) -> DataFrame:
     """keys, x, y, n, at, hits of pieces (raster.pieces) that were dealt out by keys and tile: a row for each key and tile.
 
     count: px, py, users, trips instead, the number of keys and the sum of hits of each pixel, summed in so many
     partitions at least; rows of keys never leave a task."""
     names, r = ["tx", "ty", *keys], resolution
-    ends = ["x0", "y0", "x1", "y1", "i0", "i1"]
     column = lambda b, c: b.column(c).to_numpy(zero_copy_only=False)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = lambda b, group: pixels_of({c: column(b, c) for c in ("tx", "ty", *ends)}, group, r)
+        values = lambda b, group: pixels_of({c: column(b, c) for c in ("tx", "ty", *ENDS)}, group, r)
         out = summed(batches, names, r, lambda b: column(b, "i1") - column(b, "i0") + 1, values, weight)
         return tile_sums(out, ["tx", "ty"], list(keys), r) if count else out
 
-    rows = pieces.where("tx >= 0 and ty >= 0").select(*names, *ends).sortWithinPartitions(*names)
+    rows = pieces.where("tx >= 0 and ty >= 0").select(*names, *ENDS).sortWithinPartitions(*names)
     if count:
         return totals(rows.mapInArrow(draw, COUNTS), partitions)
     out = rows.mapInArrow(draw, f"{schema_of(rows, names)}, {HITS}")
     return out.select(*keys, F.col("tx").alias("x"), F.col("ty").alias("y"), "n", "at", "hits")
 
 
-def merged(rows: DataFrame, keys: list[str], resolution: int, partitions: int) -> DataFrame:
-    """keys, x, y, n, at, hits: the hits of all rows of a key in a tile in one row."""
+def lines_or_none(rows: DataFrame) -> DataFrame:
+    """rows with lines, none where there is no such column."""
+    return rows if "lines" in rows.columns else rows.withColumn("lines", F.lit(None).cast("array<long>"))
+
+
+def merged(rows: DataFrame, keys: list[str], resolution: int, partitions: int, lines: bool = False) -> DataFrame:
+    """keys, x, y, n, at, hits: the hits of all rows of a key in a tile in one row. lines: and lines, which are left undrawn (folded)."""
     names, r = ["x", "y", *keys], resolution
-    lengths = lambda b: b.column("at").value_lengths().to_numpy(zero_copy_only=False)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return summed(batches, names, r, lengths, lambda b, group: hits_of(b, group, r), 1)
+        if lines:
+            return folded(batches, names, r, pixels_in, lambda b, group: (*hits_of(b, group, r), *lines_of(b, group)))
+        return summed(batches, names, r, pixels_in, lambda b, group: stored(b, group, r), 1)
 
-    shared = rows.select(*names, "n", "at", "hits").repartition(partitions, *names).sortWithinPartitions(*names)
-    return shared.mapInArrow(merge, f"{schema_of(shared, names)}, {HITS}").select(*keys, "x", "y", "n", "at", "hits")
+    shared = lines_or_none(rows).select(*names, "n", "at", "hits", "lines").repartition(partitions, *names).sortWithinPartitions(*names)
+    schema, more = f"{schema_of(shared, names)}, {HITS}", ["lines"] * lines
+    return shared.mapInArrow(merge, schema + ", lines array<long>" * lines).select(*keys, "x", "y", "n", "at", "hits", *more)
 
 
 def cells(rows: DataFrame, keys: tuple[str, ...], resolution: int) -> DataFrame:
@@ -212,13 +322,19 @@ def totals(parts: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def counted(rows: DataFrame, resolution: int, total: int) -> DataFrame:
-    """px, py, users, trips of rows (user_id, x, y, n, at, hits), of which a user may have several in a tile; total: of n, about.
+    """px, py, users, trips of rows (user_id, x, y, n, at, hits, maybe lines), of which a user may have several in a tile; total: of n, about.
 
-    A tile's users are dealt out to as many tasks as its pixels need.
+    A tile's users are dealt out to as many tasks as its pixels need. Only tiles that need several are broadcast, total / SHARE at most,
+    so rows are exchanged once.
     """
-    names = ["x", "y", "_salt"]
-    load = rows.groupBy("x", "y").agg(F.ceil(F.sum("n") / SHARE).cast("int").alias("_salts"))
+    names, r = ["x", "y", "_salt"], resolution
+    load = rows.groupBy("x", "y").agg(F.ceil(F.sum("n") / SHARE).cast("int").alias("_salts")).where("_salts > 1")
     n = shares(rows, total)
-    salted = rows.select("user_id", "x", "y", "at", "hits").join(load, ["x", "y"]).withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.greatest("_salts", F.lit(1))))
-    shared = salted.select(*names, "user_id", "at", "hits").repartition(n, *names).sortWithinPartitions(*names, "user_id")
-    return totals(shared.mapInArrow(lambda batches: tile_sums(batches, names, ["user_id"], resolution), COUNTS), n)
+    salted = lines_or_none(rows).join(F.broadcast(load), ["x", "y"], "left").withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.coalesce("_salts", F.lit(1))))
+    shared = salted.select(*names, "user_id", "at", "hits", "lines").repartition(n, *names).sortWithinPartitions(*names, "user_id")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = summed(batches, [*names, "user_id"], r, pixels_in, lambda b, group: stored(b, group, r), 1)
+        return tile_sums(one, names, ["user_id"], r)
+
+    return totals(shared.mapInArrow(count, COUNTS), n)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trackweave.config import JobConfig, Raster
 from trackweave.functions.tilemath import quotient
-from trackweave.operators.density import user_hits
+from trackweave.operators.density import user_lines
 from trackweave.operators.pyramid import rebuilt_above
 from trackweave.sources.tracks import Relations, admitted, next_window
 from trackweave.sources.vector_tiles import remove_tile_files, vector_tiles, write_tilejson, write_tiles
@@ -46,7 +46,7 @@ def apply_batch(
         return found
     zoom, work = raster.zoom, uuid.uuid4().hex
     tracks = tracks.dropDuplicates(["contribution_id", "user_id"]).withColumn("user_id", F.col("user_id").cast("string"))
-    users = store.write_runs("users", user_hits(tracks, raster, partitions).withColumn("z", F.lit(zoom)))
+    users = store.write_runs("users", user_lines(tracks, raster, partitions).withColumn("z", F.lit(zoom)))
     base = store.view()._rows("users", users).select("x", "y").distinct()
     touched = store.touched(store.put_aside(base, f"touched/c={work}"), zoom)
     more = {"publish": publish} if window is None else {"publish": publish, "expects": window[0], "last": window[1]}

@@ -1,4 +1,4 @@
-"""Tables of the incremental job on plain Parquet: user cells in sorted runs (a row for each user and tile, with arrays), current cells by bucket, and the state, under one log."""
+"""Tables of the incremental job on plain Parquet: user cells in sorted runs (a row for each user and tile, with arrays of hits and of lines), current cells by bucket, and the state, under one log."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from trackweave.operators import tilehits
 from trackweave.operators.cells import BROADCAST_TILES
 from trackweave.streaming.log import Conflict, Log, Run
 
-USER_CELLS = "user_id string, x long, y long, n long, at array<int>, hits array<long>"
+USER_CELLS = "user_id string, x long, y long, n long, at array<int>, hits array<long>, lines array<long>"
 CELLS = "px long, py long, users long, trips long"
 SCHEMAS = {"users": USER_CELLS, "cells": CELLS}
 #: A bucket is 2**BUCKET tiles wide; a replacement rewrites the buckets that it touches.
@@ -89,7 +89,7 @@ class View:
         return [r for r in self.store.log.runs(self.version, "users", touched.keys(touched.zoom)) if touched.meets(r)]
 
     def user_hits(self, touched: Touched | None = None, more: Sequence[Run] = ()) -> tuple[DataFrame, int]:
-        """user_id, x, y, n, at, hits of all runs, or of the base tiles' and further runs: only their buckets' are opened. Also the pixels in these runs."""
+        """user_id, x, y, n, at, hits, lines of all runs, or of the base tiles' and further runs: only their buckets' are opened. Also the weight of these runs."""
         runs = [*self.user_runs(touched), *more]
         rows, pixels = self._rows("users", runs), sum(r.rows for r in runs)
         return (rows if touched is None else rows.join(touched.at(touched.zoom), ["x", "y"], "left_semi")), pixels
@@ -172,12 +172,12 @@ class Store:
 
     def write_runs(self, kind: str, rows: DataFrame, tier: Callable[[str], int] = lambda key: 0) -> list[Run]:
         """Rows (with z) as new sorted runs, one for each bucket; nothing shows until they are committed. Large buckets are
-        written by several tasks. kind users takes cells as well as rows with arrays; a run's rows are their pixels."""
+        written by several tasks. kind users takes cells as well as rows with arrays; a run's rows are their weight (pixels, and WEIGHT for a line)."""
         at, users = f"{kind}/c={uuid.uuid4().hex}", kind == "users"
         columns = [x.split()[0] for x in SCHEMAS[kind].split(", ")]
         if users and "px" in rows.columns:
             rows = tilehits.packed(rows, ["user_id", "z"], self.resolution)
-        tiled = (lambda x: x) if users else self.tiled
+        rows, tiled = (tilehits.lines_or_none(rows), lambda x: x) if users else (rows, self.tiled)
         rows = tiled(rows).withColumn("bucket", self.bucket()).select(*columns, "z", "bucket").hint("rebalance", "z", "bucket")
         order = ("y", "x", "user_id") if users else ("py", "px")
         rows.sortWithinPartitions("z", "bucket", *order).write.partitionBy("z", "bucket").parquet(f"{self.root}/{at}")
@@ -240,7 +240,7 @@ class Store:
         if not chosen:
             return 0
         rows = view._rows("users", chosen)
-        rows = tilehits.merged(rows, ["user_id", "z"], self.resolution, tilehits.shares(rows, sum(r.rows for r in chosen)))
+        rows = tilehits.merged(rows, ["user_id", "z"], self.resolution, tilehits.shares(rows, sum(r.rows for r in chosen)), lines=True)
         merged, gone = self.write_runs("users", rows, lambda key: full[key] + 1), {r.path for r in chosen}
 
         def check(entry: dict) -> None:
